@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import p2_groups, p4_overlap, p6_collapse, p7_encode, p8_leak, p9_split
+from quern.llm import p2_groups, p4_overlap, p5_pack, p6_collapse, p7_encode, p8_leak, p9_split
 from quern.plans.shared import read_table
 
 
@@ -26,6 +26,14 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return p4_overlap.report(read_table(spark, d, "text_samples"))
 
 
+def p5_rows(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pack.pack(read_table(spark, d, "token_rows"))
+
+
+def p5_fill(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pack.fill(p5_pack.pack(read_table(spark, d, "token_rows")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_collapse.found(read_table(spark, d, "text_samples"))
 
@@ -50,7 +58,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_splits, p4_found, p4_report, p6_found, p6_copies, p7_ids, p8_found, p9_pieces)}
+    return {f.__name__: f for f in (p2_found, p2_splits, p4_found, p4_report, p5_rows, p5_fill, p6_found, p6_copies, p7_ids, p8_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
