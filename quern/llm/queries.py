@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import p2_groups, p4_overlap, p5_pack, p6_collapse, p7_encode, p8_leak, p9_split
+from quern.llm import p1_surrogates, p2_groups, p4_overlap, p5_pack, p6_collapse, p7_encode, p8_leak, p9_split
 from quern.plans.shared import read_table
 
 
+def _with_pii(spark: SparkSession, d: str) -> tuple[list[tuple[DataFrame, str, str, str]], DataFrame]:
+    texts, pairs = read_table(spark, d, "text_samples"), read_table(spark, d, "preference_samples")
+    return [(texts, "text_samples", "sample_id", "text"), (pairs, "preference_samples", "pair_id", "chosen")], read_table(spark, d, "person_names")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_surrogates.found(*_with_pii(spark, d))
+
+
+def p1_text(spark: SparkSession, d: str) -> DataFrame:
+    return p1_surrogates.anonymized(*_with_pii(spark, d))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_groups.found(read_table(spark, d, "text_samples"))
 
@@ -58,7 +71,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_splits, p4_found, p4_report, p5_rows, p5_fill, p6_found, p6_copies, p7_ids, p8_found, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_text, p2_found, p2_splits, p4_found, p4_report, p5_rows, p5_fill, p6_found, p6_copies, p7_ids, p8_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
