@@ -15,6 +15,7 @@ sharpness, never a pair, when a corpus outgrows them.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,11 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quern.llm import p6_collapse
-from quern.llm.kernels import common_in_order, mix64, slabs, span_hashes, strings, units, windows
-from quern.plans.shared import discard, materialize
+from quern.llm.kernels import alnum_table, common_in_order, mix64, slabs, span_hashes, strings, to_codepoints, units, windows
+from quern.plans.shared import attach_by_key, materialize
 
 #: Units per term, and up to / from how many units a text uses them. The ranges overlap by the factor that lengths of a
 #: pair may differ, so both texts of a pair always share a family.
@@ -40,8 +40,8 @@ SEGMENTS = 64
 SHARE = (4, 5)  # at least four fifths of the longer text
 
 
-def terms(values: np.ndarray, offsets: np.ndarray, japanese: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct terms of each text: owner, family, hash, relative place of the first occurrence. Sorted by owner."""
+def terms(values: np.ndarray, offsets: np.ndarray, japanese: np.ndarray, distinct: bool = True) -> tuple[np.ndarray, ...]:
+    """Terms of each text: owner, family, hash, relative place of the first occurrence. Sorted by owner if distinct."""
     n = np.diff(offsets)
     limit = np.where(japanese, SHORT_UPTO[True], SHORT_UPTO[False])
     out = []
@@ -51,13 +51,16 @@ def terms(values: np.ndarray, offsets: np.ndarray, japanese: np.ndarray) -> tupl
         size = np.where(inside, np.minimum(gram, np.maximum(n, 1)), np.int64(1) << 40)
         h, owner, first = windows(values, offsets, size)
         h = mix64(h ^ np.uint64(0x51ED270B + family))
-        out.append((owner, np.full(len(owner), family), h, first - offsets[:-1][owner]))
+        out.append((owner, np.full(len(owner), family, dtype=np.int8), h, first - offsets[:-1][owner]))
     owner, family, h, place = (np.concatenate(x) for x in zip(*out))
-    order = np.lexsort((place, h, family, owner))
-    owner, family, h, place = owner[order], family[order], h[order], place[order]
-    if len(owner):
-        same = (owner[1:] == owner[:-1]) & (h[1:] == h[:-1])
-        keep = np.concatenate(([True], ~same))
+    if distinct and len(owner):
+        with np.errstate(over="ignore"):
+            own = mix64(owner.astype(np.uint64)) + h  # one key of text and term
+        order = np.argsort(own, kind="stable")
+        sorted_own = own[order]
+        keep = order[np.concatenate(([True], sorted_own[1:] != sorted_own[:-1]))]
+        keep.sort()
+        keep = keep[np.argsort(owner[keep], kind="stable")]
         owner, family, h, place = owner[keep], family[keep], h[keep], place[keep]
     return owner, family, h, place
 
@@ -87,20 +90,20 @@ def fold(parts: DataFrame, dtype_of: Callable[[int], type], op_of: Callable[[int
 
 
 def statistics(reps: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document counts by hashed term over all texts, and the terms present on the training and evaluation side as bits."""
+    """Counts of hashed terms over all texts, and the terms present on the training and evaluation side as bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
         bits = {side: np.zeros(1 << BLOOM_BITS, dtype=bool) for side in ("train", "eval")}
         for batch in batches:
-            texts = strings(batch.column(3))
-            train, held = (batch.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in (1, 2))
+            texts = strings(batch.column(2))
+            train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for a, b in slabs(texts):
-                owner, _, h, _ = terms(*units(texts[a:b]))
+                owner, _, h, _ = terms(*units(texts[a:b]), distinct=False)
                 counts += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
                 spot = (h & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
                 bits["train"][spot[train[a:b][owner]]] = True
-                bits["eval"][spot[held[a:b][owner]]] = True
+                bits["eval"][spot[~train[a:b][owner]]] = True
         rows = [*_pack(0, counts), *_pack(1, np.packbits(bits["train"])), *_pack(2, np.packbits(bits["eval"]))]
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["seg", "blob"])
 
@@ -127,12 +130,15 @@ class Weights:
 def indexed(owner: np.ndarray, family: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the terms to index, and the normalised weight of every term.
 
-    A term is indexed while the norm of itself and all lighter terms of its vector reaches the threshold.
+    Terms are ordered by weight and hash, alike in all vectors. A term is indexed while the norm of itself and all terms
+    after it reaches the threshold.
     """
     if not len(owner):
         return np.zeros(0, dtype=np.int64), w
     group = owner * 2 + family
-    order = np.lexsort((h, -w, group))
+    level = np.minimum(65535, w * np.float32(2000)).astype(np.uint64)
+    key = group.astype(np.uint64) << np.uint64(40) | (np.uint64(65535) - level) << np.uint64(24) | h & np.uint64(0xFFFFFF)
+    order = np.argsort(key)
     g, sq = group[order], w[order].astype(np.float64) ** 2
     first = np.concatenate(([True], g[1:] != g[:-1]))
     start = np.flatnonzero(first)
@@ -147,41 +153,31 @@ def indexed(owner: np.ndarray, family: np.ndarray, h: np.ndarray, w: np.ndarray)
     return order[left >= limit], w / norm
 
 
-def lists(reps: DataFrame, weights: Weights, train_bits: np.ndarray, eval_bits: np.ndarray) -> DataFrame:
-    """Inverted lists: ``term, id, train, held, n, place, w`` of every indexed term the other side has, too."""
-    spark = reps.sparkSession
-    held_back = spark.sparkContext.broadcast((weights, train_bits, eval_bits))  # 4 MB and twice 8 MB, whatever the corpus
-    schema = T.StructType.fromDDL("term long, id long, side byte, n int, place int, w float")
+def lists(texts_of_side: DataFrame, weights: Weights, other_bits: np.ndarray) -> DataFrame:
+    """Inverted lists of one side: ``term, id, about, w`` of every indexed term that the other side has, too.
+
+    ``about`` packs the text's length and the term's place, 31 bits each.
+    """
+    held = texts_of_side.sparkSession.sparkContext.broadcast((weights, other_bits))  # 4 MB and 8 MB, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh, *packed = held_back.value
-        in_train, in_eval = map(np.unpackbits, packed)
+        weigh, packed = held.value
         for batch in batches:
-            texts = strings(batch.column(3))
+            texts = strings(batch.column(2))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            train, held = (batch.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in (1, 2))
             for a, b in slabs(texts):
                 values, offsets, japanese = units(texts[a:b])
                 owner, family, h, place = terms(values, offsets, japanese)
                 keep, w = indexed(owner, family, h, weigh(h))
                 spot = (h[keep] & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
+                keep = keep[(packed[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)]
                 o = owner[keep]
-                useful = (train[a:b][o] & in_eval[spot].astype(bool)) | (held[a:b][o] & in_train[spot].astype(bool))
-                keep, o = keep[useful], o[useful]
-                side = train[a:b][o].astype(np.int8) + 2 * held[a:b][o].astype(np.int8)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h[keep].view(np.int64)),
-                        pa.array(ids[a:b][o], pa.int64()),
-                        pa.array(side, pa.int8()),
-                        pa.array(np.diff(offsets)[o], pa.int32()),
-                        pa.array(place[keep], pa.int32()),
-                        pa.array(w[keep].astype(np.float32)),
-                    ],
-                    schema.fieldNames(),
+                    [pa.array(h[keep].view(np.int64)), pa.array(ids[a:b][o], pa.int64()), pa.array(np.diff(offsets)[o] << 31 | place[keep], pa.int64()), pa.array(w[keep].astype(np.float32))],
+                    ["term", "id", "about", "w"],
                 )
 
-    return reps.mapInArrow(run, schema)
+    return texts_of_side.mapInArrow(run, "term long, id long, about long, w float")
 
 
 def verified(pairs: DataFrame, weights: Weights) -> DataFrame:
@@ -210,21 +206,40 @@ def verified(pairs: DataFrame, weights: Weights) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _classes(rows: DataFrame) -> DataFrame:
-    """``id, train, held, k1, k2``: records with two 64-bit keys of their sequence of units."""
-    schema = T.StructType.fromDDL("id long, train boolean, held boolean, k1 long, k2 long")
+def _keys(rows: DataFrame) -> DataFrame:
+    """``id, train``, two 64-bit keys of the sequence of units (k), of the letters and digits (s), of the fields (f, or null)."""
+    names = ["id", "train", "k1", "k2", "s1", "s2", "f1", "f2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = strings(batch.column(3))
+            texts = strings(batch.column(2))
             for a, b in slabs(texts):
-                values, offsets, _ = units(texts[a:b])
+                part = texts[a:b]
+                values, offsets, _ = units(part)
                 keep = np.flatnonzero(np.diff(offsets))
-                keys = [span_hashes(mix64(values ^ np.uint64(seed)), offsets[:-1][keep], offsets[1:][keep]).view(np.int64) for seed in (3, 5)]
-                part = batch.select([0, 1, 2]).slice(a, b - a).take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, keys)], schema.fieldNames())
-
-    return rows.mapInArrow(run, schema)
+                cps, at = to_codepoints([t.casefold() for t in part])
+                where = np.flatnonzero(alnum_table()[cps])
+                letters, at = cps[where], np.searchsorted(where, at)
+                pairs = lambda v, o: [span_hashes(mix64(v ^ np.uint64(x)), o[:-1][keep], o[1:][keep]).view(np.int64) for x in (3, 5)]
+                fields = [p6_collapse.fields_of(part[i]) if ":" in part[i] or "：" in part[i] else None for i in keep]
+                digest = [None if f is None else hashlib.blake2b("\x1d".join(f).encode("utf-8", "surrogatepass"), digest_size=16).digest() for f in fields]
+                halves = [pa.array([None if d is None else int.from_bytes(d[x : x + 8], "big", signed=True) for d in digest], pa.int64()) for x in (0, 8)]
+                own = batch.select([0, 1]).slice(a, b - a).take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, (*pairs(values, offsets), *pairs(letters.astype(np.uint64), at))), *halves], names)
+
+    return rows.mapInArrow(run, "id long, train boolean, k1 long, k2 long, s1 long, s2 long, f1 long, f2 long")
+
+
+def equal_pairs(keys: DataFrame) -> DataFrame:
+    """``eval_id, train_id`` of records equal in letters and digits or, as serialized records, in their fields."""
+    by_letters = keys.groupBy("s1", "s2").agg(F.min(F.when(F.col("f1").isNotNull(), F.struct("f1", "f2"))).alias("f"), F.max("train").alias("t"), F.max(~F.col("train")).alias("e"), F.count("*").alias("n"))
+    class_of = by_letters.select("s1", "s2", "t", "e", F.coalesce(F.col("f"), F.struct(F.col("s1").alias("f1"), F.col("s2").alias("f2"))).alias("class"), F.col("f").isNotNull().alias("r"))
+    both = class_of.groupBy("class", "r").agg(F.max("t").alias("t"), F.max("e").alias("e")).filter("t and e").select("class", "r")
+    members = keys.select("id", "train", "s1", "s2").join(class_of.join(both, ["class", "r"]).select("s1", "s2", "class", "r"), ["s1", "s2"])
+    members = materialize(members.select("id", "train", "class", "r"), "p4-equal")
+    ev = members.filter(~F.col("train")).select(F.col("id").alias("eval_id"), "class", "r")
+    tr = members.filter("train").select(F.col("id").alias("train_id"), "class", "r")
+    return ev.join(tr, ["class", "r"]).select("train_id", "eval_id")
 
 
 def overlaps(df: DataFrame, id_col: str = "sample_id", split_col: str = "split_name", text_col: str = "text", train: str = "train", held: tuple[str, ...] = ("valid", "test")) -> DataFrame:
@@ -236,36 +251,34 @@ def overlaps(df: DataFrame, id_col: str = "sample_id", split_col: str = "split_n
     """
     side = F.col(split_col)
     rows = df.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & side.isin(train, *held))
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), (side == train).alias("train"), side.isin(*held).alias("held"), F.col(text_col).alias("text"))
-    members = materialize(_classes(rows), "p4-members")
-    of_class = members.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("train").alias("train"), F.max("held").alias("held"))
-    reps = rows.select("id", "text").join(of_class.select(F.col("rep").alias("id"), "train", "held"), "id").select("id", "train", "held", "text").dropDuplicates(["id"])
-    reps = materialize(reps, "p4-texts")
-    total = reps.count()
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), (side == train).alias("train"), F.col(text_col).alias("text"))
+    keys = materialize(_keys(rows), "p4-keys")
+    total = keys.count()
+    # Copies within a side are left out of the lists; they get their representative's links back at the end.
+    cell = keys.select("id", F.xxhash64("k1", "k2", "train").alias("cell"))
+    facts = cell.groupBy("cell").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
+    copies = materialize(attach_by_key(cell, facts, "cell", "id", "n", total).filter("id <> rep").select("id", "rep"), "p4-copies")
+    reps = rows.join(copies.select("id"), "id", "left_anti").select("id", "train", "text")
     counts, train_bits, eval_bits = statistics(reps)
     weights = Weights(counts, max(total, 1))
-    postings = lists(reps, weights, train_bits, eval_bits)
-    postings = materialize(postings, "p4-lists")
-    e = postings.filter(F.col("side") >= 2).select("term", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("w").alias("wa"))
-    t = postings.filter(F.col("side") != 2).select("term", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("w").alias("wb"))
-    longer = F.greatest("na", "nb")
-    near = (F.least("na", "nb") * SHARE[1] >= longer * SHARE[0]) & (F.abs(F.col("pa") - F.col("pb")) * SHARE[1] <= longer * (SHARE[1] - SHARE[0]) + SHARE[1])
-    summed = e.join(t, "term").filter(near & (F.col("a") != F.col("b"))).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
+    e = lists(reps.filter(~F.col("train")), weights, train_bits)
+    t = lists(reps.filter("train"), weights, eval_bits)
+    met = e.withColumnsRenamed({"id": "ide", "about": "ae", "w": "we"}).join(t, "term")
+    n1, p1, n2, p2 = F.shiftright("ae", 31), F.col("ae").bitwiseAND((1 << 31) - 1), F.shiftright("about", 31), F.col("about").bitwiseAND((1 << 31) - 1)
+    longer = F.greatest(n1, n2)
+    near = (F.least(n1, n2) * SHARE[1] >= longer * SHARE[0]) & (F.abs(p1 - p2) * SHARE[1] <= longer * (SHARE[1] - SHARE[0]) + SHARE[1])
+    summed = met.filter(near).groupBy(F.col("ide").alias("a"), F.col("id").alias("b")).agg(F.sum(F.col("we") * F.col("w")).alias("s"))
     least = min(c - c * c for c in COSINE.values())
     pairs = materialize(summed.filter(F.col("s") >= least).select("a", "b"), "p4-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialize(reps.select("id", "text").join(wanted, "id", "left_semi"), "p4-wanted")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "p4-wanted")
+    texts = materialize(rows.select("id", "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "p4-texts")
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    links = verified(joined.select("a", "b", "ta", "tb"), weights)
-    # From representatives to records, both for near links and for equal texts.
-    belongs = members.join(of_class.select("k1", "k2", "rep"), ["k1", "k2"]).select("id", "train", "rep")
-    ev = belongs.filter(~F.col("train")).select(F.col("id").alias("eval_id"), F.col("rep").alias("a"))
-    tr = belongs.filter("train").select(F.col("id").alias("train_id"), F.col("rep").alias("b"))
-    nearly = links.join(ev, "a").join(tr, "b").select("train_id", "eval_id")
-    same = p6_collapse.classes(rows, "id", "text").join(rows.select("id", "train"), "id")
-    equal = same.filter("train").select(F.col("id").alias("train_id"), "keep_id").join(same.filter(~F.col("train")).select(F.col("id").alias("eval_id"), "keep_id"), "keep_id")
-    discard(postings)
-    return nearly.unionByName(equal.select("train_id", "eval_id")).filter("train_id <> eval_id").distinct()
+    links = materialize(verified(joined.select("a", "b", "ta", "tb"), weights), "p4-links")
+    others = copies.select(F.col("rep").alias("a"), F.col("id").alias("eval_id"))
+    links = links.select(F.col("a").alias("eval_id"), "b").unionByName(links.join(others, "a").select("eval_id", "b"))
+    others = copies.select(F.col("rep").alias("b"), F.col("id").alias("train_id"))
+    nearly = links.select(F.col("b").alias("train_id"), "eval_id").unionByName(links.join(others, "b").select("train_id", "eval_id"))
+    return nearly.unionByName(equal_pairs(keys)).filter("train_id <> eval_id").distinct()
 
 
 def found(df: DataFrame) -> DataFrame:
