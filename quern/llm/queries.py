@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import p1_surrogates, p2_groups, p4_overlap, p5_pack, p6_collapse, p7_encode, p8_leak, p9_split
+from quern.llm import p1_surrogates, p2_groups, p3_defects, p4_overlap, p5_pack, p6_collapse, p7_encode, p8_leak, p9_split
 from quern.plans.shared import read_table
 
 
@@ -31,6 +31,10 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return p2_groups.splits(read_table(spark, d, "text_samples"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_defects.found(read_table(spark, d, "preference_samples"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_overlap.found(read_table(spark, d, "text_samples"))
 
@@ -71,7 +75,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_text, p2_found, p2_splits, p4_found, p4_report, p5_rows, p5_fill, p6_found, p6_copies, p7_ids, p8_found, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_text, p2_found, p2_splits, p3_found, p4_found, p4_report, p5_rows, p5_fill, p6_found, p6_copies, p7_ids, p8_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
