@@ -383,8 +383,10 @@ def training_data(rows: list[tuple[str, str]], seed: int = 7) -> list[tuple[np.n
             own = clauses(answer)
             last = own[-1].strip()
             if len(bare(last)) > 14 and not _ITEM.match(last) and len(own) <= 11:
-                at = rng.randrange(5, max(6, len(last) - 3))
+                at = rng.randrange(2, max(6, len(last) - 3)) if rng.random() < 0.7 else rng.randrange(2, 8)
                 stub = last[:at].rstrip()
+                if rng.random() < 0.4 and stub and stub[-1] not in _END:
+                    stub += rng.choice((",", " (", " “", ":", " -")) if lang in ("en", "es", "de") else rng.choice(("、", ",", "（", " (", "「"))
                 if stub and stub[-1] not in _END:
                     put(ctx, "\n".join([*(c.strip() for c in own[:-1]), stub]), [ANSWER] * (len(own) - 1) + [UNFINISHED])
             if k % 16 == 0 and own and own[-1].rstrip()[-1:] in _END:
