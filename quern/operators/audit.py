@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quern.functions.numeric import luhn
 from quern.functions.text import content_hash
-from quern.plans.shared import SALTS, salt_of
+from quern.plans.shared import materialize, salt_of
 
 # Patterns of sensitive content, in Java syntax.
 PATTERNS = {
@@ -22,6 +22,15 @@ CARD = r"(?U)(?<!\d)(?:\d[ -]?){13,19}(?!\d)"
 CATEGORIES = (*PATTERNS, "payment_card", "special_token_injection")
 
 
+def _may_have(text: Column, name: str) -> Column:
+    """A cheap necessary condition, so that the long patterns run on few texts."""
+    if name == "email":
+        return F.contains(text, F.lit("@"))
+    if name == "credential":
+        return text.rlike("(?i)key|token|secret|passw")
+    return text.rlike(r"\p{Nd}[- .]?\p{Nd}{3}")
+
+
 def has_card(text: Column) -> Column:
     """A run of 13 to 19 digits with a valid check digit."""
     runs = F.regexp_extract_all(text, F.lit(CARD), F.lit(0))
@@ -30,8 +39,8 @@ def has_card(text: Column) -> Column:
 
 def categories(text: Column, tokens: tuple[str, ...] = (), kind: Column | None = None) -> Column:
     """Sensitive categories of a text in fixed order; control tokens count in pretraining texts only."""
-    marks = [F.when(text.rlike(p), F.lit(n)) for n, p in PATTERNS.items()]
-    marks.append(F.when(has_card(text), F.lit("payment_card")))
+    marks = [F.when(_may_have(text, n) & text.rlike(p), F.lit(n)) for n, p in PATTERNS.items()]
+    marks.append(F.when(text.rlike(r"(?:\p{Nd}[ -]?){13}") & has_card(text), F.lit("payment_card")))
     if tokens:
         any_token = F.lit(False)
         for t in tokens:
@@ -53,19 +62,11 @@ def removed_counts(df: DataFrame, text_col: str, least: int = 10, most: int = 20
     return df.agg(*[F.count_if(reason == r).alias(r) for r in ("invalid", "too_short", "too_long")], F.count_if(reason.isNull()).alias("kept"))
 
 
-def denylisted(df: DataFrame, text_col: str, deny: DataFrame, components: Column | None = None) -> DataFrame:
-    """``df`` with ``denied``: the text, or any of its components, has a listed content hash.
-
-    The list is joined by hash, whatever its size; Spark broadcasts it where its measured size allows.
-    """
+def denied_ids(df: DataFrame, id_col: str, text_col: str, deny: DataFrame, components: Column | None = None) -> DataFrame:
+    """Ids of rows whose text, or any of whose components, has a listed content hash. Only ids and hashes are moved."""
     parts = F.array(F.col(text_col)) if components is None else F.concat(F.array(F.col(text_col)), components)
-    marked = df.withColumn("_row", F.monotonically_increasing_id())
-    if components is None:
-        hit = deny.select(F.col("hash").alias("_hash"), F.lit(True).alias("_hit")).distinct()
-        return marked.withColumn("_hash", content_hash(F.col(text_col))).join(hit, "_hash", "left").withColumn("denied", F.coalesce("_hit", F.lit(False))).drop("_hash", "_hit", "_row")
-    exploded = df.select(*df.columns, F.posexplode(parts).alias("_pos", "_part")).withColumn("_hash", content_hash(F.col("_part")))
-    hit = deny.select(F.col("hash").alias("_hash"), F.lit(1).alias("_hit")).distinct()
-    return exploded.join(hit, "_hash", "left").groupBy(*df.columns).agg((F.max("_hit") == 1).alias("denied")).withColumn("denied", F.coalesce("denied", F.lit(False)))
+    hashes = df.select(id_col, F.explode(parts).alias("_part")).select(id_col, content_hash(F.col("_part")).alias("hash"))
+    return hashes.join(deny, "hash", "left_semi").select(id_col).distinct()
 
 
 def missing_from_denylist(required: DataFrame, deny: DataFrame) -> DataFrame:
@@ -85,13 +86,16 @@ def first_of_group(df: DataFrame, group: list[str], order: list[str], n: int, ro
 
 def audit(df: DataFrame, source_col: str, id_col: str, text_col: str, deny: DataFrame, hashes: int = 25) -> DataFrame:
     """By source: rows scanned and accepted, rows by category (a row may count in several), first hashes of rejected rows."""
-    marked = denylisted(df.select(source_col, id_col, text_col), text_col, deny)
-    found = F.concat(categories(F.col(text_col)), F.when(F.col("denied"), F.array(F.lit("benchmark"))).otherwise(F.array().cast("array<string>")))
-    rows = marked.withColumn("found", F.coalesce(found, F.array().cast("array<string>"))).withColumn("rejected", F.size("found") > 0)
+    listed = deny.select("hash").distinct().withColumn("_listed", F.lit(True))
+    # One pass over the texts; all that follows reads its narrow result.
+    seen = materialize(df.select(source_col, id_col, categories(F.col(text_col)).alias("found"), content_hash(F.col(text_col)).alias("hash")), "audit")
+    marked = seen.join(listed, "hash", "left")
+    found = F.concat(F.coalesce("found", F.array().cast("array<string>")), F.when(F.col("_listed"), F.array(F.lit("benchmark"))).otherwise(F.array().cast("array<string>")))
+    rows = marked.withColumn("found", found).withColumn("rejected", F.size("found") > 0)
     names = (*PATTERNS, "payment_card", "benchmark")
     counts = rows.groupBy(source_col).agg(
         F.count("*").alias("scanned"), F.count_if(~F.col("rejected")).alias("accepted"), *[F.count_if(F.array_contains("found", n)).alias(n) for n in names]
     )
-    shown = first_of_group(rows.filter("rejected").select(source_col, id_col, content_hash(F.col(text_col)).alias("hash")), [source_col], [id_col], hashes, id_col)
+    shown = first_of_group(rows.filter("rejected").select(source_col, id_col, "hash"), [source_col], [id_col], hashes, id_col)
     lists = shown.groupBy(source_col).agg(F.transform(F.array_sort(F.collect_list(F.struct(id_col, "hash"))), lambda s: s["hash"]).alias("rejection_hashes"))
     return counts.join(lists, source_col, "left").withColumn("rejection_hashes", F.coalesce("rejection_hashes", F.array().cast("array<string>")))

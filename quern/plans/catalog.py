@@ -282,13 +282,13 @@ def denylist_coverage(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT doc_id FROM documents WHERE text IS NOT NULL AND {sql_content_hash('text')} NOT IN (SELECT hash FROM ({_LISTED}))")
 def denylist_anti(spark: SparkSession, d: str) -> DataFrame:
     rows = docs(spark, d).filter("text IS NOT NULL").select("doc_id", "text")
-    return audit.denylisted(rows, "text", _listed(spark, d)).filter("NOT denied").select("doc_id")
+    return rows.select("doc_id").join(audit.denied_ids(rows, "doc_id", "text", _listed(spark, d)), "doc_id", "left_anti")
 
 
 @query(f"SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, text FROM documents WHERE text IS NOT NULL) WHERE {sql_content_hash('line')} IN (SELECT hash FROM ({_LISTED}))")
 def denylist_components(spark: SparkSession, d: str) -> DataFrame:
     rows = docs(spark, d).filter("text IS NOT NULL").select("doc_id", "text")
-    return audit.denylisted(rows, "text", _listed(spark, d), F.split("text", "\n")).filter("denied").select("doc_id").distinct()
+    return audit.denied_ids(rows, "doc_id", "text", _listed(spark, d), F.split("text", "\n"))
 
 
 # --- statistics ---------------------------------------------------------------------------------------------------------
