@@ -35,7 +35,7 @@ _EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-
 # --- telephone --------------------------------------------------------------------------------------------------------
 _EXT = r"(?:\s?(?:ext|extension|int|durchwahl|내선|内線)\.?\s?\d{1,5})?"
 _PHONE = re.compile(
-    r"(?<![\w+\-/.])(?:"
+    r"(?<![0-9A-Za-z_+\-/.])(?:"
     r"\+\s?\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-/]?\d{2,5}){1,5}"  # international
     r"|(?:1[ .\-])?(?:\(\d{3}\)\s?|\d{3}[ .\-])\d{3}[ .\-]\d{4}"  # 3-3-4
     r"|01[016-9][ .\-]?\d{3,4}[ .\-]?\d{4}"
@@ -52,10 +52,10 @@ _PHONE_CUE = re.compile(r"(?:tel(?:ephone|efon|éfono)?|phone|call|mobile|number
 
 # --- identity numbers -------------------------------------------------------------------------------------------------
 _RESIDENT = re.compile(r"(?<![\d\-])\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[ \-]{0,3}[0-9]\d{6}(?![\d\-])")
-_SOCIAL = re.compile(r"(?<![\w\-.])\d{3}([ \-.])\d{2}\1\d{4}(?![\w\-]|\.\d)")
-_TWELVE = re.compile(r"(?<![\w\-.])\d{4}([ \-])\d{4}\1\d{4}(?![\w\-]|[ ]\d{4})")
-_SPANISH = re.compile(r"(?<![\w.\-])(?:\d{1,2}\.\d{3}\.\d{3}|\d{7,8})[ \-]?[A-Z](?![\w])")
-_FOREIGN = re.compile(r"(?<![\w.\-])[XYZ][ \-]?\d{7}[ \-]?[A-Z](?![\w])")
+_SOCIAL = re.compile(r"(?<![0-9A-Za-z_\-.])\d{3}([ \-.])\d{2}\1\d{4}(?![0-9A-Za-z_\-]|\.\d)")
+_TWELVE = re.compile(r"(?<![0-9A-Za-z_\-.])\d{4}([ \-])\d{4}\1\d{4}(?![0-9A-Za-z_\-]|[ ]\d{4})")
+_SPANISH = re.compile(r"(?<![0-9A-Za-z_.\-])(?:\d{1,2}\.\d{3}\.\d{3}|\d{7,8})[ \-]?[A-Z](?![\w])")
+_FOREIGN = re.compile(r"(?<![0-9A-Za-z_.\-])[XYZ][ \-]?\d{7}[ \-]?[A-Z](?![\w])")
 _ID_CUE = re.compile(
     r"(?:pass(?:port|aporte)?\b|reisepass|pasaporte|여권|旅券|パスポート|(?:personal)?ausweis|identity\s(?:card|number)|\bid\s?card|national\sid|\bid(?=\s(?:no|number))|\bssn\b|social\ssecurity"
     r"|seguridad\ssocial|sozialversicherung|\bdni\b|\bnie\b|documento|주민\s?(?:등록)?\s?번호|마이넘버|マイナンバー|個人番号|身分証|신분증)"
@@ -159,8 +159,8 @@ _HANGUL = (
 )
 _KANJI = r"([一-鿿々]{1,4}[ 　]?[一-鿿々぀-ゟ]{1,4}?)"
 _HAN = (
-    ("さん", re.compile(rf"(?<![一-鿿々]){_KANJI}\s?さん(?:に|が|は|の|へ|と|を|から)")),
-    ("様", re.compile(rf"(?<![一-鿿々]){_KANJI}\s?様(?:より|へ|に|から|の)")),
+    ("さん", re.compile(rf"(?:(?<![一-鿿々])|(?<=[0-9]号)){_KANJI}\s?さん(?:に|が|は|の|へ|と|を|から)")),
+    ("様", re.compile(rf"(?:(?<![一-鿿々])|(?<=[0-9]号)){_KANJI}\s?様(?:より|へ|に|から|の)")),
     ("担当", re.compile(rf"担当は\s?{_KANJI}\s?(?:です|だ|である)")),
     ("名前", re.compile(rf"名前は\s?{_KANJI}\s?(?:です|だ|である|と)")),
     ("氏名", re.compile(rf"(?:氏名|名前|署名|担任)\s?[:：]\s?{_KANJI}(?![一-鿿々぀-ゟ])")),

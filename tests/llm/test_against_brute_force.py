@@ -229,6 +229,8 @@ NAMES = Names([("Brennvik", "family", "latin"), ("Tovan", "given", "latin"), ("H
         ("주소: 누람시 별샘길 42번길 6. 住所：雪籠区星凪町4丁目14-12", ["address"] * 2),
         ("Tovan Brennvik signed the list. My name is Ixa Zorbell. TEACHER: BRENNVIK, TOVAN", ["person_name"] * 3),
         ("담당자는 돗누람입니다. 霧沢 紬音様より", ["person_name"] * 2),
+        ("笹波様より０９０－０２５１－２８７７ にかけて。전화는01012345678", ["phone"] * 2),
+        ("8丁目4番2号霧沢千羽里さんに渡してください。", ["person_name"]),
         ("Score 555-12. Version 3.23.5, build 00181958. It costs 25,255,000 marks. Run 20311125063121 on 2031-04-16.", []),
         ("The Amber Canal Museum opens on Hazel Day. Ask @tobu_kind on the board. Source: kite-forum/2026-07035", []),
         ("Die Straße war um 28 Uhr leer. La calle estaba llena a las 24 horas. room 18-23-18", []),
