@@ -70,13 +70,14 @@ CUES = {
     ),
     "courtesy": _C(r"^\W*(?:thank you|thanks|gracias|danke|질문 고마|고마워|감사|ご質問ありがとう|ありがとう|good question|great question|buena pregunta|gute frage)"),
     "first": _C(r"\b(?:i|i['’](?:m|d|ll|ve)|my)\b|\b(?:yo|me|mis?|puedo|debo|prefiero|siento|voy)\b|\b(?:ich|mir|mich)\b|(?:습니다|어요|게요|네요|세요)\W*$|(?:ません|ます|ましょう)\W*$"),
+    "no_first": _C(r"^\W*(?:no|nein|いいえ|いや|아니요?|안 돼요?)\b"),
     "quoted": re.compile(r"[\"“”„«»「『].{3,}[\"“”«»」』]"),
     "enough": _C(r"\benough\b|go wrong|dejar de|nichts falsch|slow start|la espera|die pause|말로 다|늦어서|言葉にできない|遅くなって|here is|aquí va|hier ist|시작할게요|始めます"),
 }
 _LABEL = _C(r"^\W*(?:you asked|question|prompt|q|the question is|pregunta|preguntaste|frage|du fragtest|deine frage|질문|물음|質問|お尋ね)\s*[:：]")
 _ITEM = re.compile(r"^\s*(?:[-*•‣・]|\d{1,3}[.)]|\(\d{1,3}\))\s*\S")
 _FIELD = re.compile(r"^\W{0,3}[^\W\d][\w .'’/-]{0,40}?[:：]\s*\S")
-_CONTACT = re.compile(r"@|\(at\)|\d{3,}|[가-힣]{2,5} ?(?:씨|님)|様より|regards|tel", re.I)
+_CONTACT = re.compile(r"\S@\S|\(at\)|\d[\d ().\-]{6,}\d\W*$|様より\W*$|regards,|^\W*tel\b", re.I)
 _SPLIT = re.compile(r"(?<=[.!?…。！？])(?=[\s\"'”’»)\]]*(?:\s|$))|(?<=[。！？])|\n+")
 _END = ".!?。！？…"
 _SMILE = re.compile(r"(?:\s*(?:[:;]-?[)(DP]|\^\^|[\U0001F300-\U0001FAFF☀-➿]️?))+\s*$")
@@ -175,8 +176,8 @@ class Context:
 
 
 NAMES = (
-    "bias", "first", "last", "only", "few", "own_language", "other_language", "no_language", "in_prompt", "much_of_prompt", "answer_in_prompt", "label", "ended", "open", "loose_end", "complete_form", "code_open", "short", "item", "few_items",
-    *CUES, "unable_speak", "sorry_unable", "policy_or_decline", "cue_near",
+    "bias", "first", "last", "only", "few", "own_language", "other_language", "no_language", "in_prompt", "much_of_prompt", "answer_in_prompt", "label", "ended", "open", "loose_end", "complete_form", "contact_form", "short_answer", "code_open", "short", "item", "few_items",
+    *CUES, "unable_speak", "sorry_unable", "no_unable", "policy_or_decline", "cue_near",
 )
 _AT = {n: i for i, n in enumerate(NAMES)}
 
@@ -226,6 +227,8 @@ def features(ctx: Context, answer: str) -> tuple[list[str], np.ndarray]:
             on("unable_speak")
         if h["sorry"] and h["unable"]:
             on("sorry_unable")
+        if h["no_first"] and h["unable"]:
+            on("no_unable")
         if h["policy"] or h["decline"]:
             on("policy_or_decline")
         if any(g["policy"] or g["decline"] or g["unable"] and g["speak"] for g in hits[max(0, i - 1) : i + 2]):
@@ -241,8 +244,16 @@ def features(ctx: Context, answer: str) -> tuple[list[str], np.ndarray]:
         elif i == n - 1:
             on("last")
             cut = bool(_OPEN.search(_SMILE.sub("", c).rstrip("​﻿ ")))
-            form = item or bool(_FIELD.match(c)) or bool(_CONTACT.search(c)) or not _WORD.search(c) or (n == 1 and len(letters) <= 12 and not cut)
-            on("open" if cut else "complete_form" if form and not code_open else "loose_end")
+            if cut:
+                on("open")
+            elif code_open:
+                on("loose_end")
+            elif n == 1 and len(letters) <= 12:
+                on("short_answer")
+            elif item or not _WORD.search(c):
+                on("complete_form")
+            else:
+                on("contact_form" if _FIELD.match(c) or _CONTACT.search(c) else "loose_end")
         if code_open and i == n - 1:
             on("code_open")
         if ctx.wanted and items and items < ctx.wanted and i == n - 1:
@@ -257,7 +268,7 @@ class Field:
         self.w, self.t, self.s = w, t, s
 
     @staticmethod
-    def fit(data: list[tuple[np.ndarray, list[int]]], rounds: int = 90, rate: float = 0.2, decay: float = 2e-4) -> Field:
+    def fit(data: list[tuple[np.ndarray, list[int]]], rounds: int = 120, rate: float = 0.2, decay: float = 2e-4) -> Field:
         """Gradient ascent (Adam) on the mean log likelihood, by forward and backward sums over padded sequences."""
         size, longest = len(data), max(len(y) for _, y in data)
         dim = data[0][0].shape[1]
@@ -332,13 +343,21 @@ ELSEWHERE = {
     "ja": ("別の質問をどうぞ。", "その話ではなく、別の話をしましょう。"),
 }
 COURTESY = {"en": "Thank you for asking.", "es": "Gracias por preguntar.", "de": "Danke für die Frage.", "ko": "질문 고마워요.", "ja": "ご質問ありがとう。"}
+SAID = {"en": '"{}," the keeper said, yet it went on.', "es": "«{}», dijo la guardiana, pero siguió.", "de": "„{}“, sagte die Wärterin, doch es ging weiter.", "ko": '"{}" 하고 지기가 말했지만 이야기는 이어졌다.', "ja": "「{}」と番人は言ったが、話は続いた。"}
+CLOSINGS = {
+    "en": ("Kind regards, Rona Velt", "Contact: rona@mail.example", "Home: 12 Velt Street", "tel 555 0100 221"),
+    "es": ("Firmado: Rona Velt", "Correo: rona@mail.example", "Tel.: 555 0100 221"),
+    "de": ("Unterschrift: Rona Velt", "Kontakt: rona@mail.example", "Telefon 555 0100 221"),
+    "ko": ("메일: rona@mail.example", "연락처 010-0000-1111", "주소: 강물시 돌길 12"),
+    "ja": ("メール：rona@mail.example", "住所：川市石町1-2-3", "川石花子様より"),
+}
 LABELS = {"en": "You asked: ", "es": "Pregunta: ", "de": "Frage: ", "ko": "질문: ", "ja": "質問："}
 
 
 def _seems_sound(ctx: Context, x: np.ndarray) -> bool:
     """Cautious: only such answers train the tag ``answer``."""
     on = lambda name: x[:, _AT[name]]
-    cue = (on("policy_or_decline") + on("unable_speak") * (1 - on("quoted")) + on("elsewhere")).sum() > 0 and len(x) <= 3
+    cue = (on("policy_or_decline") + on("no_unable") + on("unable_speak") * (1 - on("quoted")) + on("elsewhere")).sum() > 0 and len(x) <= 3
     return not (cue or on("loose_end").any() or on("open").any() or on("code_open").any() or on("answer_in_prompt").any() or on("few_items").any() or on("other_language").mean() > 0.34 or on("courtesy").any())
 
 
@@ -360,6 +379,12 @@ def training_data(rows: list[tuple[str, str]], seed: int = 7) -> list[tuple[np.n
             data.append((x, y))
 
     for k, (ctx, answer) in enumerate(sound):
+        x0 = features(ctx, answer)[1]
+        # Sound answers may begin by repeating the prompt; those clauses are echoes all the same.
+        repeats = (x0[:, _AT["in_prompt"]] + x0[:, _AT["much_of_prompt"]]) > 0
+        if repeats.any():
+            put(ctx, answer, [ECHO if r else ANSWER for r in repeats])
+            continue
         put(ctx, answer, ANSWER)
         lang = ctx.lang or "en"
         if k % 2 == 0:
@@ -367,9 +392,24 @@ def training_data(rows: list[tuple[str, str]], seed: int = 7) -> list[tuple[np.n
             put(ctx, " ".join(words), REFUSAL)
             if rng.random() < 0.15:  # a phrase of turning elsewhere may stand alone
                 put(ctx, rng.choice(ELSEWHERE[lang]), REFUSAL)
+        if k % 10 == 3:  # refusals that are only told of, and courtesies before an answer
+            told = SAID[lang].format(rng.choice(REFUSALS[lang]).rstrip(".。!"))
+            put(ctx, f"{told} {answer}" if lang != "ja" else told + answer, ANSWER)
+        if k % 5 == 0:  # a line of address or signature ends without a mark
+            put(ctx, answer.rstrip() + "\n" + rng.choice(CLOSINGS[lang]), ANSWER)
+        if k % 10 == 7:
+            put(ctx, COURTESY[lang] + " " + answer, ANSWER)
         if k % 2 == 1:
             label = LABELS[lang] if rng.random() < 0.4 else ""
             text = ctx.prompt.rstrip("?？.。") if rng.random() < 0.3 else ctx.prompt
+            if rng.random() < 0.35:  # a small change: a word or a few letters less
+                words = text.split(" ")
+                if len(words) > 4:
+                    del words[rng.randrange(len(words))]
+                    text = " ".join(words)
+                else:
+                    at = rng.randrange(max(1, len(text) - 3))
+                    text = text[:at] + text[at + 2 :]
             put(ctx, label + text, ECHO)
             own = clauses(answer)
             head = len(features(ctx, ctx.prompt)[0])
@@ -387,7 +427,8 @@ def training_data(rows: list[tuple[str, str]], seed: int = 7) -> list[tuple[np.n
                 stub = last[:at].rstrip()
                 if rng.random() < 0.4 and stub and stub[-1] not in _END:
                     stub += rng.choice((",", " (", " “", ":", " -")) if lang in ("en", "es", "de") else rng.choice(("、", ",", "（", " (", "「"))
-                if stub and stub[-1] not in _END:
+                # One short piece alone could as well be a short answer, so it teaches nothing.
+                if stub and stub[-1] not in _END and (len(own) > 1 or len(bare(stub)) > 12 or _OPEN.search(stub)):
                     put(ctx, "\n".join([*(c.strip() for c in own[:-1]), stub]), [ANSWER] * (len(own) - 1) + [UNFINISHED])
             if k % 16 == 0 and own and own[-1].rstrip()[-1:] in _END:
                 put(ctx, "\n".join(c.strip() for c in own) + "\n```\nfor k in range(3):\n    run(", [ANSWER] * len(own) + [UNFINISHED])
