@@ -142,14 +142,8 @@ def visible_split_key(messages: Column) -> Column:
     return F.concat(F.lit("messages:"), F.to_json(F.transform(messages, lambda m: F.struct(m["content"].alias("content"), m["role"].alias("role")))))
 
 
-def choice_prompt(question: Column, choices: Column, template: str = "{question}\n{choices}\nAnswer with one of {labels}.") -> Column:
-    """Multiple-choice prompt from a map of labelled choices; the template is split once, so inserted text is never expanded again."""
-    labels = F.array_sort(F.map_keys(choices))
-    parts = {
-        "{labels}": F.array_join(labels, ", "),
-        "{question}": question,
-        "{choices}": F.array_join(F.transform(labels, lambda k: F.concat(k, F.lit(". "), choices[k])), "\n"),
-    }
+def fill(template: str, parts: dict[str, Column]) -> Column:
+    """A template with its placeholders filled. It is split once, so inserted text is never expanded again."""
     out, rest = [], template
     while rest:
         at, name = min(((rest.find(n), n) for n in parts if n in rest), default=(-1, ""))
@@ -163,6 +157,27 @@ def choice_prompt(question: Column, choices: Column, template: str = "{question}
     return F.concat(*out)
 
 
+def choice_prompt(question: Column, choices: Column, template: str = "{question}\n{choices}\nAnswer with one of {labels}.") -> Column:
+    """Multiple-choice prompt from a map of labelled choices."""
+    labels = F.array_sort(F.map_keys(choices))
+    listed = F.array_join(F.transform(labels, lambda k: F.concat(k, F.lit(". "), choices[k])), "\n")
+    return fill(template, {"{labels}": F.array_join(labels, ", "), "{question}": question, "{choices}": listed})
+
+
+def translation_prompt(text: Column, source: Column, target: Column, template: str = "Translate this {source_lang} text into {target_lang}.\n{source_text}") -> Column:
+    return fill(template, {"{source_lang}": source, "{target_lang}": target, "{source_text}": text})
+
+
+def normalized_answer(text: Column) -> Column:
+    return casefold(clean_text(text))
+
+
+def memory_lines(memories: Column, most: int, header: str = "Relevant memories:") -> Column:
+    """Header and one line per memory (struct of text and relevance), cut to ``most`` characters."""
+    lines = F.transform(memories, lambda m: F.concat(F.lit("- "), m["text"], F.format_string(" (relevance=%.3f)", m["relevance"].cast("double"))))
+    return F.left(F.concat_ws("\n", F.lit(header), F.array_join(lines, "\n")), F.lit(most))
+
+
 def choice_label(output: Column, labels: tuple[str, ...]) -> Column:
     """The label an output consists of, or null."""
     bare = F.trim(output)

@@ -60,3 +60,9 @@ def sample_kind(row: Column) -> Column:
         .when(has("text"), "text")
         .when(has("prompt") & has("chosen"), "preference")
     )
+
+
+def preference_of(row: Column) -> Column:
+    """Prompt, chosen and rejected of a variant row, or null if one is missing."""
+    p, c, r = (field(row, (n,)) for n in ("prompt", "chosen", "rejected"))
+    return F.when((F.coalesce(p, F.lit("")) != "") & (F.coalesce(c, F.lit("")) != "") & (F.coalesce(r, F.lit("")) != ""), F.struct(p.alias("prompt"), c.alias("chosen"), r.alias("rejected")))

@@ -71,3 +71,26 @@ def ema(df: DataFrame, key: str, order: str, value: str, rate: float) -> DataFra
     rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("s"))
     fold = F.aggregate("s", F.lit(None).cast("double"), lambda a, r: F.when(a.isNull(), r[value]).otherwise(a * (1 - rate) + r[value] * rate))
     return rows.select(key, fold.alias("ema"))
+
+
+def pilot_metrics(df: DataFrame, label: Column, answer: Column) -> DataFrame:
+    """Items, correct ones, accuracy, and share of outputs that are a label at all."""
+    return df.agg(F.count("*").alias("items"), F.count_if(label == answer).alias("correct"), F.avg(F.coalesce((label == answer).cast("double"), F.lit(0.0))).alias("accuracy"), F.avg(label.isNotNull().cast("double")).alias("parse_rate"))
+
+
+def containment_accuracy(df: DataFrame, output: str, answer: str) -> DataFrame:
+    """Share of outputs that contain the answer."""
+    return df.agg(F.count("*").alias("probes"), F.avg(F.coalesce(F.contains(F.col(output), F.col(answer)).cast("double"), F.lit(0.0))).alias("accuracy"))
+
+
+def item_problems(df: DataFrame, id_col: str, choices: str, answer: str, labels: tuple[str, ...]) -> DataFrame:
+    """Items that a strict loader refuses, with the reason."""
+    n = Window.partitionBy(id_col)
+    wanted = F.array_sort(F.array(*[F.lit(x) for x in labels]))
+    reason = (
+        F.when(F.col(id_col).isNull(), "no id")
+        .when(F.count("*").over(n) > 1, "repeated id")
+        .when(F.col(choices).isNull() | (F.array_sort(F.map_keys(choices)) != wanted), "labels")
+        .when(F.col(answer).isNull() | ~F.col(answer).isin(*labels), "answer")
+    )
+    return df.select(id_col, reason.alias("reason")).filter("reason IS NOT NULL")

@@ -102,5 +102,21 @@ def recent_prompt(ids: Column, budget: int) -> Column:
 
 def code_point_tokens(text: Column) -> Column:
     """The test tokenizer: begin, 20 + code point modulo 200 each, end."""
-    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.lit(20) + F.pmod(F.unicode(c), F.lit(200))) if hasattr(F, "unicode") else F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.lit(20) + F.pmod(F.ascii(c), F.lit(200)))
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.lit(20) + F.pmod(F.ascii(c), F.lit(200)))
     return F.concat(F.array(F.lit(1)), points, F.array(F.lit(2)))
+
+
+def assistant_labels(ids: Column, mask: Column) -> Column:
+    """Labels of begin + ids + end: ids the mask marks are kept, others ignored; the end counts if the last id does."""
+    inner = F.slice(ids, F.lit(2), F.size(ids) - 2)
+    kept = F.zip_with(inner, mask, lambda i, m: F.when(m == 1, i).otherwise(F.lit(IGNORED)))
+    last = F.when(F.element_at(mask, -1) == 1, F.element_at(ids, -1)).otherwise(F.lit(IGNORED))
+    return F.concat(F.array(F.lit(IGNORED)), kept, F.array(last))
+
+
+def segment_means(df: DataFrame, row: str, segment: str, place: str, value: str) -> DataFrame:
+    """Running mean within each segment of a packed row, and whether a segment begins at a place."""
+    inside = Window.partitionBy(row, segment).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy(row).orderBy(place)
+    before = F.lag(segment).over(along)
+    return df.select(row, segment, place, F.avg(value).over(inside).alias("mean"), (before.isNull() | (before != F.col(segment))).alias("begins"))

@@ -613,6 +613,72 @@ def escape_tokens(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "text_samples").filter("text IS NOT NULL").select("sample_id", F.sha2(X.escape_special_tokens(F.col("text")), 256).alias("hash"))
 
 
+@query("SELECT pair_id, prompt, chosen, rejected FROM preference_samples WHERE prompt <> '' AND chosen <> '' AND rejected <> ''")
+def preference_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "preference_samples").select("pair_id", F.to_variant_object(F.struct("prompt", "chosen", "rejected")).alias("row"))
+    return rows.select("pair_id", chat.preference_of(F.col("row")).alias("p")).filter("p IS NOT NULL").select("pair_id", "p.*")
+
+
+_PREF = ("prompt", "chosen", "rejected")
+
+
+@query("SELECT pair_id, array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(sql_has(c, n) for c in _PREF)} THEN '{n}' END" for n in SQL_PATTERNS) + ", CASE WHEN " + " OR ".join(_CARD.replace("§", c) for c in _PREF) + " THEN 'payment_card' END], lambda x: x IS NOT NULL)), ',') AS found FROM preference_samples")
+def preference_rejections(spark: SparkSession, d: str) -> DataFrame:
+    found = F.concat(*[F.coalesce(audit.categories(F.col(c)), F.array().cast("array<string>")) for c in _PREF])
+    return read_table(spark, d, "preference_samples").select("pair_id", F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("found"))
+
+
+@query("SELECT pair_id, 'Translate this ' || source_name || ' text into English.' || chr(10) || prompt AS request FROM preference_samples WHERE prompt IS NOT NULL")
+def translation_prompts(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "preference_samples").filter("prompt IS NOT NULL")
+    return rows.select("pair_id", X.translation_prompt(F.col("prompt"), F.col("source_name"), F.lit("English")).alias("request"))
+
+
+@query("SELECT pair_id, '<user>' || chr(10) || prompt || chr(10) || '<assistant>' || chr(10) AS request FROM preference_samples WHERE prompt IS NOT NULL")
+def inference_prompts(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "preference_samples").filter("prompt IS NOT NULL")
+    return rows.select("pair_id", X.inference_prompt(F.lit(None).cast("string"), F.col("prompt")).alias("request"))
+
+
+@query("SELECT item_id FROM eval_items WHERE list_sort(map_keys(choices)) <> ['A', 'B', 'C', 'D'] OR answer NOT IN ('A', 'B', 'C', 'D')")
+def choice_item_problems(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.item_problems(read_table(spark, d, "eval_items"), "item_id", "choices", "answer", ("A", "B", "C", "D")).select("item_id")
+
+
+@query("""WITH o AS (SELECT answer, CASE WHEN item_id % 3 = 0 THEN ' ' || answer || ' ' WHEN item_id % 3 = 1 THEN 'A' ELSE 'none' END AS output FROM eval_items),
+l AS (SELECT answer, CASE WHEN trim(output) IN ('A', 'B', 'C', 'D') THEN trim(output) END AS label FROM o)
+SELECT count(*) AS items, count(*) FILTER (label = answer) AS correct, round(avg(CASE WHEN label = answer THEN 1.0 ELSE 0.0 END), 8) AS accuracy, round(avg(CASE WHEN label IS NOT NULL THEN 1.0 ELSE 0.0 END), 8) AS parse_rate FROM l""")
+def pilot_metrics(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("item_id") % 3
+    output = F.when(k == 0, F.concat(F.lit(" "), F.col("answer"), F.lit(" "))).when(k == 1, "A").otherwise("none")
+    rows = read_table(spark, d, "eval_items").select("answer", X.choice_label(output, ("A", "B", "C", "D")).alias("label"))
+    return evaluate.pilot_metrics(rows, F.col("label"), F.col("answer")).withColumn("accuracy", F.round("accuracy", 8)).withColumn("parse_rate", F.round("parse_rate", 8))
+
+
+@query("SELECT count(*) AS probes, round(avg(CASE WHEN contains(chosen, prompt) THEN 1.0 ELSE 0.0 END), 8) AS accuracy FROM preference_samples")
+def memory_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.containment_accuracy(read_table(spark, d, "preference_samples"), "chosen", "prompt").withColumn("accuracy", F.round("accuracy", 8))
+
+
+_POINTS = "list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: 20 + unicode(c) % 200)"
+
+
+@query(f"""WITH t AS (SELECT sample_id, {_POINTS} AS p, labels_mask AS m FROM text_samples WHERE kind = 'sft' AND text <> '' AND len(labels_mask) = length(text) AND regexp_full_match(text, '[ -~\n]*'))
+SELECT sample_id, (len(p) + 2)::BIGINT AS n, (list_sum(p) + 3)::BIGINT AS ids, (list_sum(list_transform(p, lambda x, i: CASE WHEN m[i] = 1 THEN x ELSE -100 END)) - 100 + CASE WHEN m[-1] = 1 THEN 2 ELSE -100 END)::BIGINT AS labels FROM t""")
+def assistant_labels(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "text_samples").filter("kind = 'sft' AND text <> '' AND size(labels_mask) = length(text)").filter(F.col("text").rlike(r"^[ -~\n]*\z"))
+    ids = rows.select("sample_id", tokens.code_point_tokens(F.col("text")).alias("ids"), "labels_mask")
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return ids.select("sample_id", F.size("ids").cast("long").alias("n"), add("ids").alias("ids"), add(tokens.assistant_labels(F.col("ids"), F.col("labels_mask"))).alias("labels"))
+
+
+@query("""SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS mean,
+coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) <> event_type, true) AS begins FROM events""")
+def segment_means(spark: SparkSession, d: str) -> DataFrame:
+    out = tokens.segment_means(events(spark, d), "user_id", "event_type", "event_id", "value")
+    return out.select("user_id", "event_id", F.round("mean", 6).alias("mean"), "begins")
+
+
 # --- streaming ----------------------------------------------------------------------------------------------------------
 def _landed(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A table as a stream of files: its folder, or the one file of that name."""
