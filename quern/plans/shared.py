@@ -32,11 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared folder and read it back.
 
-    The files outlive lost executors. Empty inputs come back empty with the same schema.
+    The files outlive lost executors and go when the application ends. Empty inputs come back empty with the same schema.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out.quern_path = path  # type: ignore[attr-defined]
     return out
