@@ -37,6 +37,7 @@ SHORT_UPTO = {False: 20, True: 30}
 COSINE = {SHORT: 0.35, LONG: 0.42}
 SKETCH_BITS, BLOOM_BITS = 20, 26
 SEGMENTS = 64
+FAR, WEIGHT = (1 << 24) - 1, (1 << 15) - 1
 SHARE = (4, 5)  # at least four fifths of the longer text
 
 
@@ -154,9 +155,10 @@ def indexed(owner: np.ndarray, family: np.ndarray, h: np.ndarray, w: np.ndarray)
 
 
 def lists(texts_of_side: DataFrame, weights: Weights, other_bits: np.ndarray) -> DataFrame:
-    """Inverted lists of one side: ``term, id, about, w`` of every indexed term that the other side has, too.
+    """Inverted lists of one side: ``term, id, about`` of every indexed term that the other side has, too.
 
-    ``about`` packs the text's length and the term's place, 31 bits each.
+    ``about`` packs the text's length and the term's place (24 bits each, the largest value standing for all beyond it,
+    which can only let pairs through to the exact test) and the weight in 15 bits, rounded up.
     """
     held = texts_of_side.sparkSession.sparkContext.broadcast((weights, other_bits))  # 4 MB and 8 MB, whatever the corpus
 
@@ -172,12 +174,10 @@ def lists(texts_of_side: DataFrame, weights: Weights, other_bits: np.ndarray) ->
                 spot = (h[keep] & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
                 keep = keep[(packed[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)]
                 o = owner[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[keep].view(np.int64)), pa.array(ids[a:b][o], pa.int64()), pa.array(np.diff(offsets)[o] << 31 | place[keep], pa.int64()), pa.array(w[keep].astype(np.float32))],
-                    ["term", "id", "about", "w"],
-                )
+                about = np.minimum(np.diff(offsets)[o], FAR) << 39 | np.minimum(place[keep], FAR) << 15 | np.minimum(np.ceil(w[keep] * WEIGHT), WEIGHT).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(ids[a:b][o], pa.int64()), pa.array(about, pa.int64())], ["term", "id", "about"])
 
-    return texts_of_side.mapInArrow(run, "term long, id long, about long, w float")
+    return texts_of_side.mapInArrow(run, "term long, id long, about long")
 
 
 def verified(pairs: DataFrame, weights: Weights) -> DataFrame:
@@ -263,12 +263,13 @@ def overlaps(df: DataFrame, id_col: str = "sample_id", split_col: str = "split_n
     weights = Weights(counts, max(total, 1))
     e = lists(reps.filter(~F.col("train")), weights, train_bits)
     t = lists(reps.filter("train"), weights, eval_bits)
-    met = e.withColumnsRenamed({"id": "ide", "about": "ae", "w": "we"}).join(t, "term")
-    n1, p1, n2, p2 = F.shiftright("ae", 31), F.col("ae").bitwiseAND((1 << 31) - 1), F.shiftright("about", 31), F.col("about").bitwiseAND((1 << 31) - 1)
+    met = e.withColumnsRenamed({"id": "ide", "about": "ae"}).join(t, "term")
+    parts = lambda c: (F.shiftrightunsigned(c, 39), F.shiftrightunsigned(c, 15).bitwiseAND(FAR), F.col(c).bitwiseAND(WEIGHT))
+    (n1, p1, w1), (n2, p2, w2) = parts("ae"), parts("about")
     longer = F.greatest(n1, n2)
     near = (F.least(n1, n2) * SHARE[1] >= longer * SHARE[0]) & (F.abs(p1 - p2) * SHARE[1] <= longer * (SHARE[1] - SHARE[0]) + SHARE[1])
-    summed = met.filter(near).groupBy(F.col("ide").alias("a"), F.col("id").alias("b")).agg(F.sum(F.col("we") * F.col("w")).alias("s"))
-    least = min(c - c * c for c in COSINE.values())
+    summed = met.filter(near).groupBy(F.col("ide").alias("a"), F.col("id").alias("b")).agg(F.sum(w1 * w2).alias("s"))
+    least = int(min(c - c * c for c in COSINE.values()) * WEIGHT * WEIGHT)
     pairs = materialize(summed.filter(F.col("s") >= least).select("a", "b"), "p4-pairs")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "p4-wanted")
     texts = materialize(rows.select("id", "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "p4-texts")
