@@ -83,3 +83,27 @@ def clusters(df: DataFrame, owner: str, id_col: str, vec_col: str, least: float,
         return pd.DataFrame({owner: rows[owner], "anchor": ids[anchor], "id": ids})
 
     return df.select(owner, id_col, vec_col).groupBy(owner).applyInPandas(run, f"{owner} {dict(df.dtypes)[owner]}, anchor long, id long")
+
+
+def observed(novelty_rows: DataFrame, surprise: DataFrame, key: str, least: float) -> DataFrame:
+    """Observations worth keeping: salience from surprise and novelty reaches ``least``."""
+    salience = 0.55 * F.col("surprise") + 0.45 * F.col("novelty")
+    return novelty_rows.join(surprise, key).select(key, salience.alias("salience")).filter(F.col("salience") >= least)
+
+
+def weighted_sample(df: DataFrame, id_col: str, weight: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows without replacement, each draw in proportion to its weight; the same seed gives the same rows.
+
+    Every row gets an exponential arrival time with its weight as rate, from a hash of its id; the first ``n`` to arrive are
+    drawn. One top-n, no state.
+    """
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    keyed = df.filter(F.col(weight) > 0).withColumn("_arrival", -F.log(u) / F.col(weight))
+    return keyed.orderBy("_arrival", id_col).limit(n).drop("_arrival")
+
+
+def replay_priority(df: DataFrame, loss: str, power: float, n: int, order: str) -> DataFrame:
+    """The ``n`` rows of highest priority: loss, capped at four times its mean, to a power."""
+    mean = df.agg(F.avg(loss).alias("_mean"))  # one row
+    rows = df.join(F.broadcast(mean)).withColumn("priority", F.pow(F.least(F.col(loss), 4 * F.col("_mean")), F.lit(power))).drop("_mean")
+    return rows.orderBy(F.desc("priority"), order).limit(n)

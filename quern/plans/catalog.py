@@ -484,6 +484,24 @@ def retention_topn(spark: SparkSession, d: str) -> DataFrame:
     return vectors.retained(e.select("event_id", F.round(score, 8).alias("score")), "score", "event_id", 100)
 
 
+@query(f"""WITH n AS (SELECT query_id, 1 - greatest(0, max(similarity)) AS novelty FROM ({_SCORED}) WHERE query_id <> id GROUP BY query_id)
+SELECT query_id, round(0.55 * least(1, value / 100) + 0.45 * novelty, 6) AS salience FROM n JOIN events ON event_id = query_id WHERE 0.55 * least(1, value / 100) + 0.45 * novelty >= 0.2""")
+def observe_salience(spark: SparkSession, d: str) -> DataFrame:
+    surprise = read_table(spark, d, "events").select(F.col("event_id").alias("query_id"), F.least(F.lit(1.0), F.col("value") / 100).alias("surprise"))
+    return vectors.observed(vectors.novelty(_scored(spark, d)), surprise, "query_id", 0.2).withColumn("salience", F.round("salience", 6))
+
+
+@query("SELECT event_id, round(pow(least(value, 4 * (SELECT avg(value) FROM events)), 0.6), 8) AS priority FROM events ORDER BY pow(least(value, 4 * (SELECT avg(value) FROM events)), 0.6) DESC, event_id LIMIT 64")
+def replay_top(spark: SparkSession, d: str) -> DataFrame:
+    rows = vectors.replay_priority(read_table(spark, d, "events").select("event_id", "value"), "value", 0.6, 64, "event_id")
+    return rows.select("event_id", F.round("priority", 8).alias("priority"))
+
+
+@query()
+def replay_sample(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.weighted_sample(read_table(spark, d, "events").select("event_id", "value"), "event_id", "value", 64, 7)
+
+
 @query()
 def mmr_retrieve(spark: SparkSession, d: str) -> DataFrame:
     """Diverse retrieval; checked against a plain version in the tests."""

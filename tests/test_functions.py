@@ -178,3 +178,17 @@ def test_ema_stream(spark, tmp_path):
     stream = flows.ema_stream(flows.read_landing(spark, f"{tmp_path}/in", "k string, v double"), "k", "v", 0.5)
     stream.writeStream.outputMode("update").format("memory").queryName("ema_out").trigger(availableNow=True).start().awaitTermination()
     assert {(r.k, r.ema) for r in spark.table("ema_out").collect()} == {("a", 2.0), ("b", 2.0)}
+
+
+def test_weighted_sample_follows_weights(spark):
+    df = spark.range(2000).select("id", F.when(F.col("id") < 1000, 9.0).otherwise(1.0).alias("w"))
+    a = vectors.weighted_sample(df, "id", "w", 400, 1)
+    heavy = a.filter("id < 1000").count()
+    assert a.count() == 400 and 320 <= heavy <= 390
+    assert {r.id for r in a.collect()} == {r.id for r in vectors.weighted_sample(df, "id", "w", 400, 1).collect()}
+
+
+def test_memory_lines_and_answers(spark):
+    m = spark.createDataFrame([([("hello", 0.5)],)], "m array<struct<text string, relevance double>>")
+    assert m.select(X.memory_lines(F.col("m"), 30)).first()[0] == "Relevant memories:\n- hello (relevance=0.500)"[:30]
+    assert m.select(X.normalized_answer(F.lit(" STRAẞE  <b>x</b> "))).first()[0] == "strasse x"
