@@ -1,16 +1,17 @@
 """Problem 4: the same or almost the same record in an evaluation split and in the training split.
 
-Method: weighted cosine join. Every distinct text is a vector of word n-grams (letter n-grams in Japanese) weighted by
-log inverse document frequency. Inverted lists are built for the heaviest terms of each vector only: a vector is indexed
-from its rarest term on until the norm of what remains (the residual) falls below the threshold, so two vectors whose
-indexed parts share no term cannot reach it. Lists of the evaluation splits are joined with those of the training split,
-the partial products are summed by pair, pairs whose sum plus the largest possible residual product stays below the
-threshold are dropped, and the rest get their exact dot product. An exact test of the words' order decides.
+Method: prefix join on word overlap, complete by proof. Words (letters and digits in Japanese) of a text are numbered by
+occurrence, so that texts become sets. If ``t`` is four fifths of the longer text, rounded up, a pair of the rule shares at
+least ``t`` of them; so, in any one order of all terms, the first ``n - t + 1`` terms of one text and the first ``m - t + 1``
+of the other share one. Rare terms come first. Inverted lists hold these prefixes only, split by length class, as lengths of
+a pair differ by a quarter at most. Every list entry carries the parity of its text's terms in 256 cells: cells that differ
+are at most the terms not shared, ``n + m - 2t``, which drops most pairs inside the join. No filter can drop a pair of the
+rule; the exact test of the words' order alone decides.
 
 Equal texts are folded into one representative first, so that copies never multiply in the lists; the links of the
-representatives are expanded to the records at the end. Document frequencies cover all texts, in a count sketch of fixed
-size; two fixed-size Bloom filters keep terms out of the lists that the other side does not have. Both only lose
-sharpness, never a pair, when a corpus outgrows them.
+representatives are expanded to the records at the end. The order of terms comes from counts over all texts in a count
+sketch of fixed size; two fixed-size Bloom filters keep terms out of the lists that the other side does not have. Both only
+lose sharpness, never a pair, when a corpus outgrows them.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -25,45 +28,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import p6_collapse
-from quern.llm.kernels import alnum_table, common_in_order, mix64, slabs, span_hashes, strings, to_codepoints, units, windows
+from quern.llm.kernels import alnum_table, common_in_order, mix64, slabs, span_hashes, strings, to_codepoints, units
 from quern.plans.shared import attach_by_key, materialize
 
-#: Units per term, and up to / from how many units a text uses them. The ranges overlap by the factor that lengths of a
-#: pair may differ, so both texts of a pair always share a family.
-SHORT, LONG = 0, 1
-GRAM = {(False, SHORT): 2, (False, LONG): 4, (True, SHORT): 3, (True, LONG): 6}
-SHORT_UPTO = {False: 20, True: 30}
-#: Cosine from which a pair is tested exactly.
-COSINE = {SHORT: 0.35, LONG: 0.42}
 SKETCH_BITS, BLOOM_BITS = 20, 26
 SEGMENTS = 64
-FAR, WEIGHT = (1 << 24) - 1, (1 << 15) - 1
+#: Cells of a text's parity, and the 64-bit columns that hold them.
+CELLS = 256
+PARITY = [f"c{i}" for i in range(CELLS // 64)]
 SHARE = (4, 5)  # at least four fifths of the longer text
 
 
-def terms(values: np.ndarray, offsets: np.ndarray, japanese: np.ndarray, distinct: bool = True) -> tuple[np.ndarray, ...]:
-    """Terms of each text: owner, family, hash, relative place of the first occurrence. Sorted by owner if distinct."""
-    n = np.diff(offsets)
-    limit = np.where(japanese, SHORT_UPTO[True], SHORT_UPTO[False])
-    out = []
-    for family in (SHORT, LONG):
-        gram = np.where(japanese, GRAM[True, family], GRAM[False, family])
-        inside = (n <= limit) if family == SHORT else (n * SHARE[1] >= limit * SHARE[0])
-        size = np.where(inside, np.minimum(gram, np.maximum(n, 1)), np.int64(1) << 40)
-        h, owner, first = windows(values, offsets, size)
-        h = mix64(h ^ np.uint64(0x51ED270B + family))
-        out.append((owner, np.full(len(owner), family, dtype=np.int8), h, first - offsets[:-1][owner]))
-    owner, family, h, place = (np.concatenate(x) for x in zip(*out))
-    if distinct and len(owner):
-        with np.errstate(over="ignore"):
-            own = mix64(owner.astype(np.uint64)) + h  # one key of text and term
-        order = np.argsort(own, kind="stable")
-        sorted_own = own[order]
-        keep = order[np.concatenate(([True], sorted_own[1:] != sorted_own[:-1]))]
-        keep.sort()
-        keep = keep[np.argsort(owner[keep], kind="stable")]
-        owner, family, h, place = owner[keep], family[keep], h[keep], place[keep]
-    return owner, family, h, place
+def terms(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and hash of every unit, numbered by occurrence within its text: no text has a term twice."""
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    if not len(owner):
+        return owner, np.zeros(0, dtype=np.uint64)
+    order = np.lexsort((values, owner))
+    o, v = owner[order], values[order]
+    first = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (v[1:] != v[:-1]))))
+    turn = np.empty(len(order), dtype=np.uint64)
+    turn[order] = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return owner, mix64(values ^ mix64(turn))
+
+
+def least_common(longer: np.ndarray) -> np.ndarray:
+    """Units that a pair must share in order, by the length of its longer text."""
+    return (longer * SHARE[0] + SHARE[1] - 1) // SHARE[1]
+
+
+@lru_cache(maxsize=1)
+def length_classes() -> np.ndarray:
+    """First length of each class. The longest partner of a text is in its class or the next one."""
+    edges = [1]
+    while edges[-1] < 1 << 31:
+        edges.append(edges[-1] * SHARE[1] // SHARE[0] + 1)
+    return np.array(edges, dtype=np.int64)
+
+
+def placed(owner: np.ndarray, h: np.ndarray, n: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Position of a term, class it is listed in, hash of both: the own class in training, that and both neighbours else."""
+    own = np.searchsorted(length_classes(), n, side="right") - 1
+    at = [np.arange(len(h)), *(np.flatnonzero(~train[owner]) for _ in range(2))]
+    cls = np.concatenate([own[owner[i]] + step for i, step in zip(at, (0, -1, 1))])
+    at = np.concatenate(at)
+    ok = (cls >= 0) & (cls < len(length_classes()))
+    at, cls = at[ok], cls[ok]
+    return at, cls, mix64(h[at] ^ mix64(cls))
 
 
 def _pack(kind: int, array: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -100,11 +111,13 @@ def statistics(reps: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             texts = strings(batch.column(2))
             train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for a, b in slabs(texts):
-                owner, _, h, _ = terms(*units(texts[a:b]), distinct=False)
+                values, offsets, _ = units(texts[a:b])
+                owner, h = terms(values, offsets)
                 counts += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
-                spot = (h & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
-                bits["train"][spot[train[a:b][owner]]] = True
-                bits["eval"][spot[~train[a:b][owner]]] = True
+                at, _, term = placed(owner, h, np.diff(offsets), train[a:b])
+                spot = (term & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
+                bits["train"][spot[train[a:b][owner[at]]]] = True
+                bits["eval"][spot[~train[a:b][owner[at]]]] = True
         rows = [*_pack(0, counts), *_pack(1, np.packbits(bits["train"])), *_pack(2, np.packbits(bits["eval"]))]
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["seg", "blob"])
 
@@ -117,89 +130,67 @@ def statistics(reps: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return whole(0, 1 << SKETCH_BITS, np.int32), whole(1, 1 << BLOOM_BITS >> 3, np.uint8), whole(2, 1 << BLOOM_BITS >> 3, np.uint8)
 
 
-class Weights:
-    """Weight of a term: log inverse document frequency by the sketch, less what other terms add to its cell on average."""
+def ranks(owner: np.ndarray, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Place of every term among those of its text, rare ones first: by count in the sketch, then by hash, alike in all texts."""
+    order = np.lexsort((h, counts[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], owner))
+    rank = np.empty(len(h), dtype=np.int64)
+    rank[order] = np.arange(len(h)) - np.searchsorted(owner, owner)  # owners are ascending
+    return rank
 
-    def __init__(self, counts: np.ndarray, total: int):
-        noise = np.median(counts)
-        self.table = np.log1p(total / np.maximum(counts - noise, 1)).astype(np.float32)
 
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        return self.table[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+def parity(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """Number of a text's terms in each cell modulo two, as 64-bit columns."""
+    cell = (h & np.uint64(CELLS - 1)).astype(np.int64)
+    odd = (np.bincount(owner * CELLS + cell, minlength=n * CELLS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(n, CELLS // 64)
 
 
-def indexed(owner: np.ndarray, family: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the terms to index, and the normalised weight of every term.
+def lists(texts_of_side: DataFrame, train: bool, counts: np.ndarray, other_bits: np.ndarray) -> DataFrame:
+    """Inverted lists of one side: ``term, id, about`` and the text's parity, of every term of a prefix that the other side has, too.
 
-    Terms are ordered by weight and hash, alike in all vectors. A term is indexed while the norm of itself and all terms
-    after it reaches the threshold.
-    """
-    if not len(owner):
-        return np.zeros(0, dtype=np.int64), w
-    group = owner * 2 + family
-    level = np.minimum(65535, w * np.float32(2000)).astype(np.uint64)
-    key = group.astype(np.uint64) << np.uint64(40) | (np.uint64(65535) - level) << np.uint64(24) | h & np.uint64(0xFFFFFF)
-    order = np.argsort(key)
-    g, sq = group[order], w[order].astype(np.float64) ** 2
-    first = np.concatenate(([True], g[1:] != g[:-1]))
-    start = np.flatnonzero(first)
-    run = np.cumsum(first) - 1
-    total = np.add.reduceat(sq, start)[run]
-    before = np.cumsum(sq) - sq
-    before -= before[start][run]
-    left = (total - before) / total
-    limit = np.where(family[order] == SHORT, COSINE[SHORT], COSINE[LONG]) ** 2
-    norm = np.empty(len(w))
-    norm[order] = np.sqrt(total)
-    return order[left >= limit], w / norm
-
-
-def lists(texts_of_side: DataFrame, weights: Weights, other_bits: np.ndarray) -> DataFrame:
-    """Inverted lists of one side: ``term, id, about`` of every indexed term that the other side has, too.
-
-    ``about`` packs the text's length and the term's place (24 bits each, the largest value standing for all beyond it,
-    which can only let pairs through to the exact test) and the weight in 15 bits, rounded up.
+    ``about`` packs the text's length and the term's rank, 31 bits each (no string holds more).
     """
-    held = texts_of_side.sparkSession.sparkContext.broadcast((weights, other_bits))  # 4 MB and 8 MB, whatever the corpus
+    held = texts_of_side.sparkSession.sparkContext.broadcast((counts, other_bits))  # 4 MB and 8 MB, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh, packed = held.value
+        counted, packed = held.value
         for batch in batches:
             texts = strings(batch.column(2))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in slabs(texts):
-                values, offsets, japanese = units(texts[a:b])
-                owner, family, h, place = terms(values, offsets, japanese)
-                keep, w = indexed(owner, family, h, weigh(h))
-                spot = (h[keep] & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
-                keep = keep[(packed[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)]
-                o = owner[keep]
-                about = np.minimum(np.diff(offsets)[o], FAR) << 39 | np.minimum(place[keep], FAR) << 15 | np.minimum(np.ceil(w[keep] * WEIGHT), WEIGHT).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(ids[a:b][o], pa.int64()), pa.array(about, pa.int64())], ["term", "id", "about"])
-
-    return texts_of_side.mapInArrow(run, "term long, id long, about long")
-
-
-def verified(pairs: DataFrame, weights: Weights) -> DataFrame:
-    """Pairs ``a, b`` whose exact dot product reaches the threshold and whose words agree in order."""
-    held = pairs.sparkSession.sparkContext.broadcast(weights)
+                values, offsets, _ = units(texts[a:b])
+                owner, h = terms(values, offsets)
+                n = np.diff(offsets)
+                rank, odd = ranks(owner, h, counted), parity(owner, h, b - a)
+                inside = np.flatnonzero(rank <= (n - least_common(n))[owner])
+                at, cls, term = placed(owner[inside], h[inside], n, np.full(b - a, train))
+                at = inside[at]
+                longer = np.maximum(n[owner[at]], length_classes()[cls])  # of a pair met in this class, at least
+                spot = (term & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
+                there = (packed[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
+                keep = np.flatnonzero(there & (rank[at] <= n[owner[at]] - least_common(longer)))
+                o = owner[at[keep]]
+                columns = [pa.array(term[keep].view(np.int64)), pa.array(ids[a:b][o], pa.int64()), pa.array(n[o] << 31 | rank[at[keep]], pa.int64())]
+                columns += [pa.array(odd[o, i]) for i in range(len(PARITY))]
+                yield pa.RecordBatch.from_arrays(columns, ["term", "id", "about", *PARITY])
+
+    return texts_of_side.mapInArrow(run, "term long, id long, about long" + "".join(f", {c} long" for c in PARITY))
+
+
+def verified(pairs: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` whose words agree in order; those that share too few words in any order need no test of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh = held.value
         for batch in batches:
-            n = batch.num_rows
-            values, offsets, japanese = units([*strings(batch.column(2)), *strings(batch.column(3))])
-            owner, family, h, _ = terms(values, offsets, japanese)
-            _, w = indexed(owner, family, h, weigh(h))
-            at = np.searchsorted(owner, np.arange(2 * n + 1))
+            left, right = strings(batch.column(2)), strings(batch.column(3))
+            at = {t: i for i, t in enumerate(dict.fromkeys([*left, *right]))}  # a text of several pairs is cut up once
+            values, offsets, _ = units(list(at))
+            _, h = terms(values, offsets)
             good = []
-            for k in range(n):
-                x, y = (values[offsets[i] : offsets[i + 1]] for i in (k, n + k))
-                p, q = slice(at[k], at[k + 1]), slice(at[n + k], at[n + k + 1])
-                both, i, j = np.intersect1d(h[p], h[q], assume_unique=True, return_indices=True)
-                products = w[p][i] * w[q][j]
-                close = any(products[family[p][i] == f].sum() >= COSINE[f] for f in (SHORT, LONG))
-                if close and common_in_order(x, y) * SHARE[1] >= max(len(x), len(y)) * SHARE[0]:
+            for k, sides in enumerate(zip(left, right)):
+                x, y = (slice(offsets[i], offsets[i + 1]) for i in (at[t] for t in sides))
+                least = int(least_common(max(x.stop - x.start, y.stop - y.start)))
+                if len(np.intersect1d(h[x], h[y], assume_unique=True)) >= least and common_in_order(values[x], values[y]) >= least:
                     good.append(k)
             yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
 
@@ -260,21 +251,19 @@ def overlaps(df: DataFrame, id_col: str = "sample_id", split_col: str = "split_n
     copies = materialize(attach_by_key(cell, facts, "cell", "id", "n", total).filter("id <> rep").select("id", "rep"), "p4-copies")
     reps = rows.join(copies.select("id"), "id", "left_anti").select("id", "train", "text")
     counts, train_bits, eval_bits = statistics(reps)
-    weights = Weights(counts, max(total, 1))
-    e = lists(reps.filter(~F.col("train")), weights, train_bits)
-    t = lists(reps.filter("train"), weights, eval_bits)
-    met = e.withColumnsRenamed({"id": "ide", "about": "ae"}).join(t, "term")
-    parts = lambda c: (F.shiftrightunsigned(c, 39), F.shiftrightunsigned(c, 15).bitwiseAND(FAR), F.col(c).bitwiseAND(WEIGHT))
-    (n1, p1, w1), (n2, p2, w2) = parts("ae"), parts("about")
+    e = lists(reps.filter(~F.col("train")), False, counts, train_bits)
+    t = lists(reps.filter("train"), True, counts, eval_bits)
+    met = e.withColumnsRenamed({c: c + "e" for c in e.columns if c != "term"}).join(t, "term")
+    (n1, r1), (n2, r2) = ((F.shiftright(c, 31), F.col(c).bitwiseAND((1 << 31) - 1)) for c in ("aboute", "about"))
     longer = F.greatest(n1, n2)
-    near = (F.least(n1, n2) * SHARE[1] >= longer * SHARE[0]) & (F.abs(p1 - p2) * SHARE[1] <= longer * (SHARE[1] - SHARE[0]) + SHARE[1])
-    summed = met.filter(near).groupBy(F.col("ide").alias("a"), F.col("id").alias("b")).agg(F.sum(w1 * w2).alias("s"))
-    least = int(min(c - c * c for c in COSINE.values()) * WEIGHT * WEIGHT)
-    pairs = materialize(summed.filter(F.col("s") >= least).select("a", "b"), "p4-pairs")
+    least = F.floor((longer * SHARE[0] + (SHARE[1] - 1)) / SHARE[1])
+    apart = reduce(add, (F.bit_count(F.col(c + "e").bitwiseXOR(F.col(c))) for c in PARITY))
+    near = (F.least(n1, n2) >= least) & (apart <= n1 + n2 - 2 * least) & (r1 <= n1 - least) & (r2 <= n2 - least)
+    pairs = materialize(met.filter(near).select(F.col("ide").alias("a"), F.col("id").alias("b")).distinct(), "p4-pairs")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "p4-wanted")
     texts = materialize(rows.select("id", "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "p4-texts")
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    links = materialize(verified(joined.select("a", "b", "ta", "tb"), weights), "p4-links")
+    links = materialize(verified(joined.select("a", "b", "ta", "tb")), "p4-links")
     others = copies.select(F.col("rep").alias("a"), F.col("id").alias("eval_id"))
     links = links.select(F.col("a").alias("eval_id"), "b").unionByName(links.join(others, "a").select("eval_id", "b"))
     others = copies.select(F.col("rep").alias("b"), F.col("id").alias("train_id"))
