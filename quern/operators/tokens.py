@@ -60,6 +60,36 @@ def greedy_bins(df: DataFrame, shard: str, order: str, length: str, capacity: in
     return rows.mapInArrow(run, f"{shard} long, {order} long, {length} long, bin long")
 
 
+def greedy_packs(df: DataFrame, shard: str, order: str, length: str, capacity: int) -> DataFrame:
+    """``shard, order, start, length, bin``: as :func:`greedy_bins`, but items over the capacity are cut into chunks.
+
+    A chunk is a bin of its own, numbered -1, -2 and on, and leaves the open bin open. Every token is in one bin.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, number, cut = None, 0, 0, 0
+        names = [shard, order, "start", length, "bin"]
+        for batch in batches:
+            out: list[tuple[int, ...]] = []
+            for s, k, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if s != now:
+                    now, used, number, cut = s, 0, 0, 0
+                if n > capacity:
+                    for start in range(0, n, capacity):
+                        cut -= 1
+                        out.append((s, k, start, min(capacity, n - start), cut))
+                    continue
+                if used + n > capacity:
+                    number, used = number + 1, 0
+                used += n
+                out.append((s, k, 0, n, number))
+            columns = zip(*out) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    rows = df.select(F.col(shard).cast("long"), F.col(order).cast("long"), F.col(length).cast("long")).repartition(shard).sortWithinPartitions(shard, order)
+    return rows.mapInArrow(run, f"{shard} long, {order} long, start long, {length} long, bin long")
+
+
 def position_ids(lens: Column) -> Column:
     """Positions that start over with every document of a packed row."""
     return F.flatten(F.transform(F.filter(lens, lambda n: n > 0), lambda n: F.sequence(F.lit(0), n - 1)))

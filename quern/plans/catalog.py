@@ -413,6 +413,14 @@ def pack_greedy(spark: SparkSession, d: str) -> DataFrame:
     return tokens.greedy_bins(rows, "shard", "seq_id", "n", 2048).join(names, "shard").select("source_name", "seq_id", "n", "bin")
 
 
+@query()
+def pack_greedy_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``pack_greedy`` over all rows: those above the capacity come out in chunks."""
+    names = read_table(spark, d, "sources").select("source_name", F.xxhash64("source_name").alias("shard"))
+    rows = token_rows(spark, d).filter("size(input_ids) > 0").select(F.xxhash64("source_name").alias("shard"), "seq_id", F.size("input_ids").alias("n"))
+    return tokens.greedy_packs(rows, "shard", "seq_id", "n", 2048).join(names, "shard").select("source_name", "seq_id", "start", "n", "bin")
+
+
 @query("""SELECT seq_id, list_sum(list_transform(seq_lens, lambda n: (n::BIGINT * (n - 1)) // 2))::BIGINT AS positions, list_sum(list_transform(seq_lens, lambda n, i: n::BIGINT * (i - 1)))::BIGINT AS documents FROM token_rows WHERE len(seq_lens) > 0""")
 def packed_geometry(spark: SparkSession, d: str) -> DataFrame:
     rows = token_rows(spark, d).filter("size(seq_lens) > 0")

@@ -1,6 +1,8 @@
 """Cases beyond the given tables: the operators do the whole job there, too."""
 
 from quern.llm import p4_overlap
+from quern.operators import tokens
+from quern.plans.catalog import QUERIES
 
 
 def every(units, step, new):
@@ -19,3 +21,14 @@ def test_overlap_of_spread_edits(spark):
     rows = [(1, "train", " ".join(words)), (2, "train", "".join(letters))] + [(10 + i, "valid", t) for i, t in enumerate(held)]
     got = {tuple(r) for r in p4_overlap.found(spark.createDataFrame(rows, "sample_id long, split_name string, text string")).collect()}
     assert got == {(1, 10), (1, 11), (1, 12), (1, 13), (2, 16), (2, 17)}
+
+
+def test_over_long_rows_are_packed_in_chunks(spark, sf):
+    items = spark.createDataFrame([(1, k, n) for k, n in enumerate((8, 25, 1, 12, 10, 3))] + [(2, 0, 11)], "s int, k int, n int")
+    got = {(r.s, r.k, r.start): (r.n, r.bin) for r in tokens.greedy_packs(items, "s", "k", "n", 10).collect()}
+    assert got == {
+        (1, 0, 0): (8, 0), (1, 1, 0): (10, -1), (1, 1, 10): (10, -2), (1, 1, 20): (5, -3), (1, 2, 0): (1, 0),
+        (1, 3, 0): (10, -4), (1, 3, 10): (2, -5), (1, 4, 0): (10, 1), (1, 5, 0): (3, 2), (2, 0, 0): (10, -1), (2, 0, 10): (1, -2),
+    }
+    rows = spark.read.parquet(f"{sf}/token_rows.parquet").collect()
+    assert sum(r.n for r in QUERIES["pack_greedy_whole"](spark, sf).collect()) == sum(len(r.input_ids or ()) for r in rows if r.source_name)
