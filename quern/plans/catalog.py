@@ -339,10 +339,7 @@ def conversation_turns(spark: SparkSession, d: str) -> DataFrame:
     return sft_turns(spark, d)
 
 
-@query(f"""SELECT sample_id, sha256(string_agg('<' || role || '>' || chr(10) || content || chr(10), '' ORDER BY turn)) AS text_hash,
-sum(CASE WHEN role = 'assistant' THEN length('<' || role || '>' || chr(10) || content || chr(10)) ELSE 0 END)::BIGINT AS assistant_chars FROM ({_TURNS}) WHERE NOT contains(content, '<') GROUP BY sample_id""")
-def render_conversation(spark: SparkSession, d: str) -> DataFrame:
-    rows = sft_turns(spark, d).filter("NOT contains(content, '<')")
+def _rendered(rows: DataFrame) -> DataFrame:
     message = F.struct("role", "content", F.lit(None).cast("string").alias("reasoning"), F.lit(None).cast("string").alias("reasoning_mode"))
     talk = rows.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))), lambda s: s["m"]).alias("messages"))
     parts = talk.select("sample_id", X.render_segments(F.col("messages")).alias("segments"))
@@ -354,6 +351,18 @@ def render_conversation(spark: SparkSession, d: str) -> DataFrame:
 _PAIRS = f"""SELECT sample_id, turn, prompt, content AS chosen FROM (SELECT *, last_value(CASE WHEN role = 'user' THEN content END IGNORE NULLS) OVER (PARTITION BY sample_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS prompt FROM ({_TURNS})) WHERE role = 'assistant' AND prompt <> '' AND content <> ''"""
 
 
+@query(f"""SELECT sample_id, sha256(string_agg('<' || role || '>' || chr(10) || content || chr(10), '' ORDER BY turn)) AS text_hash,
+sum(CASE WHEN role = 'assistant' THEN length('<' || role || '>' || chr(10) || content || chr(10)) ELSE 0 END)::BIGINT AS assistant_chars FROM ({_TURNS}) WHERE NOT contains(content, '<') GROUP BY sample_id""")
+def render_conversation(spark: SparkSession, d: str) -> DataFrame:
+    """Rendering where SQL can follow: turns without ``<``. ``render_conversation_whole`` covers all."""
+    return _rendered(sft_turns(spark, d).filter("NOT contains(content, '<')"))
+
+
+@query()
+def render_conversation_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _rendered(sft_turns(spark, d))
+
+
 @query(f"SELECT sample_id, turn::BIGINT AS turn, prompt, chosen FROM ({_PAIRS})")
 def chat_pairs(spark: SparkSession, d: str) -> DataFrame:
     return chat.chat_pairs(sft_turns(spark, d), "sample_id", "turn")
@@ -624,11 +633,17 @@ def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT sample_id, sha256(" + _COLLAPSED.replace("§", "text") + ") AS hash FROM text_samples WHERE regexp_full_match(text, '[ -%''-;=?-~\\n]*')")
 def clean_ascii(spark: SparkSession, d: str) -> DataFrame:
-    """Cleaning where SQL can follow: texts without tags, entities and non-ASCII characters. ``clean_texts`` covers all."""
+    """Cleaning where SQL can follow: texts without tags, entities and non-ASCII characters. ``clean_samples`` covers all."""
     rows = read_table(spark, d, "text_samples").filter(F.col("text").rlike(r"^[ -%'-;=?-~\n]*$"))
     return rows.select("sample_id", F.sha2(X.clean_text(F.col("text")), 256).alias("hash"))
 
 
+@query()
+def clean_samples(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "text_samples").filter("text IS NOT NULL")
+    return rows.select("sample_id", F.sha2(X.clean_text(F.col("text")), 256).alias("hash"))
+
+
 @query()
 def clean_texts(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", X.clean_text(F.col("text")).alias("text"))
@@ -686,16 +701,26 @@ def memory_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.containment_accuracy(read_table(spark, d, "preference_samples"), "chosen", "prompt").withColumn("accuracy", F.round("accuracy", 8))
 
 
+def _labels(samples: DataFrame) -> DataFrame:
+    rows = samples.filter("kind = 'sft' AND text <> '' AND size(labels_mask) = length(text)")
+    ids = rows.select("sample_id", tokens.code_point_tokens(F.col("text")).alias("ids"), "labels_mask")
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return ids.select("sample_id", F.size("ids").cast("long").alias("n"), add("ids").alias("ids"), add(tokens.assistant_labels(F.col("ids"), F.col("labels_mask"))).alias("labels"))
+
+
 _POINTS = "list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: 20 + unicode(c) % 200)"
 
 
 @query(f"""WITH t AS (SELECT sample_id, {_POINTS} AS p, labels_mask AS m FROM text_samples WHERE kind = 'sft' AND text <> '' AND len(labels_mask) = length(text) AND regexp_full_match(text, '[ -~\n]*'))
 SELECT sample_id, (len(p) + 2)::BIGINT AS n, (list_sum(p) + 3)::BIGINT AS ids, (list_sum(list_transform(p, lambda x, i: CASE WHEN m[i] = 1 THEN x ELSE -100 END)) - 100 + CASE WHEN m[-1] = 1 THEN 2 ELSE -100 END)::BIGINT AS labels FROM t""")
 def assistant_labels(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "text_samples").filter("kind = 'sft' AND text <> '' AND size(labels_mask) = length(text)").filter(F.col("text").rlike(r"^[ -~\n]*\z"))
-    ids = rows.select("sample_id", tokens.code_point_tokens(F.col("text")).alias("ids"), "labels_mask")
-    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    return ids.select("sample_id", F.size("ids").cast("long").alias("n"), add("ids").alias("ids"), add(tokens.assistant_labels(F.col("ids"), F.col("labels_mask"))).alias("labels"))
+    """Labels where SQL can follow: ASCII texts. ``assistant_labels_whole`` covers all."""
+    return _labels(read_table(spark, d, "text_samples").filter(F.col("text").rlike(r"^[ -~\n]*\z")))
+
+
+@query()
+def assistant_labels_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _labels(read_table(spark, d, "text_samples"))
 
 
 @query("""SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS mean,

@@ -1,8 +1,13 @@
 """Cases beyond the given tables: the operators do the whole job there, too."""
 
+import hashlib
+import re
+
+from quern.functions import text as X
 from quern.llm import p4_overlap
 from quern.operators import tokens
 from quern.plans.catalog import QUERIES
+from tests.test_functions import plain_clean
 
 
 def every(units, step, new):
@@ -32,3 +37,28 @@ def test_over_long_rows_are_packed_in_chunks(spark, sf):
     }
     rows = spark.read.parquet(f"{sf}/token_rows.parquet").collect()
     assert sum(r.n for r in QUERIES["pack_greedy_whole"](spark, sf).collect()) == sum(len(r.input_ids or ()) for r in rows if r.source_name)
+
+
+def test_labels_rendering_and_cleaning_of_all_rows(spark, sf):
+    rows = [r for r in spark.read.parquet(f"{sf}/text_samples.parquet").collect() if r.text is not None]
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {}
+    for r in rows:
+        if r.kind == "sft" and r.text and r.labels_mask is not None and len(r.labels_mask) == len(r.text):
+            ids = [20 + ord(c) % 200 for c in r.text]
+            labels = [i if m == 1 else -100 for i, m in zip(ids, r.labels_mask)]
+            want[r.sample_id] = (len(ids) + 2, sum(ids) + 3, sum(labels) - 100 + (2 if r.labels_mask[-1] == 1 else -100))
+    got = {r.sample_id: (r.n, r.ids, r.labels) for r in QUERIES["assistant_labels_whole"](spark, sf).collect()}
+    assert got == want and any(not r.text.isascii() for r in rows if r.sample_id in want)
+    talks = {}
+    for r in rows:
+        if r.kind == "sft" and r.text.startswith("<"):
+            parts = [p for p in re.sub(r"(?m)^<(system|user|assistant)>\n", "\x01\\1\x02", r.text).split("\x01") if p]
+            turns = [(p.partition("\x02")[0], p.rpartition("\x02")[2]) for p in parts]
+            turns = [(role, re.sub(r"\n+$", "", c).strip(" ")) for role, c in turns]
+            for tag in sorted(X.PRESERVED_TAGS, key=len, reverse=True):
+                turns = [(role, c.replace(tag, tag.replace("<", "‹").replace(">", "›"))) for role, c in turns]
+            segments = [(role, f"<{role}>\n{c}\n") for role, c in turns]
+            talks[r.sample_id] = (digest("".join(t for _, t in segments)), sum(len(t) for role, t in segments if role == "assistant"))
+    assert {r.sample_id: (r.text_hash, r.assistant_chars) for r in QUERIES["render_conversation_whole"](spark, sf).collect()} == talks
+    assert {r.sample_id: r.hash for r in QUERIES["clean_samples"](spark, sf).collect()} == {r.sample_id: digest(plain_clean(r.text)) for r in rows}
