@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions.numeric import cosine, unit
+from quern.plans.shared import materialize
 
 
 def similarities(memory: DataFrame, queries: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -41,24 +42,46 @@ def retained(df: DataFrame, score: str, order: str, n: int) -> DataFrame:
 def diverse(scored: DataFrame, memory: DataFrame, id_col: str, vec_col: str, k: int, pool: int, redundancy: float = 0.2) -> DataFrame:
     """``query_id, rank, id``: greedy choice of ``k`` rows by similarity less ``redundancy`` times the largest similarity to a chosen one.
 
-    The choice is made among the ``pool`` most similar rows of a query, a bounded number that fits one group.
+    The choice is tried among the ``pool`` most similar rows of a query. Similarity bounds a row's value from above, so it
+    stands if the last value chosen reaches the least similarity of the pool. Queries where it does not are chosen for in
+    ``k`` rounds over all rows.
     """
+    rows = scored.join(memory.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")), "id").select("query_id", "id", "similarity", "_v")
     top = top_k(scored, pool).join(memory.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")), "id").select("query_id", "id", "similarity", "_v")
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["similarity", "id"], ascending=[False, True]).reset_index(drop=True)
         v = np.stack([np.asarray(x, dtype=np.float64) for x in rows["_v"]])
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        score, near, chosen = rows["similarity"].to_numpy(), np.full(len(rows), -np.inf), []
+        score, near, chosen, last = rows["similarity"].to_numpy(), np.full(len(rows), -np.inf), [], np.inf
         for _ in range(min(k, len(rows))):
             value = score - redundancy * np.where(np.isfinite(near), np.maximum(near, 0), 0)
             value[chosen] = -np.inf
             best = int(np.argmax(value))
+            last = value[best]
             chosen.append(best)
             near = np.maximum(near, v @ v[best])
-        return pd.DataFrame({"query_id": rows["query_id"].iloc[0], "rank": range(1, len(chosen) + 1), "id": rows["id"].iloc[chosen].to_numpy()})
-
-    return top.groupBy("query_id").applyInPandas(choose, "query_id long, rank int, id long")
+        sure = len(rows) < pool or (len(chosen) == k and last >= score[-1])
+        return pd.DataFrame({"query_id": rows["query_id"].iloc[0], "rank": range(1, len(chosen) + 1), "id": rows["id"].iloc[chosen].to_numpy(), "sure": sure})
+
+    tried = materialize(top.groupBy("query_id").applyInPandas(choose, "query_id long, rank int, id long, sure boolean"), "diverse-pool")
+    done = tried.filter("sure").select("query_id", "rank", "id")
+    open_queries = tried.filter("NOT sure").select("query_id").distinct()
+    if open_queries.isEmpty():
+        return done
+    rows = materialize(rows.join(F.broadcast(open_queries), "query_id", "left_semi"), "diverse-all")
+    chosen = None  # at most k rows a query
+    for turn in range(1, k + 1):
+        value, left = F.col("similarity"), rows
+        if chosen is not None:
+            held = chosen.groupBy("query_id").agg(F.collect_list("id").alias("_ids"), F.collect_list("_v").alias("_vs"))
+            left = rows.join(F.broadcast(held), "query_id").filter(~F.array_contains("_ids", F.col("id")))
+            near = F.array_max(F.transform("_vs", lambda x: cosine(x, F.col("_v"))))
+            value = value - redundancy * F.greatest(F.lit(0.0), near)
+        best = left.groupBy("query_id").agg(F.max(F.struct(value.alias("value"), "similarity", (-F.col("id")).alias("minus"), "_v")).alias("b"))
+        best = materialize(best.select("query_id", F.lit(turn).alias("rank"), (-F.col("b.minus")).alias("id"), F.col("b._v").alias("_v")), "diverse-round")
+        chosen = best if chosen is None else chosen.unionByName(best)
+    return done.unionByName(chosen.select("query_id", "rank", "id"))
 
 
 def clusters(df: DataFrame, owner: str, id_col: str, vec_col: str, least: float, most: int = 20_000) -> DataFrame:

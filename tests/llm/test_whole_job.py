@@ -3,9 +3,11 @@
 import hashlib
 import re
 
+import numpy as np
+
 from quern.functions import text as X
 from quern.llm import p4_overlap
-from quern.operators import tokens
+from quern.operators import tokens, vectors
 from quern.plans.catalog import QUERIES
 from tests.test_functions import plain_clean
 
@@ -62,3 +64,19 @@ def test_labels_rendering_and_cleaning_of_all_rows(spark, sf):
             talks[r.sample_id] = (digest("".join(t for _, t in segments)), sum(len(t) for role, t in segments if role == "assistant"))
     assert {r.sample_id: (r.text_hash, r.assistant_chars) for r in QUERIES["render_conversation_whole"](spark, sf).collect()} == talks
     assert {r.sample_id: r.hash for r in QUERIES["clean_samples"](spark, sf).collect()} == {r.sample_id: digest(plain_clean(r.text)) for r in rows}
+
+
+def test_diverse_choice_beyond_the_pool(spark):
+    copies = [(i, [0.9, 0.436, 0.0]) for i in range(1, 51)]  # a hot group of one vector
+    others = [(60, [0.88, -0.475, 0.0]), (61, [0.88, 0.0, 0.475]), (62, [-1.0, 0.0, 0.0])]
+    memory = spark.createDataFrame([*copies, *others], "id long, v array<double>")
+    query = spark.createDataFrame([(0, [1.0, 0.0, 0.0])], "id long, v array<double>")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in [*copies, *others]}
+    want = []
+    for _ in range(5):
+        value = {i: u[0] - 0.2 * max([0, *(u @ unit[j] for j in want)]) for i, u in unit.items() if i not in want}
+        want.append(max(value, key=lambda i: (round(value[i], 12), -i)))
+    assert 60 in want[:3]
+    for pool in (40, 60):
+        got = vectors.diverse(vectors.similarities(memory, query, "id", "v"), memory, "id", "v", 5, pool).orderBy("rank")
+        assert [r.id for r in got.collect()] == want
