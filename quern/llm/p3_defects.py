@@ -117,13 +117,16 @@ def language(text: str) -> str:
 
 
 def expected(prompt: str) -> str:
-    """Language the answer should have: the one the prompt asks for, else the prompt's own."""
+    """Language the answer should have: the one the prompt asks for, else the prompt's own.
+
+    The whole prompt is read; of several names of languages, the one nearest to a word of asking counts.
+    """
     low = prompt.casefold()
-    if _TRANSLATE.search(low):
-        head = low[:120] + low[-80:]
-        at = [(head.find(n), k) for k, names in ASKED.items() for n in names if n in head]
-        if at:
-            return min(at)[1]
+    asked = [m.span() for m in _TRANSLATE.finditer(low)]
+    if asked:
+        near = [(max(0, m.start() - end, start - m.end()), m.start(), k) for k, names in ASKED.items() for n in names for m in re.finditer(re.escape(n), low) for start, end in asked]
+        if near:
+            return min(near)[2]
     return language(prompt)
 
 

@@ -6,7 +6,7 @@ import re
 import numpy as np
 
 from quern.functions import text as X
-from quern.llm import p4_overlap
+from quern.llm import p2_groups, p3_defects, p4_overlap, p6_collapse
 from quern.operators import tokens, vectors
 from quern.plans.catalog import QUERIES
 from tests.test_functions import plain_clean
@@ -80,3 +80,10 @@ def test_diverse_choice_beyond_the_pool(spark):
     for pool in (40, 60):
         got = vectors.diverse(vectors.similarities(memory, query, "id", "v"), memory, "id", "v", 5, pool).orderBy("rank")
         assert [r.id for r in got.collect()] == want
+
+
+def test_language_asked_for_in_the_middle():
+    context = "The letter below was found by the harbor master and he wants to read it to the crew. " * 2
+    passage = " The boats were late and the crew sat on the pier with their tea, and nobody spoke. " * 3
+    assert p3_defects.expected(context + "Please translate it into German for the crew:" + passage) == "de"
+    assert p3_defects.expected(context + passage) == "en"
