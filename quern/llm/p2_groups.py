@@ -79,9 +79,9 @@ def names_in_meta(value: object, kind: str | None = None) -> Iterator[tuple[str,
 
 
 def names_in_text(text: str) -> Iterator[tuple[str, str]]:
-    """Names on labelled or bracketed lines of their own."""
+    """Names on labelled or bracketed lines of their own, of any length where a colon follows the label."""
     for line in text.splitlines():
-        if len(line) > 200 or not line.strip():
+        if not line.strip():
             continue
         m = _LINE.match(line)
         if not m:
@@ -94,9 +94,9 @@ def names_in_text(text: str) -> Iterator[tuple[str, str]]:
         colon = bool(re.match(r"\s*[:：]", line[m.end(1) :]))
         if kind == "source" and ("/" not in m[2] or (" " in m[2].replace(" / ", "/").strip())):
             continue
-        if kind == "author" and len(m[2].split()) > (4 if colon else 1):
+        if kind == "author" and not colon and len(m[2].split()) > 1:
             continue
-        if kind == "entity" and (not colon or len(m[2].split()) > 8):
+        if kind == "entity" and not colon:
             continue
         yield kind, m[2]
 

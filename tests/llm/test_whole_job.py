@@ -87,3 +87,9 @@ def test_language_asked_for_in_the_middle():
     passage = " The boats were late and the crew sat on the pier with their tea, and nobody spoke. " * 3
     assert p3_defects.expected(context + "Please translate it into German for the crew:" + passage) == "de"
     assert p3_defects.expected(context + passage) == "en"
+
+
+def test_long_labelled_lines_name():
+    url = "https://www.kite-forum.example/post/7?" + "&".join(f"part{i}=value{i}" for i in range(40))
+    names = [(k, p2_groups.normal(k, v)) for k, v in p2_groups.names_in_text(f"Source: {url}\nAuthor: Ana Maria de la Cruz Ruiz\nTopic: one two three four five six seven eight nine")]
+    assert names == [("source", "kiteforum/post7"), ("author", "anamariadelacruzruiz"), ("entity", "onetwothreefourfivesixseveneightnine")]
