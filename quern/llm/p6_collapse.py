@@ -2,7 +2,7 @@
 
 Method: progressive partition refinement. Every record gets two invariants that formatting and field order cannot change:
 its number of letters and digits, and a fingerprint of its letter histogram (a sum over mixed code points, so order plays
-no part). Only the ids of classes with several members go on to the costlier keys: the sequence of letters and digits,
+no part), of the text and, where they differ, of the parsed fields. Only the ids of classes with several members go on to the costlier keys: the sequence of letters and digits,
 and, for serialized records, the set of their fields. Classes that fall apart into single records end there.
 
 Texts are compared by casefold. A JSON object or lines of ``key: value`` equal any record with the same fields and values
@@ -76,7 +76,11 @@ def _digest(text: str) -> str:
 
 
 def invariants(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, n_letters, histogram`` of every text with letters or digits: what formatting and field order cannot change."""
+    """``id, n_letters, histogram`` of every text with letters or digits: what formatting and field order cannot change.
+
+    A record whose fields, as parsed, hold other letters than its text (escapes, null) has a second row for its fields, so
+    that it meets records of the same sequence and records of the same fields.
+    """
     schema = T.StructType(
         [
             T.StructField("id", df.schema[id_col].dataType),
@@ -87,19 +91,23 @@ def invariants(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.casefold() for t in strings(batch.column(1))]
+            texts = strings(batch.column(1))
             for a, b in slabs(texts):
-                cps, offsets = to_codepoints(texts[a:b])
+                part = texts[a:b]
+                fields = {i: f for i, t in enumerate(part) if (":" in t or "：" in t) and (f := fields_of(t))}
+                source = np.array([*range(len(part)), *fields], dtype=np.int64)
+                cps, offsets = to_codepoints([t.casefold() for t in (*part, *map("".join, fields.values()))])
                 ok = alnum_table()[cps]
                 with np.errstate(over="ignore"):
                     total = np.concatenate(([np.uint64(0)], np.cumsum(np.where(ok, mix64(cps), np.uint64(0)))))
                     histogram = total[offsets[1:]] - total[offsets[:-1]]
                 many = np.concatenate(([0], np.cumsum(ok)))
                 many = many[offsets[1:]] - many[offsets[:-1]]
-                keep = np.flatnonzero(many)
+                same = (many == many[source]) & (histogram == histogram[source])
+                keep = np.flatnonzero((many > 0) & (~same | (np.arange(len(source)) < len(part))))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, b - a).take(pa.array(keep)),
+                        batch.column(0).slice(a, b - a).take(pa.array(source[keep])),
                         pa.array(many[keep], pa.int64()),
                         pa.array(histogram[keep].view(np.int64), pa.int64()),
                     ],

@@ -82,6 +82,18 @@ def test_diverse_choice_beyond_the_pool(spark):
         assert [r.id for r in got.collect()] == want
 
 
+def test_records_written_with_escapes(spark):
+    texts = [
+        r'{"name": "caf\u00e9 \uac00", "note": "one\ntwo", "left": null}',
+        "note: one two\nname: Café 가\nleft:",
+        '{"left": null, "note": "one two", "name": "café 가"}',
+        r"{name: caf\u00e9 \uac00, note: one\ntwo, left: null}",  # the letters of the first, but no record
+        "note: one two\nname: Cafe 가\nleft:",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "sample_id long, text string")
+    assert {tuple(r) for r in p6_collapse.found(df).collect()} == {(0, 1), (0, 2), (0, 3)}
+
+
 def test_language_asked_for_in_the_middle():
     context = "The letter below was found by the harbor master and he wants to read it to the crew. " * 2
     passage = " The boats were late and the crew sat on the pier with their tea, and nobody spoke. " * 3
