@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,28 +87,36 @@ def diverse(scored: DataFrame, memory: DataFrame, id_col: str, vec_col: str, k:
     return done.unionByName(chosen.select("query_id", "rank", "id"))
 
 
-def clusters(df: DataFrame, owner: str, id_col: str, vec_col: str, least: float, most: int = 20_000) -> DataFrame:
+def clusters(df: DataFrame, owner: str, id_col: str, vec_col: str, least: float) -> DataFrame:
     """``owner, anchor, id``: in id order, each free row takes the later free rows of its owner that are similar enough.
 
-    Greedy by nature, so one owner's memory is one group; memories are pruned to a bounded size, and a larger one fails.
+    So a row belongs to the first anchor it is similar enough to, and is an anchor if there is none. Rows stream through in
+    id order and only anchors are held, so an owner of any number of rows completes.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > most:
-            raise ValueError(f"a memory holds more than {most} rows")
-        rows = rows.sort_values(id_col).reset_index(drop=True)
-        v = np.stack([np.asarray(x, dtype=np.float64) for x in rows[vec_col]])
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        anchor = np.full(len(rows), -1)
-        for i in range(len(rows)):
-            if anchor[i] < 0:
-                anchor[i] = i
-                later = np.flatnonzero(anchor[i + 1 :] < 0) + i + 1
-                anchor[later[v[later] @ v[i] >= least]] = i
-        ids = rows[id_col].to_numpy()
-        return pd.DataFrame({owner: rows[owner], "anchor": ids[anchor], "id": ids})
-
-    return df.select(owner, id_col, vec_col).groupBy(owner).applyInPandas(run, f"{owner} {dict(df.dtypes)[owner]}, anchor long, id long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, held = None, [], np.zeros((0, 0))
+        for batch in batches:
+            owners, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            anchor = []
+            for o, i, x in zip(owners, ids, batch.column(2).to_pylist()):
+                v = np.asarray(x, dtype=np.float64)
+                v /= max(np.linalg.norm(v), 1e-300)
+                if not names or o != now:
+                    now, names, held = o, [], np.zeros((16, len(v)))
+                near = held[: len(names)] @ v >= least
+                if near.any():
+                    anchor.append(names[int(np.argmax(near))])
+                    continue
+                if len(names) == len(held):
+                    held = np.concatenate((held, np.zeros_like(held)))
+                held[len(names)] = v
+                names.append(i)
+                anchor.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(anchor, pa.int64()), batch.column(1)], [owner, "anchor", "id"])
+
+    rows = df.select(owner, F.col(id_col).cast("long").alias(id_col), vec_col).repartition(owner).sortWithinPartitions(owner, id_col)
+    return rows.mapInArrow(run, f"{owner} {dict(df.dtypes)[owner]}, anchor long, id long")
 
 
 def observed(novelty_rows: DataFrame, surprise: DataFrame, key: str, least: float) -> DataFrame:

@@ -105,3 +105,9 @@ def test_long_labelled_lines_name():
     url = "https://www.kite-forum.example/post/7?" + "&".join(f"part{i}=value{i}" for i in range(40))
     names = [(k, p2_groups.normal(k, v)) for k, v in p2_groups.names_in_text(f"Source: {url}\nAuthor: Ana Maria de la Cruz Ruiz\nTopic: one two three four five six seven eight nine")]
     assert names == [("source", "kiteforum/post7"), ("author", "anamariadelacruzruiz"), ("entity", "onetwothreefourfivesixseveneightnine")]
+
+
+def test_clusters_of_a_hot_label(spark):
+    df = spark.range(20_100).selectExpr("'hot' AS label", "id", "IF(id % 2 = 0, array(1D, 0D), array(0D, 1D)) AS v")
+    got = {(r.anchor, r.n) for r in vectors.clusters(df, "label", "id", "v", 0.8).groupBy("anchor").count().withColumnRenamed("count", "n").collect()}
+    assert got == {(0, 10_050), (1, 10_050)}
