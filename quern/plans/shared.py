@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A key counts as hot from this share of all rows on, so there are at most 1 / HOT_SHARE hot keys: a proven broadcast bound.
@@ -19,11 +19,13 @@ SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share. Read from the session; set only where the session has none."""
+    """Folder all executors share. Read from the session; set only where the session has none, and only on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.conf.get("quern.local.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("quern.local.dir", named)
     return named.rstrip("/")
@@ -44,6 +46,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def materialize_counted(df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`materialize`, and the number of rows and further aggregates measured by the same write, without another job."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows"), *measures), name)
+    got = seen.get
+    return out, got if got.get("rows") is not None else {"rows": out.count()}
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`materialize` once nothing reads them any more."""
     path = getattr(df, "quern_path", None)
