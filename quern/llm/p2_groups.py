@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quern.plans.shared import HOT_SHARE, attach_by_key, discard, materialize
+from quern.plans.shared import HOT_SHARE, attach_by_key, discard, materialize, materialize_counted
 
 _NOT_ALNUM = re.compile(r"[\W_]+")
 
@@ -53,6 +53,8 @@ _TYPE_OF_LABEL = {x: t for t, labels in LABELS.items() for x in labels}
 def normal(kind: str, value: str) -> str | None:
     """One spelling of a name: its letters and digits; of a source, those of site and item. None if it names nothing."""
     text = value.casefold().strip()
+    if _NOT_ALNUM.sub("", text) in FILLERS:  # of any kind: a filler may look like a site and an item ("n/a")
+        return None
     if kind == "source":
         text = re.sub(r"^[a-z][a-z0-9+.\-]*://", "", text)
         text = re.sub(r"^www\.", "", text)
@@ -61,8 +63,7 @@ def normal(kind: str, value: str) -> str | None:
         site = re.sub(r"\.example\s*$", "", site)
         site, item = _NOT_ALNUM.sub("", site), _NOT_ALNUM.sub("", item)
         return f"{site}/{item}" if site and item else None
-    name = _NOT_ALNUM.sub("", text)
-    return None if name in FILLERS else name
+    return _NOT_ALNUM.sub("", text)
 
 
 def names_in_meta(value: object, kind: str | None = None) -> Iterator[tuple[str, str]]:
@@ -78,64 +79,65 @@ def names_in_meta(value: object, kind: str | None = None) -> Iterator[tuple[str,
         yield kind, str(value)
 
 
-def names_in_text(text: str) -> Iterator[tuple[str, str]]:
-    """Names on labelled or bracketed lines of their own, of any length where a colon follows the label."""
+def names_in_text(text: str) -> Iterator[tuple[str, str, bool]]:
+    """Names on labelled or bracketed lines of their own, and whether the line's form alone makes them names.
+
+    A colon, brackets, a single word after an author's label and a site with an item after a source's label do. Any other
+    line that begins with a label ("About the harbor ...") may be a sentence; what follows is a name only if the same name
+    stands somewhere in a form that is certain.
+    """
     for line in text.splitlines():
-        if not line.strip():
-            continue
         m = _LINE.match(line)
         if not m:
             continue
         if m[1] is None:
             if m[2].endswith("]]"):
-                yield "entity", m[2][:-2]
+                yield "entity", m[2][:-2], True
             continue
         kind = _TYPE_OF_LABEL[m[1].casefold()]
-        colon = bool(re.match(r"\s*[:：]", line[m.end(1) :]))
-        if kind == "source" and ("/" not in m[2] or (" " in m[2].replace(" / ", "/").strip())):
-            continue
-        if kind == "author" and not colon and len(m[2].split()) > 1:
-            continue
-        if kind == "entity" and not colon:
-            continue
-        yield kind, m[2]
+        certain = bool(re.match(r"\s*[:：]", line[m.end(1) :]))
+        certain = certain or kind == "author" and len(m[2].split()) == 1 or kind == "source" and "/" in m[2] and " " not in m[2].replace(" / ", "/")
+        yield kind, m[2], certain
 
 
 def record_names(df: DataFrame, id_col: str, meta_col: str, text_col: str) -> DataFrame:
-    """``id, name``: distinct normalised names of every record, prefixed by kind."""
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    """``id, name, certain``: distinct normalised names of every record, prefixed by kind."""
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("certain", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, names = [], []
+            ids, names, sure = [], [], []
             for i, meta, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found: set[str] = set()
+                found: dict[str, bool] = {}
                 try:
-                    pairs = list(names_in_meta(json.loads(meta))) if meta else []
-                except ValueError:
+                    pairs = [(k, v, True) for k, v in names_in_meta(json.loads(meta))] if meta else []
+                except (ValueError, RecursionError):
                     pairs = []
-                for kind, value in (*pairs, *names_in_text(text or "")):
+                for kind, value, certain in (*pairs, *names_in_text(text or "")):
                     name = normal(kind, value)
                     if name:
-                        found.add(f"{kind}:{name}")
+                        found[f"{kind}:{name}"] = found.get(f"{kind}:{name}", False) or certain
                 ids += [i] * len(found)
-                names += sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string())], schema.fieldNames())
+                names += found.keys()
+                sure += found.values()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(sure, pa.bool_())], schema.fieldNames())
 
     rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), meta_col, text_col)
     return rows.mapInArrow(run, schema)
 
 
-def relabel(rows: DataFrame, column: str, labels: DataFrame, degree: str, total: int) -> DataFrame:
-    """Replace ``column`` by its label, where it has one. ``labels``: ``v, label`` and its degree.
+def relabel(rows: DataFrame, column: str, labels: DataFrame, degree: str, total: int, most: int) -> DataFrame:
+    """Replace ``column`` by its label, where it has one. ``labels``: ``v, label`` and its degree, ``most`` at most.
 
     Labels of hubs (at most 2 / HOT_SHARE, as degrees add up to twice the edges) are broadcast and their rows kept out of
-    the shuffle's hot partition; all others are joined on the vertex.
+    the shuffle's hot partition; all others are joined on the vertex. Without a hub the join is all there is.
     """
     least = max(1000, int(total * HOT_SHARE))
-    hubs = F.broadcast(labels.filter(F.col(degree) >= least).select(F.col("v").alias("_hub"), F.col("label").alias("_hub_label")))
-    rest = labels.filter(F.col(degree) < least).select(F.col("v").alias("_v"), F.col("label").alias("_label"))
     others = [c for c in rows.columns if c != column]
+    rest = labels.filter(F.col(degree) < least).select(F.col("v").alias("_v"), F.col("label").alias("_label"))
+    if most < least:
+        return rows.join(rest, F.col(column) == F.col("_v"), "left").select(*others, F.coalesce("_label", column).alias(column))
+    hubs = F.broadcast(labels.filter(F.col(degree) >= least).select(F.col("v").alias("_hub"), F.col("label").alias("_hub_label")))
     out = rows.join(hubs, F.col(column) == F.col("_hub"), "left")
     spread = F.when(F.col("_hub").isNotNull(), F.struct(F.lit(1).alias("h"), F.xxhash64(*rows.columns).alias("v"))).otherwise(F.struct(F.lit(0).alias("h"), F.col(column).alias("v")))
     out = out.withColumn("_at", spread).join(rest.withColumn("_at", F.struct(F.lit(0).alias("h"), F.col("_v").alias("v"))), "_at", "left")
@@ -147,19 +149,25 @@ def head(v: str, turn: int) -> Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``v, root`` of every vertex of an edge list ``u, v`` (longs), by random-mate contraction. Loops are ignored."""
-    now = materialize(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "p2-edges")
+    """``v, root`` of every vertex of an edge list ``u, v`` (longs), by random-mate contraction. Loops are ignored.
+
+    A round is two writes: the mates, and the edges between what is left. Both report their size as they are written.
+    """
+    of_edges = lambda df: df.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    now, left = materialize_counted(of_edges(edges), "p2-edges")
     mates: list[DataFrame] = []
     turn = 0
-    while (left := now.count()) > 0:
+    while left["rows"]:
         turn += 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         mate = F.min(F.when(~head("u", turn) & head("v", turn), F.col("v")))
         picked = both.groupBy("u").agg(mate.alias("label"), F.count("*").alias("degree")).withColumnRenamed("u", "v")
-        picked = materialize(picked.filter("label is not null"), "p2-mates")
+        picked, seen = materialize_counted(picked.filter("label is not null"), "p2-mates", F.max("degree").alias("degree"))
+        if not seen["rows"]:  # all coins fell alike
+            continue
         mates.append(picked)
-        moved = relabel(relabel(now, "u", picked, "degree", left), "v", picked, "degree", left)
-        after = materialize(moved.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "p2-edges")
+        moved = relabel(relabel(now, "u", picked, "degree", left["rows"], seen["degree"]), "v", picked, "degree", left["rows"], seen["degree"])
+        after, left = materialize_counted(of_edges(moved), "p2-edges")
         discard(now)
         now = after
     if not mates:
@@ -168,13 +176,16 @@ def components(edges: DataFrame) -> DataFrame:
     forest = mates[0].select("v", "label")
     for m in mates[1:]:
         forest = forest.unionByName(m.select("v", "label"))
-    forest = materialize(forest, "p2-forest")
-    total, depth = forest.count(), 1
+    forest, size = materialize_counted(forest, "p2-forest")
+    depth = 1
     while depth < len(mates):
         children = forest.groupBy(F.col("label").alias("c")).agg(F.count("*").alias("degree"))
-        labels = forest.join(children, F.col("v") == F.col("c")).select("v", "label", "degree")
-        further = materialize(relabel(forest, "label", labels, "degree", total), "p2-forest")
+        labels, seen = materialize_counted(forest.join(children, F.col("v") == F.col("c")).select("v", "label", "degree"), "p2-labels", F.max("degree").alias("degree"))
+        if not seen["rows"]:  # no label is itself a vertex: all point to roots
+            break
+        further = materialize(relabel(forest, "label", labels, "degree", size["rows"], seen["degree"]), "p2-forest")
         discard(forest)
+        discard(labels)
         forest, depth = further, depth * 2
     for m in mates:
         discard(m)
@@ -188,9 +199,9 @@ def groups(df: DataFrame, id_col: str = "sample_id", meta_col: str = "meta", tex
     repeated rows of one id count once; an empty table gives no groups; other columns are not carried, so names cannot
     clash. Texts are read whole, and a record may name any number of authors, sources and entities.
     """
-    named = materialize(record_names(df, id_col, meta_col, text_col).select("id", F.xxhash64("name").alias("key")), "p2-names")
-    total = max(named.count(), 1)
-    facts = named.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    named, size = materialize_counted(record_names(df, id_col, meta_col, text_col).select("id", F.xxhash64("name").alias("key"), "certain"), "p2-names")
+    total = max(size["rows"], 1)
+    facts = named.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.max("certain").alias("name")).filter("n > 1 and name")
     edges = attach_by_key(named, facts, "key", "id", "n", total).select(F.col("id").alias("u"), F.col("least").alias("v"))
     rooted = components(edges)
     # The root itself is no row of the forest; every member, roots included, under the least id of its group.
