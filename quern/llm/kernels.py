@@ -7,6 +7,7 @@ processed; batches are cut into slabs by size only to bound memory, never to dro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -43,6 +44,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return z ^ (z >> _U(31))
 
 
+@lru_cache(maxsize=1)
+def mixed_table() -> np.ndarray:
+    """:func:`mix64` of every code point."""
+    return mix64(np.arange(0x110000, dtype=_U))
+
+
 def slabs(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Index ranges of at most SLAB code points each (single texts may exceed it)."""
     start, size = 0, 0
@@ -91,9 +98,10 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
         return mix64(raw ^ (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
-def word_spans(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(cps: np.ndarray, offsets: np.ndarray, ok: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and text index of the longest runs of letters and digits, none crossing a text's border."""
-    ok = alnum_table()[cps]
+    if ok is None:
+        ok = alnum_table()[cps]
     begin = ok.copy()
     begin[1:] &= ~ok[:-1]
     borders = offsets[1:-1]
@@ -105,34 +113,74 @@ def word_spans(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     finish[last] = ok[last]
     starts = np.flatnonzero(begin)
     ends = np.flatnonzero(finish) + 1
-    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+    return starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
 
 
-def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Comparison units of casefolded texts as 64-bit hashes: words, or single letters and digits in Japanese texts.
+@dataclass(frozen=True)
+class Cut:
+    """Casefolded texts cut into comparison units: words, or single letters and digits in Japanese texts.
 
-    A text counts as Japanese if half of its letters and digits are kana or Han. Returns the unit hashes of all texts in
-    order, the offsets of each text in them (len + 1), and which texts are Japanese.
+    A text counts as Japanese if half of its letters and digits are kana or Han. ``values`` holds the units of all texts in
+    order as 64-bit hashes, ``offsets`` where each text's begin (len + 1); ``letters`` and ``letter_offsets`` likewise the
+    code points of all letters and digits.
     """
-    cps, offsets = to_codepoints([t.casefold() for t in texts])
+
+    values: np.ndarray
+    offsets: np.ndarray
+    japanese: np.ndarray
+    letters: np.ndarray
+    letter_offsets: np.ndarray
+
+
+def cut(texts: list[str]) -> Cut:
+    cps, at = to_codepoints([t.casefold() for t in texts])
     n = len(texts)
     if not len(cps):
-        return np.zeros(0, dtype=_U), np.zeros(n + 1, dtype=np.int64), np.zeros(n, dtype=bool)
-    mixed = mix64(cps)
+        none = np.zeros(n + 1, dtype=np.int64)
+        return Cut(np.zeros(0, dtype=_U), none, np.zeros(n, dtype=bool), np.zeros(0, dtype=np.uint32), none)
     ok = alnum_table()[cps]
-    count = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[offsets])
-    letters, kana = count(ok), count(japanese_table()[cps])
-    japanese = (letters > 0) & (kana * 2 >= letters)
-    starts, ends, owner = word_spans(cps, offsets)
+    where = np.flatnonzero(ok)
+    letters, letter_at = cps[where], np.searchsorted(where, at)
+    kana = np.concatenate(([0], np.cumsum(japanese_table()[letters])))
+    count = np.diff(letter_at)
+    japanese = (count > 0) & (np.diff(kana[letter_at]) * 2 >= count)
+    mixed = mixed_table()[cps]
+    starts, ends, owner = word_spans(cps, at, ok)
     by_word = ~japanese[owner]
-    at_char = np.flatnonzero(ok)
-    char_owner = np.searchsorted(offsets, at_char, side="right") - 1
-    keep = japanese[char_owner]
-    at_char, char_owner = at_char[keep], char_owner[keep]
-    values = np.concatenate((span_hashes(mixed, starts[by_word], ends[by_word]), mixed[at_char]))
-    owners = np.concatenate((owner[by_word], char_owner))
-    order = np.argsort(owners, kind="stable")
-    return values[order], np.searchsorted(owners[order], np.arange(n + 1)), japanese
+    single = np.repeat(japanese, count)
+    words = span_hashes(mixed, starts[by_word], ends[by_word])
+    many = np.where(japanese, count, np.bincount(owner, minlength=n))
+    offsets = np.concatenate(([0], np.cumsum(many)))
+    of_letters = np.repeat(japanese, many)
+    values = np.empty(offsets[-1], dtype=_U)
+    values[~of_letters] = words
+    values[of_letters] = mixed_table()[letters[single]]
+    return Cut(values, offsets, japanese, letters, letter_at)
+
+
+def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units of the texts, their offsets, and which texts are Japanese: see :class:`Cut`."""
+    c = cut(texts)
+    return c.values, c.offsets, c.japanese
+
+
+def grouped_order(owner: np.ndarray, first: np.ndarray, then: np.ndarray, bits: int) -> np.ndarray:
+    """Order by owner (ascending already), ``first`` (below 2**bits) and ``then`` (64 bits).
+
+    All three are packed into one key as far as they go; the few equal keys whose rest could tell them apart are sorted out.
+    """
+    if not len(owner):
+        return np.zeros(0, dtype=np.int64)
+    spare = 64 - bits - int(owner[-1]).bit_length()
+    if spare < 24:
+        return np.lexsort((then, first, owner))
+    key = (owner.astype(_U) << _U(64 - int(owner[-1]).bit_length()) if owner[-1] else np.zeros(len(owner), dtype=_U)) | (first.astype(_U) << _U(spare)) | (then >> _U(64 - spare))
+    order = np.argsort(key)
+    key = key[order]
+    same = np.flatnonzero(key[1:] == key[:-1])
+    if len(same) and (then[order[same]] != then[order[same + 1]]).any():
+        return np.lexsort((then, first, owner))
+    return order
 
 
 def windows(values: np.ndarray, offsets: np.ndarray, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

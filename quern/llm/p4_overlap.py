@@ -28,14 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import p6_collapse
-from quern.llm.kernels import alnum_table, common_in_order, mix64, slabs, span_hashes, strings, to_codepoints, units
-from quern.plans.shared import attach_by_key, materialize
+from quern.llm.kernels import common_in_order, cut, grouped_order, mix64, slabs, span_hashes, strings, units
+from quern.plans.shared import HOT_SHARE, attach_by_key, materialize, materialize_counted
 
 SKETCH_BITS, BLOOM_BITS = 20, 26
 SEGMENTS = 64
 #: Cells of a text's parity, and the 64-bit columns that hold them.
 CELLS = 256
 PARITY = [f"c{i}" for i in range(CELLS // 64)]
+#: Parts into which the list of a frequent term is cut.
+SALTS = 16
 SHARE = (4, 5)  # at least four fifths of the longer text
 
 
@@ -44,7 +46,7 @@ def terms(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     if not len(owner):
         return owner, np.zeros(0, dtype=np.uint64)
-    order = np.lexsort((values, owner))
+    order = grouped_order(owner, np.zeros(len(owner), dtype=np.uint64), values, 0)
     o, v = owner[order], values[order]
     first = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (v[1:] != v[:-1]))))
     turn = np.empty(len(order), dtype=np.uint64)
@@ -97,44 +99,72 @@ def fold(parts: DataFrame, dtype_of: Callable[[int], type], op_of: Callable[[int
                 held[seg] = op_of(kind)(held[seg], part) if seg in held else part
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in held.values()], pa.binary())], ["seg", "blob"])
 
-    rows = parts.repartition("seg").mapInArrow(run, "seg int, blob binary").collect()  # at most 3 * SEGMENTS rows
+    # In two steps, so that no task combines the parts of all tasks before; at most 3 * SEGMENTS rows come back.
+    near = parts.repartition(F.col("seg"), F.pmod(F.xxhash64("blob"), F.lit(32))).mapInArrow(run, "seg int, blob binary")
+    rows = near.repartition("seg").mapInArrow(run, "seg int, blob binary").collect()
     return {r["seg"]: np.frombuffer(zlib.decompress(bytes(r["blob"])), dtype=dtype_of(r["seg"] // SEGMENTS)) for r in rows}
 
 
-def statistics(reps: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of hashed terms over all texts, and the terms present on the training and evaluation side as bits."""
+KEYS = ("k1", "k2", "s1", "s2", "f1", "f2")
+_READ = "id long, train boolean, " + ", ".join(f"{k} long" for k in KEYS) + ", seg int, blob binary"
+
+
+def survey(rows: DataFrame) -> tuple[DataFrame, int, np.ndarray, np.ndarray, np.ndarray]:
+    """One pass over all texts: their keys, counts of hashed terms, and the terms of the training and evaluation side as bits.
+
+    Keys are ``id, train`` and two 64-bit keys each of the sequence of units (k), of the letters and digits (s), of the
+    fields (f, or null); texts without letters and digits have none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
-        bits = {side: np.zeros(1 << BLOOM_BITS, dtype=bool) for side in ("train", "eval")}
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        bits = {side: np.zeros(1 << BLOOM_BITS, dtype=bool) for side in (True, False)}
         for batch in batches:
             texts = strings(batch.column(2))
-            train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            sides = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for a, b in slabs(texts):
-                values, offsets, _ = units(texts[a:b])
-                owner, h = terms(values, offsets)
-                counts += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
-                at, _, term = placed(owner, h, np.diff(offsets), train[a:b])
-                spot = (term & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
-                bits["train"][spot[train[a:b][owner[at]]]] = True
-                bits["eval"][spot[~train[a:b][owner[at]]]] = True
-        rows = [*_pack(0, counts), *_pack(1, np.packbits(bits["train"])), *_pack(2, np.packbits(bits["eval"]))]
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["seg", "blob"])
+                part, train = texts[a:b], sides[a:b]
+                c = cut(part)
+                owner, h = terms(c.values, c.offsets)
+                counts += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                for side in (True, False):
+                    own = np.flatnonzero(train[owner] == side)
+                    _, _, term = placed(owner[own], h[own], np.diff(c.offsets), train)
+                    bits[side][(term & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)] = True
+                keep = np.flatnonzero(np.diff(c.offsets))
+                pairs = lambda v, o: [span_hashes(mix64(v ^ np.uint64(x)), o[:-1][keep], o[1:][keep]).view(np.int64) for x in (3, 5)]  # noqa: E731, B023
+                fields = [p6_collapse.fields_of(part[i]) if ":" in part[i] or "：" in part[i] else None for i in keep]
+                digest = [None if f is None else hashlib.blake2b("\x1d".join(f).encode("utf-8", "surrogatepass"), digest_size=16).digest() for f in fields]
+                halves = [pa.array([None if d is None else int.from_bytes(d[x : x + 8], "big", signed=True) for d in digest], pa.int64()) for x in (0, 8)]
+                own_rows = batch.select([0, 1]).slice(a, b - a).take(pa.array(keep))
+                nothing = [pa.nulls(len(keep), t) for t in (pa.int32(), pa.binary())]
+                keys = map(pa.array, (*pairs(c.values, c.offsets), *pairs(c.letters.astype(np.uint64), c.letter_offsets)))
+                yield pa.RecordBatch.from_arrays([*own_rows.columns, *keys, *halves, *nothing], ["id", "train", *KEYS, "seg", "blob"])
+        out = [*_pack(0, counts), *_pack(1, np.packbits(bits[True])), *_pack(2, np.packbits(bits[False]))]
+        nothing = [pa.nulls(len(out), t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * len(KEYS))]
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["id", "train", *KEYS, "seg", "blob"])
 
-    found = fold(reps.mapInArrow(run, "seg int, blob binary"), lambda k: np.uint8 if k else np.int32, lambda k: np.bitwise_or if k else np.add)
+    read, size = materialize_counted(rows.mapInArrow(run, _READ), "p4-keys", F.count_if(F.col("seg").isNull()).alias("texts"))
+    found = fold(read.filter("seg is not null").select("seg", "blob"), lambda k: np.uint8 if k else np.int64, lambda k: np.bitwise_or if k else np.add)
 
     def whole(kind: int, size: int, dtype: type) -> np.ndarray:
         part = size // SEGMENTS
-        return np.concatenate([found.get(kind * SEGMENTS + s, np.zeros(part, dtype)) for s in range(SEGMENTS)])
+        return np.concatenate([found.get(kind * SEGMENTS + x, np.zeros(part, dtype)) for x in range(SEGMENTS)])
 
-    return whole(0, 1 << SKETCH_BITS, np.int32), whole(1, 1 << BLOOM_BITS >> 3, np.uint8), whole(2, 1 << BLOOM_BITS >> 3, np.uint8)
+    bits = (whole(kind, 1 << BLOOM_BITS >> 3, np.uint8) for kind in (1, 2))
+    return read.filter("seg is null").select("id", "train", *KEYS), size["texts"] or 0, whole(0, 1 << SKETCH_BITS, np.int64), *bits
 
 
 def ranks(owner: np.ndarray, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Place of every term among those of its text, rare ones first: by count in the sketch, then by hash, alike in all texts."""
-    order = np.lexsort((h, counts[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], owner))
+    """Place of every term among those of its text, rare ones first: by count in the sketch, then by hash, alike in all texts.
+
+    Counts are taken in eighths of a doubling, which any 64-bit count needs less than 512 of.
+    """
+    steps = (np.log2(counts[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.float64) + 1) * 8).astype(np.uint64)
+    order = grouped_order(owner, steps, h, 9)
     rank = np.empty(len(h), dtype=np.int64)
-    rank[order] = np.arange(len(h)) - np.searchsorted(owner, owner)  # owners are ascending
+    many = np.bincount(owner)
+    rank[order] = np.arange(len(h)) - np.repeat(np.cumsum(many) - many, many)  # owners are ascending
     return rank
 
 
@@ -145,12 +175,13 @@ def parity(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd).view(np.int64).reshape(n, CELLS // 64)
 
 
-def lists(texts_of_side: DataFrame, train: bool, counts: np.ndarray, other_bits: np.ndarray) -> DataFrame:
+def lists(texts_of_side: DataFrame, train: bool, counts: np.ndarray, other_bits: np.ndarray, hot: int) -> DataFrame:
     """Inverted lists of one side: ``term, id, about`` and the text's parity, of every term of a prefix that the other side has, too.
 
-    ``about`` packs the text's length and the term's rank, 31 bits each (no string holds more).
+    ``about`` packs the text's length and the term's rank, 31 bits each (no string holds more). Lists of terms whose cell in
+    the sketch counts ``hot`` texts or more are cut into SALTS: training entries by text, evaluation entries stand in each.
     """
-    held = texts_of_side.sparkSession.sparkContext.broadcast((counts, other_bits))  # 4 MB and 8 MB, whatever the corpus
+    held = texts_of_side.sparkSession.sparkContext.broadcast((counts, other_bits))  # 8 MB each, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted, packed = held.value
@@ -169,8 +200,16 @@ def lists(texts_of_side: DataFrame, train: bool, counts: np.ndarray, other_bits:
                 spot = (term & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
                 there = (packed[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
                 keep = np.flatnonzero(there & (rank[at] <= n[owner[at]] - least_common(longer)))
+                often = counted[(h[at[keep]] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] >= hot
+                if train:
+                    salt = np.where(often, mix64(ids[a:b][owner[at[keep]]].astype(np.int64).view(np.uint64)) % np.uint64(SALTS), np.uint64(0))
+                else:
+                    many = np.where(often, SALTS, 1)
+                    salt = (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)).astype(np.uint64)
+                    keep = np.repeat(keep, many)
                 o = owner[at[keep]]
-                columns = [pa.array(term[keep].view(np.int64)), pa.array(ids[a:b][o], pa.int64()), pa.array(n[o] << 31 | rank[at[keep]], pa.int64())]
+                place = np.where(salt > 0, mix64(term[keep] ^ mix64(salt)), term[keep])
+                columns = [pa.array(place.view(np.int64)), pa.array(ids[a:b][o], pa.int64()), pa.array(n[o] << 31 | rank[at[keep]], pa.int64())]
                 columns += [pa.array(odd[o, i]) for i in range(len(PARITY))]
                 yield pa.RecordBatch.from_arrays(columns, ["term", "id", "about", *PARITY])
 
@@ -197,36 +236,13 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _keys(rows: DataFrame) -> DataFrame:
-    """``id, train``, two 64-bit keys of the sequence of units (k), of the letters and digits (s), of the fields (f, or null)."""
-    names = ["id", "train", "k1", "k2", "s1", "s2", "f1", "f2"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = strings(batch.column(2))
-            for a, b in slabs(texts):
-                part = texts[a:b]
-                values, offsets, _ = units(part)
-                keep = np.flatnonzero(np.diff(offsets))
-                cps, at = to_codepoints([t.casefold() for t in part])
-                where = np.flatnonzero(alnum_table()[cps])
-                letters, at = cps[where], np.searchsorted(where, at)
-                pairs = lambda v, o: [span_hashes(mix64(v ^ np.uint64(x)), o[:-1][keep], o[1:][keep]).view(np.int64) for x in (3, 5)]
-                fields = [p6_collapse.fields_of(part[i]) if ":" in part[i] or "：" in part[i] else None for i in keep]
-                digest = [None if f is None else hashlib.blake2b("\x1d".join(f).encode("utf-8", "surrogatepass"), digest_size=16).digest() for f in fields]
-                halves = [pa.array([None if d is None else int.from_bytes(d[x : x + 8], "big", signed=True) for d in digest], pa.int64()) for x in (0, 8)]
-                own = batch.select([0, 1]).slice(a, b - a).take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, (*pairs(values, offsets), *pairs(letters.astype(np.uint64), at))), *halves], names)
-
-    return rows.mapInArrow(run, "id long, train boolean, k1 long, k2 long, s1 long, s2 long, f1 long, f2 long")
-
-
-def equal_pairs(keys: DataFrame) -> DataFrame:
+def equal_pairs(keys: DataFrame, total: int) -> DataFrame:
     """``eval_id, train_id`` of records equal in letters and digits or, as serialized records, in their fields."""
     by_letters = keys.groupBy("s1", "s2").agg(F.min(F.when(F.col("f1").isNotNull(), F.struct("f1", "f2"))).alias("f"), F.max("train").alias("t"), F.max(~F.col("train")).alias("e"), F.count("*").alias("n"))
-    class_of = by_letters.select("s1", "s2", "t", "e", F.coalesce(F.col("f"), F.struct(F.col("s1").alias("f1"), F.col("s2").alias("f2"))).alias("class"), F.col("f").isNotNull().alias("r"))
+    class_of = by_letters.select("s1", "s2", "t", "e", "n", F.coalesce(F.col("f"), F.struct(F.col("s1").alias("f1"), F.col("s2").alias("f2"))).alias("class"), F.col("f").isNotNull().alias("r"))
     both = class_of.groupBy("class", "r").agg(F.max("t").alias("t"), F.max("e").alias("e")).filter("t and e").select("class", "r")
-    members = keys.select("id", "train", "s1", "s2").join(class_of.join(both, ["class", "r"]).select("s1", "s2", "class", "r"), ["s1", "s2"])
+    kept = class_of.join(both, ["class", "r"]).select(F.struct("s1", "s2").alias("s"), "class", "r", "n")
+    members = attach_by_key(keys.select("id", "train", F.struct("s1", "s2").alias("s")), kept, "s", "id", "n", total)
     members = materialize(members.select("id", "train", "class", "r"), "p4-equal")
     ev = members.filter(~F.col("train")).select(F.col("id").alias("eval_id"), "class", "r")
     tr = members.filter("train").select(F.col("id").alias("train_id"), "class", "r")
@@ -243,16 +259,15 @@ def overlaps(df: DataFrame, id_col: str = "sample_id", split_col: str = "split_n
     side = F.col(split_col)
     rows = df.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & side.isin(train, *held))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), (side == train).alias("train"), F.col(text_col).alias("text"))
-    keys = materialize(_keys(rows), "p4-keys")
-    total = keys.count()
+    keys, total, counts, train_bits, eval_bits = survey(rows)
     # Copies within a side are left out of the lists; they get their representative's links back at the end.
     cell = keys.select("id", F.xxhash64("k1", "k2", "train").alias("cell"))
     facts = cell.groupBy("cell").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
     copies = materialize(attach_by_key(cell, facts, "cell", "id", "n", total).filter("id <> rep").select("id", "rep"), "p4-copies")
     reps = rows.join(copies.select("id"), "id", "left_anti").select("id", "train", "text")
-    counts, train_bits, eval_bits = statistics(reps)
-    e = lists(reps.filter(~F.col("train")), False, counts, train_bits)
-    t = lists(reps.filter("train"), True, counts, eval_bits)
+    hot = max(1000, int(total * HOT_SHARE))
+    e = lists(reps.filter(~F.col("train")), False, counts, train_bits, hot)
+    t = lists(reps.filter("train"), True, counts, eval_bits, hot)
     met = e.withColumnsRenamed({c: c + "e" for c in e.columns if c != "term"}).join(t, "term")
     (n1, r1), (n2, r2) = ((F.shiftright(c, 31), F.col(c).bitwiseAND((1 << 31) - 1)) for c in ("aboute", "about"))
     longer = F.greatest(n1, n2)
@@ -268,7 +283,7 @@ def overlaps(df: DataFrame, id_col: str = "sample_id", split_col: str = "split_n
     links = links.select(F.col("a").alias("eval_id"), "b").unionByName(links.join(others, "a").select("eval_id", "b"))
     others = copies.select(F.col("rep").alias("b"), F.col("id").alias("train_id"))
     nearly = links.select(F.col("b").alias("train_id"), "eval_id").unionByName(links.join(others, "b").select("train_id", "eval_id"))
-    return nearly.unionByName(equal_pairs(keys)).filter("train_id <> eval_id").distinct()
+    return nearly.unionByName(equal_pairs(keys, total)).filter("train_id <> eval_id").distinct()
 
 
 def found(df: DataFrame) -> DataFrame:
