@@ -70,12 +70,18 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leak.leaks(docs, "doc_id", "text", items, "item_id", "lang", ["passage", "question"])
 
 
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without the spans they share with evaluation items."""
+    docs, items = read_table(spark, d, "documents"), read_table(spark, d, "eval_items")
+    return p8_leak.without_spans(docs, "doc_id", "text", items, "item_id", "lang", ["passage", "question"])
+
+
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return p9_split.split_oversized(read_table(spark, d, "documents"), "doc_id", "text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_text, p2_found, p2_splits, p3_found, p4_found, p4_report, p5_rows, p5_fill, p6_found, p6_copies, p7_ids, p8_found, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_text, p2_found, p2_splits, p3_found, p4_found, p4_report, p5_rows, p5_fill, p6_found, p6_copies, p7_ids, p8_found, p8_clean, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:

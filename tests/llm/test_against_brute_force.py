@@ -239,6 +239,39 @@ def test_leaks(spark, sf):
             want |= {(r.doc_id, i) for i in grams.get(g, ())}
     got = p8_leak.leaks(docs, "doc_id", "text", given_items, "item_id", "lang", ["passage", "question"])
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+    clean = p8_leak.without_spans(docs, "doc_id", "text", given_items, "item_id", "lang", ["passage", "question"])
+    rows_ = {r.doc_id: r for r in clean.collect()}
+    assert {(i, x) for i, r in rows_.items() for x in r["items"]} == want
+    assert len(rows_) == docs.count()
+    for r in docs.collect():
+        new = rows_[r.doc_id]
+        assert (new.clean_text == r.text) == (new.removed == 0)
+    again = p8_leak.leaks(clean.select("doc_id", "clean_text"), "doc_id", "clean_text", given_items, "item_id", "lang", ["passage", "question"])
+    assert again.count() == 0
+
+
+def test_leaks_in_several_blocks_and_spans(spark, monkeypatch):
+    passage = "Straße one two three four five six seven eight nine ten eleven"
+    given_items = spark.createDataFrame([(k, "en", f"{passage} {k}", "か" * 10 + str(k) + "き" * 20) for k in range(7)] + [(9, "JA", "か" * 10 + "3" + "き" * 20, None)], "item_id long, lang string, passage string, question string")
+    text = "ẞ before, STRASSE one; two three four five six seven eight nine ten! after"
+    docs = spark.createDataFrame([(1, text), (1, "other"), (2, "x" + "か" * 10 + "3・" + "き" * 20 + "y"), (None, text), (3, None)], "doc_id long, text string")
+    args = (docs, "doc_id", "text", given_items, "item_id", "lang", ["passage", "question"])
+    whole = sorted(map(tuple, p8_leak.scan(*args).drop("text_key").collect()))
+    assert [(d, i, text[a:b]) for d, i, a, b in whole if d == 1] == [(1, k, "STRASSE one; two three four five six seven eight nine ten") for k in range(7)]
+    assert [r for r in whole if r[0] == 2] == [(2, 9, 1, 33)]
+    monkeypatch.setattr(p8_leak, "BLOCK_CHARS", 100)
+    assert sorted(map(tuple, p8_leak.scan(*args).drop("text_key").collect())) == whole
+    clean = sorted((r.doc_id or 0, r.clean_text or "", r.removed) for r in p8_leak.without_spans(*args).collect())
+    assert clean == sorted([(0, text, 0), (1, "other", 0), (1, "ẞ before,  ! after", 57), (2, "x y", 32), (3, "", 0)])
+
+
+def test_size_of_a_large_block():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("bdfgklmn") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) for _ in range(9000)]
+    parts = [(k, " ".join(rng.choice(words) for _ in range(80))) for k in range(20_000)]
+    ngrams = p8_leak.NgramSet(parts, False)
+    assert len(ngrams.hashes) == 20_000 * 71
+    assert sum(x.nbytes for x in (ngrams.hashes, ngrams.part, ngrams.first, ngrams.letters, ngrams.at, ngrams.bits)) < 200e6
 
 
 @settings(max_examples=60, deadline=None)
