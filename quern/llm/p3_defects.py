@@ -26,6 +26,8 @@ from quern.llm.kernels import common_in_order
 
 #: Most rows from which training sequences are made.
 TRAINING_ROWS = 600
+#: Made sequences of more clauses teach nothing that shorter ones do not, and are left out of training (never of tagging).
+TRAINING_CLAUSES = 12
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 TAGS = 5
 
@@ -52,30 +54,33 @@ FILLERS = {
 _MARKUP = re.compile(r"<[^<>]{0,60}>|&[a-z]{2,6};|```\w*")
 _BARE = re.compile(r"[\W_]+")
 
-# Cues of refusals. Each is one feature; the field learns what they weigh together.
 _C = lambda p: re.compile(p, re.I)
+_L = re.compile
+# Cues of refusals, for lower-cased clauses. Each is one feature; the field learns what they weigh together.
 CUES = {
-    "unable": _C(
-        r"\b(?:can(?:no|['’ ]?)t|cannot|could not|unable|won['’]?t|will not|not able|not allowed|do not allow|don['’]?t|do not|not possible|not permitted)\b|no (?:me es posible|puedo|podemos|puede|voy a|lo voy a|es posible|hay respuesta|debo|me permite|está permitid)"
-        r"|(?:kann|darf|möchte|werde|schreibe|will)\b.{0,40}\bnicht|nicht (?:möglich|helfen|beantworten|erlaubt)|keine (?:auskunft|antwort)|없습니다|없어요|못하|못합니다|않을게요|않겠|안 돼요|어렵습니다|제한된|드릴 수 없|할 수 없|できません|できない|かねます|書けません|しません|答えられ|控え|いたしません|できかね"
+    "unable": _L(
+        r"\b(?:can(?:no|['’ ]?)t|cannot|could not|unable|won['’]?t|will not|not able|not allowed|do not allow|don['’]?t|do not|not possible|not permitted|not something (?:i|we)|nothing (?:i|we))\b|no (?:me es posible|puedo|podemos|puede|voy a|lo voy a|es posible|hay respuesta|debo|me permite|está permitid)"
+        r"|(?:kann|darf|möchte|werde|schreibe|will)\b.{0,40}\bnicht|nicht (?:möglich|helfen|beantworten|erlaubt|behandle)|no (?:trato|tratamos|es algo que|es un tema)|kein thema|다루지 않|扱わない|扱いません|扱っていません|keine (?:auskunft|antwort)|없습니다|없어요|못하|못합니다|않을게요|않겠|안 돼요|어렵습니다|제한된|드릴 수 없|할 수 없|できません|できない|かねます|書けません|しません|答えられ|控え|いたしません|できかね"
     ),
-    "speak": _C(
-        r"\b(?:help|answer|respond|assist|discuss|comply|do that|write about|talk about|get into|provide|describe that|cover)\b|ayudar|responder|escribir|describir|contestar|helfen|beantworten|erzählen|schreib|auskunft|antwort|답|도와|드릴|쓰지|설명을 드리|答え|書け|説明|お話し|回答|手伝|応じ"
+    "speak": _L(
+        r"\b(?:help|answer|respond|assist|discuss|comply|do that|write about|talk about|get into|provide|describe|discuss|cover)\b|ayudar|responder|escribir|describir|contestar|helfen|beantworten|erzählen|schreib|auskunft|antwort|주제|답|도와|드릴|쓰지|설명을 드리|話題|答え|書け|説明|お話し|回答|手伝|応じ"
     ),
-    "decline": _C(r"\bdeclin|\brefus|\bdenied|\breject|pass on (?:this|that)|rather not|prefer not|rechaz|prefiero no|negarme|ablehn|lieber nicht|verweiger|거절|거부|사양|お断り|断り|拒否|遠慮"),
-    "policy": _C(r"guideline|policy|policies|content rule|topics? i do not|language model|as an ai|\bnormas\b|política|directrices|modelo de lenguaje|richtlinie|sprachmodell|정책|지침|규정|언어 모델|인공지능|方針|ポリシー|規約|言語モデル|ガイドライン"),
-    "sorry": _C(r"\bsorry\b|apologi|afraid|lo siento|disculpa|perdón|lamento|tut mir leid|entschuldig|leider|bedaure|죄송|미안|ごめん|すみません|申し訳|恐れ入り"),
-    "elsewhere": _C(
+    "decline": _L(r"\bdeclin|\brefus|\bdenied|\breject|pass on (?:this|that)|rather not|prefer not|rechaz|prefiero no|negarme|ablehn|lieber nicht|verweiger|거절|거부|사양|お断り|断り|拒否|遠慮"),
+    "policy": _L(r"guideline|policy|policies|content rule|topics? i do not|language model|as an ai|\bnormas\b|política|directrices|modelo de lenguaje|richtlinie|sprachmodell|정책|지침|규정|언어 모델|인공지능|方針|ポリシー|規約|言語モデル|ガイドライン"),
+    "sorry": _L(r"\bsorry\b|apologi|afraid|lo siento|disculpa|perdón|lamento|tut mir leid|entschuldig|leider|bedaure|죄송|미안|ごめん|すみません|申し訳|恐れ入り"),
+    "elsewhere": _L(
         r"something else|anything else|another (?:question|topic|one)|send another|other question|different (?:question|topic)|otra cosa|otra pregunta|otro tema|etwas anderes|andere frage|anderes thema|다른 (?:것|이야기|질문|주제)|別の(?:質問|話|話題)|他の(?:質問|話)"
     ),
-    "courtesy": _C(r"^\W*(?:thank you|thanks|gracias|danke|질문 고마|고마워|감사|ご質問ありがとう|ありがとう|good question|great question|buena pregunta|gute frage)"),
-    "first": _C(r"\b(?:i|i['’](?:m|d|ll|ve)|my)\b|\b(?:yo|me|mis?|puedo|debo|prefiero|siento|voy)\b|\b(?:ich|mir|mich)\b|(?:습니다|어요|게요|네요|세요)\W*$|(?:ません|ます|ましょう)\W*$"),
-    "no_first": _C(r"^\W*(?:no|nein|いいえ|いや|아니요?|안 돼요?)\b"),
+    "courtesy": _L(r"^\W*(?:thank you|thanks|gracias|danke|질문 고마|고마워|감사|ご質問ありがとう|ありがとう|good question|great question|buena pregunta|gute frage)"),
+    "first": _L(r"\b(?:i|i['’](?:m|d|ll|ve)|my)\b|\b(?:yo|me|mis?|puedo|debo|prefiero|siento|voy)\b|\b(?:ich|mir|mich)\b|(?:습니다|어요|게요|네요|세요)\W*$|(?:ません|ます|ましょう)\W*$"),
+    "no_first": _L(r"^\W*(?:no|nein|いいえ|いや|아니요?|안 돼요?)\b"),
     "quoted": re.compile(r"[\"“”„«»「『].{3,}[\"“”«»」』]"),
-    "enough": _C(r"\benough\b|go wrong|dejar de|nichts falsch|slow start|la espera|die pause|말로 다|늦어서|言葉にできない|遅くなって|here is|aquí va|hier ist|시작할게요|始めます"),
+    "enough": _L(r"\benough\b|go wrong|dejar de|nichts falsch|slow start|la espera|die pause|말로 다|늦어서|言葉にできない|遅くなって|here is|aquí va|hier ist|시작할게요|始めます"),
 }
 _LABEL = _C(r"^\W*(?:you asked|question|prompt|q|the question is|pregunta|preguntaste|frage|du fragtest|deine frage|질문|물음|質問|お尋ね)\s*[:：]")
 _ITEM = re.compile(r"^\s*(?:[-*•‣・]|\d{1,3}[.)]|\(\d{1,3}\))\s*\S")
+_MARKER = re.compile(r"\s*(?:[-*•‣・]|\(?\d{1,3}[.)])\s*")
+_TRAILING = re.compile(r"(?:\.{2,}|…)\s*$")
 _FIELD = re.compile(r"^\W{0,3}[^\W\d][\w .'’/-]{0,40}?[:：]\s*\S")
 _CONTACT = re.compile(r"\S@\S|\(at\)|\d[\d ().\-]{6,}\d\W*$|様より\W*$|regards,|^\W*tel\b", re.I)
 _SPLIT = re.compile(r"(?<=[.!?…。！？])(?=[\s\"'”’»)\]]*(?:\s|$))|(?<=[。！？])|\n+")
@@ -109,8 +114,10 @@ def language(text: str) -> str:
         owners = _OF_WORD.get(w, ())
         for o in owners:
             votes[o] += 1.0 / len(owners)
-    votes["es"] += 1.5 * sum(c in "¿¡ñ" for c in low) + 0.3 * sum(c in "áéíóú" for c in low)
-    votes["de"] += 1.5 * low.count("ß") + 0.5 * sum(c in "äö" for c in low) + 0.2 * low.count("ü")
+    if not low.isascii():
+        many = lambda marks: sum(map(low.count, marks))
+        votes["es"] += 1.5 * many("¿¡ñ") + 0.3 * many("áéíóú")
+        votes["de"] += 1.5 * low.count("ß") + 0.5 * many("äö") + 0.2 * low.count("ü")
     best = max(votes, key=lambda k: votes[k])
     rest = max(v for k, v in votes.items() if k != best)
     return best if votes[best] > rest and votes[best] >= 1 else ""
@@ -142,11 +149,8 @@ def is_empty(answer: str | None) -> bool:
 def clauses(answer: str) -> list[str]:
     """Clauses with content, in order; a code block is one clause."""
     out = []
-    for k, part in enumerate(re.split(r"(```)", answer)):
-        if part == "```":
-            continue
-        fence = answer[: answer.find(part)].count("```") % 2 == 1 if "```" in answer else False
-        if fence:
+    for k, part in enumerate(answer.split("```")):
+        if k % 2:  # inside a fence
             out.append(part)
             continue
         held = ""
@@ -179,7 +183,7 @@ class Context:
 
 
 NAMES = (
-    "bias", "first", "last", "only", "few", "own_language", "other_language", "no_language", "in_prompt", "much_of_prompt", "answer_in_prompt", "label", "ended", "open", "loose_end", "complete_form", "contact_form", "short_answer", "code_open", "short", "item", "few_items",
+    "bias", "first", "last", "only", "few", "own_language", "other_language", "no_language", "in_prompt", "much_of_prompt", "answer_in_prompt", "label", "ended", "open", "loose_end", "complete_form", "contact_form", "short_answer", "code_open", "short", "item", "few_items", "bare_marker", "trailing_off",
     *CUES, "unable_speak", "sorry_unable", "no_unable", "policy_or_decline", "cue_near",
 )
 _AT = {n: i for i, n in enumerate(NAMES)}
@@ -196,7 +200,7 @@ def features(ctx: Context, answer: str) -> tuple[list[str], np.ndarray]:
         echo = common_in_order(a, b) / len(a)
     items = sum(bool(_ITEM.match(c)) for c in parts)
     code_open = answer.count("```") % 2 == 1
-    hits = [{k: bool(p.search(c)) for k, p in CUES.items()} for c in parts]
+    hits = [{k: bool(p.search(c)) for k, p in CUES.items()} for c in map(str.lower, parts)]
     for i, c in enumerate(parts):
         f = x[i]
         on = lambda name, value=1.0, f=f: f.__setitem__(_AT[name], value)
@@ -242,7 +246,11 @@ def features(ctx: Context, answer: str) -> tuple[list[str], np.ndarray]:
         item = bool(_ITEM.match(c))
         if item:
             on("item")
-        if tail and tail[-1] in _END:
+        if i == n - 1 and n > 1 and _MARKER.fullmatch(c):  # the number of an item that is missing
+            on("bare_marker")
+        elif i == n - 1 and n > 1 and _TRAILING.search(tail):
+            on("trailing_off")
+        elif tail and tail[-1] in _END:
             on("ended")
         elif i == n - 1:
             on("last")
@@ -332,11 +340,11 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
 
 # Phrases of refusal, of turning elsewhere and of courtesy, for training sequences.
 REFUSALS = {
-    "en": ("I'm sorry, but I can't help with that.", "I cannot answer this question.", "I must decline this request.", "I am unable to assist with this request.", "My guidelines do not allow me to respond to this.", "I'd rather not get into that topic.", "Sorry, that is something I won't write about.", "As a language model, I cannot talk about this.", "No, I won't do that.", "Request denied: content policy.", "I have to pass on this one, sorry.", "That question falls under topics I do not cover."),
-    "es": ("Lo siento, pero no puedo ayudarte con eso.", "No me es posible responder a esta pregunta.", "Debo rechazar esta petición.", "Disculpa, prefiero no describir eso.", "Por mis normas, aquí no hay respuesta.", "No, eso no lo voy a escribir.", "Como modelo de lenguaje, no puedo hablar de esto."),
-    "de": ("Es tut mir leid, dabei kann ich nicht helfen.", "Diese Frage kann ich leider nicht beantworten.", "Das muss ich ablehnen.", "Entschuldigung, davon möchte ich nicht erzählen.", "Aus Gründen der Richtlinien gibt es hierzu keine Auskunft.", "Nein, das schreibe ich nicht.", "Als Sprachmodell kann ich darüber nicht sprechen."),
-    "ko": ("죄송하지만 그 질문에는 답할 수 없습니다.", "그 부탁은 들어드릴 수 없어요.", "이 내용은 도와드릴 수 없습니다.", "미안하지만 설명을 드리지 못하겠네요.", "정책상 답변이 제한된 요청입니다.", "안 돼요, 그건 쓰지 않을게요.", "저는 언어 모델이라 이 이야기는 할 수 없습니다.", "그 요청은 거절하겠습니다."),
-    "ja": ("申し訳ありませんが、そのご質問にはお答えできません。", "その依頼はお断りします。", "すみません、それは書けません。", "ごめんなさい、説明はいたしかねます。", "方針により回答を控えます。", "いいえ、それはしません。", "私は言語モデルなので、お話しすることはできません。"),
+    "en": ("I'm sorry, but I can't help with that.", "I cannot answer this question.", "I must decline this request.", "I am unable to assist with this request.", "My guidelines do not allow me to respond to this.", "I'd rather not get into that topic.", "Sorry, that is something I won't write about.", "As a language model, I cannot talk about this.", "No, I won't do that.", "Request denied: content policy.", "I have to pass on this one, sorry.", "That question falls under topics I do not cover.", "Apologies, that is not something I will describe."),
+    "es": ("Lo siento, pero no puedo ayudarte con eso.", "No me es posible responder a esta pregunta.", "Debo rechazar esta petición.", "Disculpa, prefiero no describir eso.", "Por mis normas, aquí no hay respuesta.", "No, eso no lo voy a escribir.", "Como modelo de lenguaje, no puedo hablar de esto.", "Ese es un tema que no trato."),
+    "de": ("Es tut mir leid, dabei kann ich nicht helfen.", "Diese Frage kann ich leider nicht beantworten.", "Das muss ich ablehnen.", "Entschuldigung, davon möchte ich nicht erzählen.", "Aus Gründen der Richtlinien gibt es hierzu keine Auskunft.", "Nein, das schreibe ich nicht.", "Als Sprachmodell kann ich darüber nicht sprechen.", "Das ist ein Thema, das ich nicht behandle."),
+    "ko": ("죄송하지만 그 질문에는 답할 수 없습니다.", "그 부탁은 들어드릴 수 없어요.", "이 내용은 도와드릴 수 없습니다.", "미안하지만 설명을 드리지 못하겠네요.", "정책상 답변이 제한된 요청입니다.", "안 돼요, 그건 쓰지 않을게요.", "저는 언어 모델이라 이 이야기는 할 수 없습니다.", "그 요청은 거절하겠습니다.", "그 이야기는 제가 다루지 않는 주제입니다."),
+    "ja": ("申し訳ありませんが、そのご質問にはお答えできません。", "その依頼はお断りします。", "すみません、それは書けません。", "ごめんなさい、説明はいたしかねます。", "方針により回答を控えます。", "いいえ、それはしません。", "私は言語モデルなので、お話しすることはできません。", "それは私が扱わない話題です。"),
 }
 ELSEWHERE = {
     "en": ("Please ask me something else.", "Is there anything else you would like to talk about?", "Feel free to send another."),
@@ -361,7 +369,7 @@ def _seems_sound(ctx: Context, x: np.ndarray) -> bool:
     """Cautious: only such answers train the tag ``answer``."""
     on = lambda name: x[:, _AT[name]]
     cue = (on("policy_or_decline") + on("no_unable") + on("unable_speak") * (1 - on("quoted")) + on("elsewhere")).sum() > 0 and len(x) <= 3
-    return not (cue or on("loose_end").any() or on("open").any() or on("code_open").any() or on("answer_in_prompt").any() or on("few_items").any() or on("other_language").mean() > 0.34 or on("courtesy").any())
+    return not (cue or on("loose_end").any() or on("open").any() or on("bare_marker").any() or on("trailing_off").any() or on("code_open").any() or on("answer_in_prompt").any() or on("few_items").any() or on("other_language").mean() > 0.34 or on("courtesy").any())
 
 
 def training_data(rows: list[tuple[str, str]], seed: int = 7) -> list[tuple[np.ndarray, list[int]]]:
@@ -378,7 +386,7 @@ def training_data(rows: list[tuple[str, str]], seed: int = 7) -> list[tuple[np.n
     def put(ctx: Context, answer: str, tags: list[int] | int) -> None:
         parts, x = features(ctx, answer)
         y = [tags] * len(parts) if isinstance(tags, int) else tags
-        if len(y) == len(parts) <= 12:
+        if len(y) == len(parts) <= TRAINING_CLAUSES:
             data.append((x, y))
 
     for k, (ctx, answer) in enumerate(sound):
@@ -433,6 +441,13 @@ def training_data(rows: list[tuple[str, str]], seed: int = 7) -> list[tuple[np.n
                 # One short piece alone could as well be a short answer, so it teaches nothing.
                 if stub and stub[-1] not in _END and (len(own) > 1 or len(bare(stub)) > 12 or _OPEN.search(stub)):
                     put(ctx, "\n".join([*(c.strip() for c in own[:-1]), stub]), [ANSWER] * (len(own) - 1) + [UNFINISHED])
+            if k % 8 == 2 and 1 < len(own) <= 10:  # lists that end with the mark of an item, and answers that trail off
+                if k % 16 == 2:
+                    listed = "\n".join(f"{j}. {c.strip()}" for j, c in enumerate(own, 1)) + f"\n{len(own) + 1}. "
+                else:
+                    listed = "\n".join([*(c.strip() for c in own[:-1]), last[: max(2, len(last) // 4)].rstrip() + " ..."])
+                many = len(clauses(listed))
+                put(ctx, listed, [ANSWER] * (many - 1) + [UNFINISHED])
             if k % 16 == 0 and own and own[-1].rstrip()[-1:] in _END:
                 put(ctx, "\n".join(c.strip() for c in own) + "\n```\nfor k in range(3):\n    run(", [ANSWER] * len(own) + [UNFINISHED])
     return data

@@ -1,5 +1,6 @@
 """Held-out accuracy of the clause tagger: trained on some rows, judged on sequences made from others."""
 
+from quern.llm import p3_defects
 from quern.llm.p3_defects import Context, Field, defect, training_data
 
 
@@ -37,3 +38,17 @@ def test_traps(spark, sf):
     assert defect(field, story, "Thank you for asking. I must decline this request. Please ask me something else.") == "refusal"
     assert defect(field, story, "You asked: " + story.prompt) == "echo"
     assert defect(field, story, plain + " We sketched a plain") == "truncated"
+
+
+def test_lists_that_end_with_a_mark_and_unseen_refusals(spark, sf):
+    df = spark.read.parquet(f"{sf}/preference_samples.parquet")
+    field = p3_defects.train(df, "pair_id", "prompt", ("chosen", "rejected"))
+    prompt = "Explain how Mezuz noticed the unfinished lamp."
+    lines = ["The lamp stood by the river all winter.", "Nobody carried it home before the bell."]
+    listed = "\n".join(f"{k}. {x}" for k, x in enumerate(lines, 1))
+    ctx = p3_defects.Context.of(prompt)
+    assert p3_defects.defect(field, ctx, listed) is None
+    assert p3_defects.defect(field, ctx, listed + "\n3. ") == "truncated"
+    assert p3_defects.defect(field, ctx, " ".join(lines) + " On ...") == "truncated"
+    assert p3_defects.defect(field, ctx, "Apologies, Mezuz is not something I will describe.") == "refusal"
+    assert p3_defects.clauses("Here:\n```\nrun(x)\n```\nDone.\n```\nrun(x)\n```")[1:] == ["\nrun(x)\n", "Done.", "\nrun(x)\n"]
