@@ -29,15 +29,13 @@ from pyspark.sql import functions as F
 
 from quern.llm import p6_collapse
 from quern.llm.kernels import common_in_order, cut, grouped_order, mix64, slabs, span_hashes, strings, units
-from quern.plans.shared import HOT_SHARE, attach_by_key, materialize, materialize_counted
+from quern.plans.shared import attach_by_key, materialize, materialize_counted
 
 SKETCH_BITS, BLOOM_BITS = 20, 26
 SEGMENTS = 64
 #: Cells of a text's parity, and the 64-bit columns that hold them.
 CELLS = 256
 PARITY = [f"c{i}" for i in range(CELLS // 64)]
-#: Parts into which the list of a frequent term is cut.
-SALTS = 16
 SHARE = (4, 5)  # at least four fifths of the longer text
 
 
@@ -61,21 +59,24 @@ def least_common(longer: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def length_classes() -> np.ndarray:
-    """First length of each class. The longest partner of a text is in its class or the next one."""
+    """First length of each class. Lengths of a pair differ by a quarter at most, so the partners of a text are in two classes."""
     edges = [1]
     while edges[-1] < 1 << 31:
-        edges.append(edges[-1] * SHARE[1] // SHARE[0] + 1)
+        edges.append(edges[-1] * SHARE[1] ** 2 // SHARE[0] ** 2 + 1)
     return np.array(edges, dtype=np.int64)
 
 
+def class_of(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted(length_classes(), n, side="right") - 1
+
+
 def placed(owner: np.ndarray, h: np.ndarray, n: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Position of a term, class it is listed in, hash of both: the own class in training, that and both neighbours else."""
-    own = np.searchsorted(length_classes(), n, side="right") - 1
-    at = [np.arange(len(h)), *(np.flatnonzero(~train[owner]) for _ in range(2))]
-    cls = np.concatenate([own[owner[i]] + step for i, step in zip(at, (0, -1, 1))])
-    at = np.concatenate(at)
-    ok = (cls >= 0) & (cls < len(length_classes()))
-    at, cls = at[ok], cls[ok]
+    """Position of a term, class it is listed in, hash of both: the text's class in training, those of its partners else."""
+    low, high = (n * SHARE[0] + SHARE[1] - 1) // SHARE[1], n * SHARE[1] // SHARE[0]
+    low, high = class_of(np.where(train, n, np.maximum(low, 1))), class_of(np.where(train, n, high))
+    many = (high - low + 1)[owner]
+    at = np.repeat(np.arange(len(h)), many)
+    cls = low[owner[at]] + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
     return at, cls, mix64(h[at] ^ mix64(cls))
 
 
@@ -175,11 +176,10 @@ def parity(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd).view(np.int64).reshape(n, CELLS // 64)
 
 
-def lists(texts_of_side: DataFrame, train: bool, counts: np.ndarray, other_bits: np.ndarray, hot: int) -> DataFrame:
+def lists(texts_of_side: DataFrame, train: bool, counts: np.ndarray, other_bits: np.ndarray) -> DataFrame:
     """Inverted lists of one side: ``term, id, about`` and the text's parity, of every term of a prefix that the other side has, too.
 
-    ``about`` packs the text's length and the term's rank, 31 bits each (no string holds more). Lists of terms whose cell in
-    the sketch counts ``hot`` texts or more are cut into SALTS: training entries by text, evaluation entries stand in each.
+    ``about`` packs the text's length and the term's rank, 31 bits each (no string holds more).
     """
     held = texts_of_side.sparkSession.sparkContext.broadcast((counts, other_bits))  # 8 MB each, whatever the corpus
 
@@ -200,16 +200,8 @@ def lists(texts_of_side: DataFrame, train: bool, counts: np.ndarray, other_bits:
                 spot = (term & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
                 there = (packed[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
                 keep = np.flatnonzero(there & (rank[at] <= n[owner[at]] - least_common(longer)))
-                often = counted[(h[at[keep]] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] >= hot
-                if train:
-                    salt = np.where(often, mix64(ids[a:b][owner[at[keep]]].astype(np.int64).view(np.uint64)) % np.uint64(SALTS), np.uint64(0))
-                else:
-                    many = np.where(often, SALTS, 1)
-                    salt = (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)).astype(np.uint64)
-                    keep = np.repeat(keep, many)
                 o = owner[at[keep]]
-                place = np.where(salt > 0, mix64(term[keep] ^ mix64(salt)), term[keep])
-                columns = [pa.array(place.view(np.int64)), pa.array(ids[a:b][o], pa.int64()), pa.array(n[o] << 31 | rank[at[keep]], pa.int64())]
+                columns = [pa.array(term[keep].view(np.int64)), pa.array(ids[a:b][o], pa.int64()), pa.array(n[o] << 31 | rank[at[keep]], pa.int64())]
                 columns += [pa.array(odd[o, i]) for i in range(len(PARITY))]
                 yield pa.RecordBatch.from_arrays(columns, ["term", "id", "about", *PARITY])
 
@@ -265,9 +257,9 @@ def overlaps(df: DataFrame, id_col: str = "sample_id", split_col: str = "split_n
     facts = cell.groupBy("cell").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
     copies = materialize(attach_by_key(cell, facts, "cell", "id", "n", total).filter("id <> rep").select("id", "rep"), "p4-copies")
     reps = rows.join(copies.select("id"), "id", "left_anti").select("id", "train", "text")
-    hot = max(1000, int(total * HOT_SHARE))
-    e = lists(reps.filter(~F.col("train")), False, counts, train_bits, hot)
-    t = lists(reps.filter("train"), True, counts, eval_bits, hot)
+    # Long lists are split while they are joined (AQE's skew join), which costs no copies of the other side.
+    e = lists(reps.filter(~F.col("train")), False, counts, train_bits)
+    t = lists(reps.filter("train"), True, counts, eval_bits)
     met = e.withColumnsRenamed({c: c + "e" for c in e.columns if c != "term"}).join(t, "term")
     (n1, r1), (n2, r2) = ((F.shiftright(c, 31), F.col(c).bitwiseAND((1 << 31) - 1)) for c in ("aboute", "about"))
     longer = F.greatest(n1, n2)
