@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 EMAIL, PHONE, ID_NUMBER, ADDRESS, PERSON = "email", "phone", "id_number", "address", "person_name"
 
@@ -181,6 +181,7 @@ class Span:
     end: int
     kind: str
     norm: str
+    gender: str | None = None
 
 
 class Names:
@@ -268,6 +269,32 @@ _LETTERED = re.compile(r"\d[ \-]?[A-Z](?![A-Za-z])")
 _DIGIT = re.compile(r"\d")
 
 
+# Titles before a name that state a gender.
+_TITLE = re.compile(r"(?i)\b(?:(mr|sir|herrn?|lehrer|señor|sr|don|profesor|maestro)|(mrs|ms|miss|madam|frau|lehrerin|señora|señorita|sra|srta|doña|profesora|maestra))\b[.:]?\s{0,2}$")
+# Calling codes, and whether numbers of the country begin with a trunk zero at home.
+CALLING = {"82": True, "81": True, "49": True, "44": True, "33": True, "34": False, "1": False}
+
+
+def title_gender(before: str) -> str | None:
+    """Gender stated by the title that ends a text, if one does."""
+    m = _TITLE.search(before)
+    return None if not m else "m" if m[1] else "f"
+
+
+def calling_code(surface: str, digits: str) -> str:
+    """The calling code that a written telephone number begins with, or nothing."""
+    if surface.lstrip().startswith("+"):
+        return next((c for c in CALLING if digits.startswith(c)), "")
+    return "1" if len(digits) == 11 and digits.startswith("1") else ""
+
+
+def phone_norm(surface: str, digits: str) -> str:
+    """Digits as dialled at home, so that a number with and without its calling code is one entity."""
+    code = calling_code(surface, digits)
+    rest = digits[len(code) :]
+    return "0" + rest if code and CALLING[code] and not rest.startswith("0") else rest
+
+
 def person_norm(name: str) -> str:
     """Given name first, so that both orders and all cases are one entity."""
     family, comma, given = name.partition(",")
@@ -275,6 +302,18 @@ def person_norm(name: str) -> str:
     return " ".join(_BARE.sub(" ", ordered.casefold()).split())
 
 
+def same_person(norms: set[str]) -> dict[str, str]:
+    """Names with an initial for a given name, by the one full name of the same text they can stand for."""
+    full = {n for n in norms if len(n.split()[0]) > 1}
+    out = {}
+    for n in norms - full:
+        first, *_, last = n.split()
+        fits = [f for f in full if " " in f and f.startswith(first) and f.split()[-1] == last] if " " in n else []
+        if len(fits) == 1:
+            out[n] = fits[0]
+    return out
+
+
 def detect(text: str, names: Names) -> list[Span]:
     """Non-overlapping spans of one text, in order. E-mail wins over id number, phone, address and name, in that order."""
     if not text:
@@ -284,10 +323,10 @@ def detect(text: str, names: Names) -> list[Span]:
     found: list[Span] = []
     taken: list[tuple[int, int]] = []
 
-    def add(a: int, b: int, kind: str, norm: str) -> None:
+    def add(a: int, b: int, kind: str, norm: str, gender: str | None = None) -> None:
         if all(b <= x or y <= a for x, y in taken):
             taken.append((a, b))
-            found.append(Span(a, b, kind, norm))
+            found.append(Span(a, b, kind, norm, gender))
 
     if "@" in t or "(at)" in low or "[at]" in low or " at " in low and "dot" in low or "arroba" in low or "(at" in low:
         for m in _EMAIL.finditer(t):
@@ -319,12 +358,15 @@ def detect(text: str, names: Names) -> list[Span]:
                 core = re.split(r"(?i)ext|int|durch|내선|内線", m[0])[0]
                 digits = _KEEP_DIGITS.sub("", core)
                 if 9 <= len(digits) <= 15:
-                    add(*m.span(), PHONE, digits)
+                    add(*m.span(), PHONE, phone_norm(core, digits))
             for m in _PHONE_CUE.finditer(t):
-                add(*m.span(1), PHONE, m[1])
+                add(*m.span(1), PHONE, phone_norm(m[1], m[1]))
         for pattern in _address_patterns(t, low):
             for m in pattern.finditer(t):
                 add(*m.span(), ADDRESS, _BARE.sub(" ", m[0].casefold()).strip())
     for a, b in names.spans(t):
-        add(a, b, PERSON, person_norm(t[a:b]))
+        add(a, b, PERSON, person_norm(t[a:b]), title_gender(t[max(0, a - 16) : a]))
+    alias = same_person({s.norm for s in found if s.kind == PERSON})
+    if alias:
+        found = [replace(s, norm=alias.get(s.norm, s.norm)) if s.kind == PERSON else s for s in found]
     return sorted(found, key=lambda s: s.start)

@@ -3,9 +3,10 @@
 Method: surrogate generation. Every detected entity gets a replacement drawn by a keyed hash of its normal form, so all
 mentions of one entity, however written, get the same replacement (coreference), in the mention's own script and format.
 Replacements are drawn once per distinct entity in a lexicon table; a collision check finds entities of one type that drew
-the same replacement, or one that is itself a real entity, and draws again until all are distinct. Names keep script,
-token count, order and initials; resident numbers keep the digit that states gender; telephone numbers keep country and
-trunk prefixes. The lists of name parts given carry no gender, so none can be matched beyond that.
+the same replacement, or one that is itself a real entity, and draws again until all are distinct. Each further attempt
+draws from more forms (fewer kept digits, then longer ones), so that the draw always comes to an end. Names keep script,
+token count, order, initials, and the gender that a title before any mention states, or else the ending of the given name;
+resident numbers keep the digit that states gender; telephone numbers keep calling codes and trunk prefixes.
 """
 
 from __future__ import annotations
@@ -13,14 +14,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.p1_patterns import ADDRESS, EMAIL, ID_NUMBER, PERSON, PHONE, Names, detect
+from quern.llm.p1_patterns import ADDRESS, CALLING, EMAIL, ID_NUMBER, PERSON, PHONE, Names, calling_code, detect, plain
 from quern.llm.kernels import strings
-from quern.plans.shared import attach_by_key, materialize
+from quern.plans.shared import attach_by_key, materialize, materialize_counted
 
 KINDS = (EMAIL, PHONE, ID_NUMBER, ADDRESS, PERSON)
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
@@ -74,27 +76,41 @@ class Stream:
         return "".join(out)
 
 
-def draw(key: str, kind: str, norm: str, attempt: int) -> str:
-    """Replacement of an entity's normal form; same tokens, lengths and scripts, so that any mention can be formatted."""
+def draw(key: str, kind: str, norm: str, attempt: int, gender: str | None = None) -> str:
+    """Replacement of an entity's normal form; same tokens, lengths and scripts, so that any mention can be formatted.
+
+    From the fourth attempt on one token grows (of numbers, after fewer digits are kept from attempt to attempt).
+    """
     s = Stream(key, kind, norm, attempt)
+    grow = attempt // 4
+    longer = lambda token: token + token[-1:] * grow
     if kind == EMAIL:
         local, _, domain = norm.partition("@")
-        new = re.sub(r"[a-z]+", lambda m: s.word(len(m[0]) + attempt // 4), re.sub(r"\d", lambda m: str(s.below(10)), local))
-        return f"{new}@" + ".".join(["example", ("com", "net", "org")[s.below(3)]])
+        new = re.sub(r"[a-z]+", lambda m: s.word(len(m[0]) + grow), re.sub(r"\d", lambda m: str(s.below(10)), local))
+        return f"{new}{s.word(grow) if grow and not re.search('[a-z]', local) else ''}@" + ".".join(["example", ("com", "net", "org")[s.below(3)]])
+    more = "".join(str(s.below(10)) for _ in range(max(0, grow - 3)))
     if kind == PHONE:
-        keep = 4 if len(norm) > 10 else 3
-        return norm[:keep] + "".join(str(s.below(10)) for _ in norm[keep:])
+        keep = max(int(norm.startswith("0")), (4 if len(norm) > 10 else 3) - grow)
+        return norm[:keep] + "".join(str(s.below(10)) for _ in norm[keep:]) + more
     if kind == ID_NUMBER:
         if len(norm) == 13 and norm.isdigit():
-            return f"{s.below(100):02d}{1 + s.below(12):02d}{1 + s.below(28):02d}{norm[6]}" + "".join(str(s.below(10)) for _ in range(6))
-        return "".join(str(s.below(10)) if c.isdigit() else chr(65 + s.below(26)) for c in norm)
+            return f"{s.below(100):02d}{1 + s.below(12):02d}{1 + s.below(28):02d}{norm[6]}" + "".join(str(s.below(10)) for _ in range(6)) + more
+        return "".join(str(s.below(10)) if c.isdigit() else chr(65 + s.below(26)) for c in norm) + more
+    out = []
     if kind == ADDRESS:
-        out = []
         for token in norm.split():
             end = next((e for e in _STREET_ENDS if token.endswith(e) and len(token) > len(e)), "")
-            out.append(token if token in STREET_WORDS else s.like(token[: len(token) - len(end)]) + end)
+            free = token[: len(token) - len(end)]
+            out.append(token if token in STREET_WORDS else s.like(longer(free) if not any(t not in STREET_WORDS for t in out) else free) + end)
         return " ".join(out)
-    return " ".join(s.like(t) for t in norm.split())
+    tokens = norm.split()
+    for k, token in enumerate(tokens):
+        new = s.like(longer(token) if k == len(tokens) - 1 else token)
+        if k == 0 and len(tokens) > 1 and len(token) > 1 and token.isascii():
+            ending = {"f": "a", "m": "o"}.get(gender or "") or (token[-1] if token[-1] in "ao" else "")
+            new = new[: len(new) - len(ending)] + ending
+        out.append(new)
+    return " ".join(out)
 
 
 def _cased(new: str, old: str) -> str:
@@ -114,20 +130,33 @@ def render(kind: str, core: str, surface: str) -> str:
             out = out.replace("@", at[0])
         return out.upper() if surface.isupper() else out
     if kind in (PHONE, ID_NUMBER):
-        feed = iter(core)
+        head = ""
+        if kind == PHONE:
+            digits = re.sub(r"\D", "", plain(surface))
+            head = calling_code(plain(surface), digits)
+            if head and CALLING[head] and not digits[len(head) :].startswith("0"):
+                core = core[1:]
+        feed = iter(head + core)
         out = []
+        last = 0
         for c in surface:
             if c.isalnum() and (kind == ID_NUMBER or c.isdigit()):
-                n = next(feed, "0" if c.isdigit() else c)
+                n = next(feed, None)
+                last = len(out) + 1 if n else last
+                n = n or ("0" if c.isdigit() else c)
                 n = n.lower() if c.islower() else n
                 out.append(chr(ord(n) + 0xFEE0) if "０" <= c <= "９" else n)
             else:
                 out.append(c)
-        return "".join(out)
+        return "".join([*out[:last], *feed, *out[last:]])
     tokens = core.split()
-    if kind == PERSON and "," in surface:
-        runs = len(re.findall(r"[^\W_]+", surface.split(",")[0]))
-        tokens = tokens[-runs:] + tokens[:-runs]
+    written = re.findall(r"[^\W_]+", surface)
+    if kind == PERSON:
+        before = len(re.findall(r"[^\W_]+", surface.split(",")[0])) if "," in surface else 0
+        if len(written) < len(tokens):  # a mention without the middle names
+            tokens = [*tokens[: len(written) - 1], tokens[-1]]
+        tokens = tokens[-before:] + tokens[:-before] if before else tokens
+        tokens = [t[0] if len(w) == 1 and w.isascii() else t for t, w in zip(tokens, written)]
     feed2 = iter(tokens)
     return re.sub(r"[^\W_]+", lambda m: _cased(next(feed2, m[0]), m[0]), surface)
 
@@ -142,46 +171,55 @@ def name_list(spark: SparkSession, names: DataFrame | None) -> list[tuple]:
 
 
 def mentions(df: DataFrame, table: str, id_col: str, text_col: str, known: list[tuple]) -> DataFrame:
-    """``src_table, rec_id, kind, norm, start, end, surface``: all personal information in whole texts."""
+    """``src_table, rec_id, kind, norm, start, end, gender``: all personal information in whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names(known)
         for batch in batches:
             out: list[tuple] = []
             for i, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
-                out += [(i, s.kind, s.norm, s.start, s.end, text[s.start : s.end]) for s in detect(text, names)]
+                out += [(i, s.kind, s.norm, s.start, s.end, s.gender) for s in detect(text, names)]
             cols = list(zip(*out)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array([table] * len(out), pa.string()), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())))],
-                ["src_table", "rec_id", "kind", "norm", "start", "end", "surface"],
+                ["src_table", "rec_id", "kind", "norm", "start", "end", "gender"],
             )
 
     rows = df.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col)
-    return rows.mapInArrow(run, "src_table string, rec_id long, kind string, norm string, start int, end int, surface string")
+    return rows.mapInArrow(run, "src_table string, rec_id long, kind string, norm string, start int, end int, gender string")
+
+
+_ENTRY = "kind string, norm string, gender string, n long, attempt int, core string"
 
 
 def lexicon(found: DataFrame, key: str) -> DataFrame:
-    """``entity, kind, norm, n, core``: one distinct replacement per distinct entity. ``entity`` hashes kind and norm."""
+    """``kind, norm, n, core``: one replacement per distinct entity, different from all others and from every real entity.
+
+    Each round settles the entities whose draw is free, the least of several that drew alike among them; only the rest is
+    drawn again, from a space that grows with every attempt.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cores = [draw(key, k, v, a) for k, v, a in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cores, pa.string())], ["entity", "kind", "norm", "n", "attempt", "core"])
-
-    schema = "entity long, kind string, norm string, n long, attempt int, core string"
-    todo = found.groupBy("kind", "norm").agg(F.count("*").alias("n")).select(F.xxhash64("kind", "norm").alias("entity"), "kind", "norm", "n", F.lit(0).alias("attempt"))
-    done = materialize(todo.mapInArrow(run, schema), "p1-lexicon")
-    real = done.select(F.col("kind").alias("rk"), F.col("norm").alias("rn"))
-    for _ in range(64):
-        first = done.groupBy("kind", "core").agg(F.min("norm").alias("owner"), F.count("*").alias("drawn"))
-        clash = done.join(first.filter("drawn > 1"), ["kind", "core"]).filter("norm <> owner").select("entity")
-        taken = done.join(real, (F.col("kind") == F.col("rk")) & (F.col("core") == F.col("rn")), "left_semi").select("entity")
-        again = materialize(clash.union(taken).distinct(), "p1-clash")
-        if again.isEmpty():
-            return done
-        redrawn = done.join(again, "entity", "left_semi").select("entity", "kind", "norm", "n", (F.col("attempt") + 1).alias("attempt")).mapInArrow(run, schema)
-        done = materialize(done.join(again, "entity", "left_anti").unionByName(redrawn), "p1-lexicon")
-    return done  # entities whose whole form leaves no free replacement keep the last one drawn
+            cores = [draw(key, k, v, a, g) for k, v, g, a in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cores, pa.string())], ["kind", "norm", "gender", "n", "attempt", "core"])
+
+    one = F.when(F.min("gender") == F.max("gender"), F.min("gender")).alias("gender")  # titles that differ state nothing
+    gender = "gender" if "gender" in found.columns else F.lit(None).cast("string").alias("gender")
+    todo = found.select("kind", "norm", gender).groupBy("kind", "norm").agg(one, F.count("*").alias("n")).withColumn("attempt", F.lit(0))
+    real: DataFrame | None = None
+    settled: list[DataFrame] = []
+    while True:
+        drawn, size = materialize_counted(todo.mapInArrow(run, _ENTRY), "p1-drawn")
+        if not size["rows"]:
+            return reduce(DataFrame.unionByName, settled or [drawn]).select("kind", "norm", "n", "core")
+        real = drawn.select("kind", F.col("norm").alias("core")) if real is None else real
+        least = drawn.groupBy("kind", "core").agg(F.min(F.struct("norm", "gender", "n", "attempt")).alias("e")).select("kind", "e.*", "core")
+        # Inner joins with what is there already: of a late, small round only the small side moves.
+        taken = reduce(DataFrame.unionByName, [least.join(x.select("kind", "core"), ["kind", "core"]).select("kind", "core") for x in (real, *settled)])
+        free = materialize(least.join(taken.distinct(), ["kind", "core"], "left_anti").select("kind", "norm", "gender", "n", "attempt", "core"), "p1-settled")
+        settled.append(free)
+        todo = drawn.join(free.select("kind", "norm"), ["kind", "norm"], "left_anti").select("kind", "norm", "gender", "n", (F.col("attempt") + 1).alias("attempt"))
 
 
 def replacements(sources: list[tuple[DataFrame, str, str, str]], names: DataFrame | None = None) -> DataFrame:
@@ -197,9 +235,11 @@ def replacements(sources: list[tuple[DataFrame, str, str, str]], names: DataFram
     found = mentions(*sources[0], known)
     for s in sources[1:]:
         found = found.unionByName(mentions(*s, known))
-    found = materialize(found, "p1-mentions").withColumn("entity", F.xxhash64("kind", "norm"))
-    words = lexicon(found, key).select("entity", "n", "core")
-    total = found.count()
+    found, size = materialize_counted(found, "p1-mentions")
+    entity = F.struct(F.xxhash64("kind", "norm").alias("a"), F.xxhash64("norm", "kind").alias("b")).alias("entity")
+    words = lexicon(found, key).select(entity, "n", "core")
+    found = found.select("*", entity)
+    total = max(size["rows"], 1)
     # The salt has to vary within one entity, which start and record do.
     keyed = found.withColumn("mention", F.xxhash64("src_table", "rec_id", "start"))
     return attach_by_key(keyed, words, "entity", "mention", "n", total).drop("mention", "n")

@@ -330,9 +330,36 @@ def test_surrogates_keep_format_and_coreference(spark):
     core = draw("k", one.kind, one.norm, 0)
     a, b = render(one.kind, core, "Tovan Brennvik"), render(two.kind, core, "BRENNVIK, TOVAN")
     assert sorted(a.casefold().split()) == sorted(b.casefold().replace(",", "").split()) and b.isupper() and "," in b
-    phone = render("phone", draw("k", "phone", "15225550101", 0), "+1 522 555 0101 ext. 12")
+    number = detect("+1 522 555 0101 ext. 12", NAMES)[0]
+    phone = render("phone", draw("k", "phone", number.norm, 0), "+1 522 555 0101 ext. 12")
     assert re.fullmatch(r"\+1 52\d \d{3} \d{4} ext\. \d+", phone)
     # Small spaces force collisions; all replacements still differ and none is a real entity.
     found = spark.createDataFrame([("id_number", str(n)) for n in range(10, 50)], "kind string, norm string")
     words = lexicon(found, "k").collect()
     assert len({r.core for r in words}) == 40 and not {r.core for r in words} & {str(n) for n in range(10, 50)}
+
+
+def test_surrogates_grow_until_all_differ(spark):
+    """All two-digit numbers and a third of the addresses of one short form: more than there is room for."""
+    given_ = [("id_number", f"{n:02d}") for n in range(100)] + [("address", f"{n} a st") for n in range(1, 10)] + [("phone", f"0101234{n:04d}") for n in range(3000)]
+    words = lexicon(spark.createDataFrame(given_, "kind string, norm string"), "k").collect()
+    assert len(words) == len(given_) == len({(r.kind, r.core) for r in words})
+    assert not {(r.kind, r.core) for r in words} & set(given_)
+
+
+def test_one_person_and_one_number_in_several_forms():
+    text = "Frau Rona Velt called; R. Velt left +82 10-1234-5678. VELT, RONA is at 010 1234 5678 and Rona K. Velt is not."
+    found = {text[s.start : s.end]: s for s in detect(text, Names([("Velt", "family", "latin"), ("Rona", "given", "latin")]))}
+    assert found["Rona Velt"].norm == found["VELT, RONA"].norm and found["Rona Velt"].gender == "f"
+    assert found["+82 10-1234-5678"].norm == found["010 1234 5678"].norm == "01012345678"
+    core = draw("k", "phone", "01012345678", 0)
+    assert render("phone", core, "010 1234 5678") == f"{core[:3]} {core[3:7]} {core[7:]}"
+    assert render("phone", core, "+82 10-1234-5678") == f"+82 {core[1:3]}-{core[3:7]}-{core[7:]}"
+    text = "Rona Velt signed, and then R. Velt came."
+    spans = detect(text, Names([("Velt", "family", "latin")]))
+    assert {s.norm for s in spans} == {"rona velt"}
+    core = draw("k", "person_name", "rona velt", 0, "f")
+    first, last = core.split()
+    assert first.endswith("a") and draw("k", "person_name", "rona velt", 0, "m").split()[0].endswith("o")
+    assert render("person_name", core, "R. Velt") == f"{first[0].upper()}. {last.capitalize()}"
+    assert render("person_name", draw("k", "person_name", "rona k velt", 0), "Velt, R.").count(",") == 1
