@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,14 +20,11 @@ def json_digest(payload: object) -> str:
 
 def source_lock(spark: SparkSession, sources: list[dict]) -> DataFrame:
     """``source_name, purpose, path, bytes, sha256`` of every file of every source, in order."""
-    out: DataFrame | None = None
-    for s in sources:
-        for f in expand(spark, s.get("paths") or [s["path"]]):
-            rows = checksums(spark, f).select(F.lit(s["name"]).alias("source_name"), F.lit(s.get("purpose", "training")).alias("purpose"), "path", "bytes", "sha256")
-            out = rows if out is None else out.unionByName(rows)
-    if out is None:
+    files = [(s["name"], s.get("purpose", "training"), f) for s in sources for f in expand(spark, s.get("paths") or [s["path"]])]
+    if not files:
         raise ValueError("no files to lock")
-    return out.orderBy("source_name", "path")
+    listed = spark.createDataFrame(files, "source_name string, purpose string, path string")
+    return checksums(listed).drop("newlines").orderBy("source_name", "path")
 
 
 def purpose_conflicts(lock: DataFrame) -> DataFrame:
@@ -43,7 +42,19 @@ def lock_changes(locked: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def denylist_digest(deny: DataFrame) -> DataFrame:
-    return deny.agg(F.sha2(F.to_json(F.array_sort(F.collect_set("hash"))), 256).alias("digest"))
+    """SHA-256 of the sorted distinct hashes as a JSON list. The sorted list streams through one task with a digest as state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, first = hashlib.sha256(b"["), True
+        for batch in batches:
+            values = [f'"{h}"' for h in batch.column(0).to_pylist()]
+            if values:
+                digest.update((("" if first else ",") + ",".join(values)).encode())
+                first = False
+        digest.update(b"]")
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], ["digest"])
+
+    return deny.filter("hash is not null").select("hash").distinct().orderBy("hash").coalesce(1).mapInArrow(run, "digest string")
 
 
 def leaves(settings: dict, prefix: str = "") -> dict[str, str]:

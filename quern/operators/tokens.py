@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.plans.shared import before_blocks, in_blocks, materialize
+
 IGNORED = -100
+#: Ids of a shard that one task packs in order; each such range begins a new bin, which wastes less than a bin a range.
+PACK_RANGE = 1_000_000
 
 
 def chunks(values: Column, size: int) -> Column:
@@ -36,10 +40,51 @@ def with_final(values: Column, size: int, end: int) -> Column:
     return F.transform(chunks(values, size), lambda c: F.when(F.element_at(c, -1) == end, c).when(F.size(c) < size, F.concat(c, F.array(F.lit(end)))).otherwise(F.concat(F.slice(c, 1, F.lit(size - 1)), F.array(F.lit(end)))))
 
 
+def _ranges(df: DataFrame, shard: str, order: str, length: str) -> DataFrame:
+    rows = df.select(F.floor(F.col(order) / PACK_RANGE).cast("long").alias("_range"), F.col(shard).cast("long"), F.col(order).cast("long"), F.col(length).cast("long"))
+    return rows.repartition(shard, "_range").sortWithinPartitions(shard, "_range", order)
+
+
+def _by_range(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Run a fold over shards with (shard, range) in the place of the shard, and give both back."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple[int, int]] = {}
+        last: tuple[int, int] | None = None
+
+        def numbered() -> Iterator[pa.RecordBatch]:
+            nonlocal last
+            for b in batches:
+                parts = []
+                for key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if key != last:
+                        last = key
+                        known[len(known)] = key
+                    parts.append(len(known) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), *b.columns[2:]], ["part", *b.schema.names[2:]])
+
+        for out in run(numbered()):
+            keys = [known[p] for p in out.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in keys], pa.int64()), pa.array([s for _, s in keys], pa.int64()), *out.columns[1:]], ["_range", *out.schema.names])
+
+    return both
+
+
+def _renumbered(rows: DataFrame, shard: str) -> DataFrame:
+    """Bins (0 and up) and chunks (-1 and down) numbered on through the ranges of a shard."""
+    rows = materialize(rows, "packed")
+    w = Window.partitionBy(shard).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    used = rows.groupBy(shard, "_range").agg(F.coalesce(F.max(F.when(F.col("bin") >= 0, F.col("bin"))) + 1, F.lit(0)).alias("_b"), F.coalesce(-F.min(F.when(F.col("bin") < 0, F.col("bin"))), F.lit(0)).alias("_c"))
+    before = used.select(shard, "_range", F.coalesce(F.sum("_b").over(w), F.lit(0)).alias("_b"), F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_c"))
+    out = rows.join(before, [shard, "_range"])
+    return out.withColumn("bin", F.when(F.col("bin") >= 0, F.col("bin") + F.col("_b")).otherwise(F.col("bin") - F.col("_c"))).select(*[c for c in rows.columns if c != "_range"])
+
+
 def greedy_bins(df: DataFrame, shard: str, order: str, length: str, capacity: int) -> DataFrame:
     """``shard, order, bin, length``: items in order, a new bin where the next does not fit; shards are packed apart.
 
-    The fold runs over sorted batches of a shard with one number of state, so a shard of any size streams through.
+    The fold runs over sorted batches with one number of state. A shard is cut into ranges of PACK_RANGE ids, which are packed
+    apart, each from a new bin on, so a hot shard is spread over tasks; bins are numbered on through the ranges.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,8 +101,7 @@ def greedy_bins(df: DataFrame, shard: str, order: str, length: str, capacity: in
                 bins[i] = number
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bins)], [shard, order, length, "bin"])
 
-    rows = df.select(F.col(shard).cast("long"), F.col(order).cast("long"), F.col(length).cast("long")).repartition(shard).sortWithinPartitions(shard, order)
-    return rows.mapInArrow(run, f"{shard} long, {order} long, {length} long, bin long")
+    return _renumbered(_ranges(df, shard, order, length).mapInArrow(_by_range(run), f"_range long, {shard} long, {order} long, {length} long, bin long"), shard)
 
 
 def greedy_packs(df: DataFrame, shard: str, order: str, length: str, capacity: int) -> DataFrame:
@@ -86,8 +130,7 @@ def greedy_packs(df: DataFrame, shard: str, order: str, length: str, capacity: i
             columns = zip(*out) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    rows = df.select(F.col(shard).cast("long"), F.col(order).cast("long"), F.col(length).cast("long")).repartition(shard).sortWithinPartitions(shard, order)
-    return rows.mapInArrow(run, f"{shard} long, {order} long, start long, {length} long, bin long")
+    return _renumbered(_ranges(df, shard, order, length).mapInArrow(_by_range(run), f"_range long, {shard} long, {order} long, start long, {length} long, bin long"), shard)
 
 
 def position_ids(lens: Column) -> Column:
@@ -145,8 +188,47 @@ def assistant_labels(ids: Column, mask: Column) -> Column:
 
 
 def segment_means(df: DataFrame, row: str, segment: str, place: str, value: str) -> DataFrame:
-    """Running mean within each segment of a packed row, and whether a segment begins at a place."""
-    inside = Window.partitionBy(row, segment).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
-    along = Window.partitionBy(row).orderBy(place)
-    before = F.lag(segment).over(along)
-    return df.select(row, segment, place, F.avg(value).over(inside).alias("mean"), (before.isNull() | (before != F.col(segment))).alias("begins"))
+    """Running mean within each segment of a packed row, and whether a segment begins at a place; long rows go in blocks."""
+    rows = in_blocks(df.select(row, segment, place, value), place, "segments")
+    inside = Window.partitionBy(row, segment, "_block").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy(row, "_block").orderBy(place)
+    sums = before_blocks(rows, [row, segment], s=(F.sum(value), F.sum), n=(F.count(value), F.sum))
+    last = before_blocks(rows, [row], last=(F.max(F.struct(place, segment)), F.max))
+    before = F.when(F.row_number().over(along) == 1, F.col(f"last.{segment}")).otherwise(F.lag(segment).over(along))
+    mean = (F.sum(value).over(inside) + F.coalesce("s", F.lit(0.0))) / (F.count(value).over(inside) + F.coalesce("n", F.lit(0)))
+    out = rows.join(last, [row, "_block"]).withColumn("_before", before).join(sums, [row, segment, "_block"])
+    return out.select(row, segment, place, mean.alias("mean"), (F.col("_before").isNull() | (F.col("_before") != F.col(segment))).alias("begins"))
+
+
+def batch_steps(batches: Column, epochs: int, micro_batch: int, sequence: int, target_tokens: int, world: int = 1, fallback: int = 1) -> tuple[Column, Column]:
+    """Micro-steps gathered per optimizer step so that it sees at least the target tokens, and optimizer steps of a training."""
+    gathered = F.greatest(F.lit(fallback), F.ceil(F.lit(target_tokens) / F.lit(max(1, micro_batch * sequence * max(1, world)))))
+    return gathered, F.greatest(F.lit(1), F.lit(epochs) * F.ceil(F.greatest(F.lit(1), batches) / gathered))
+
+
+def masked_block(ids: Column, labels: Column, lens: Column, key: Column, mask_id: int, size: int, rate: float) -> Column:
+    """Struct ``input_ids, labels, start, end``: one supervised block of a row corrupted for denoising; null if nothing is supervised.
+
+    A place among the supervised ones is chosen by hash of ``key``; the block of ``size`` that holds it, counted from the
+    start of its document, is corrupted: each of its supervised tokens is masked with probability ``rate``, the chosen one if
+    none is. Labels keep the masked tokens only. What follows ``end`` is hidden from attention.
+    """
+    n = F.size(ids)
+    draw = lambda *x: (F.pmod(F.xxhash64(*x), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    ends = F.transform(lens, lambda m, i: F.aggregate(F.slice(lens, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
+    place = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(labels, (i + 1).cast("int")) != IGNORED)
+    chosen = F.element_at(place, (F.floor(draw(key, F.lit("place")) * F.size(place)) + 1).cast("int"))
+    start_of = F.coalesce(F.array_max(F.filter(ends, lambda e: e <= chosen)), F.lit(0))
+    end_of = F.coalesce(F.array_min(F.filter(ends, lambda e: e > chosen)), n)
+    start = (start_of + F.floor((chosen - start_of) / size) * size).cast("int")
+    end = F.least(end_of, start + size).cast("int")
+    inside = F.filter(place, lambda i: (i >= start) & (i < end))
+    drawn = F.filter(inside, lambda i: draw(key, i) < rate)
+    masked = F.when(F.size(drawn) > 0, drawn).otherwise(F.array(chosen))
+    out = F.struct(
+        F.transform(ids, lambda x, i: F.when(F.array_contains(masked, i), F.lit(mask_id)).otherwise(x)).alias("input_ids"),
+        F.transform(ids, lambda x, i: F.when(F.array_contains(masked, i), x).otherwise(F.lit(IGNORED))).alias("labels"),
+        start.alias("start"),
+        end.alias("end"),
+    )
+    return F.when(F.size(place) > 0, out)

@@ -469,9 +469,10 @@ def token_store_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- vectors ------------------------------------------------------------------------------------------------------------
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, str, str]:
+    """All vectors, and the stated set of queries among them."""
     e = read_table(spark, d, "embeddings")
-    return vectors.similarities(e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding")
+    return e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding"
 
 
 _SCORED = "SELECT q.vec_id AS query_id, m.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], m.embedding::DOUBLE[]) AS similarity FROM embeddings q, embeddings m WHERE q.vec_id % 50 = 0"
@@ -479,12 +480,12 @@ _SCORED = "SELECT q.vec_id AS query_id, m.vec_id AS id, list_cosine_similarity(q
 
 @query(f"SELECT query_id, id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS k FROM ({_SCORED})) WHERE k <= 5")
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.top_k(_scored(spark, d), 5).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+    return vectors.nearest(*_asked(spark, d), 5).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"SELECT query_id, round(1 - greatest(0, max(similarity)), 6) AS novelty FROM ({_SCORED}) WHERE query_id <> id GROUP BY query_id")
 def novelty(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.novelty(_scored(spark, d)).withColumn("novelty", F.round("novelty", 6))
+    return vectors.novelty(*_asked(spark, d)).withColumn("novelty", F.round("novelty", 6))
 
 
 @query("""WITH u AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS z FROM embeddings),
@@ -505,7 +506,7 @@ def retention_topn(spark: SparkSession, d: str) -> DataFrame:
 SELECT query_id, round(0.55 * least(1, value / 100) + 0.45 * novelty, 6) AS salience FROM n JOIN events ON event_id = query_id WHERE 0.55 * least(1, value / 100) + 0.45 * novelty >= 0.2""")
 def observe_salience(spark: SparkSession, d: str) -> DataFrame:
     surprise = read_table(spark, d, "events").select(F.col("event_id").alias("query_id"), F.least(F.lit(1.0), F.col("value") / 100).alias("surprise"))
-    return vectors.observed(vectors.novelty(_scored(spark, d)), surprise, "query_id", 0.2).withColumn("salience", F.round("salience", 6))
+    return vectors.observed(vectors.novelty(*_asked(spark, d)), surprise, "query_id", 0.2).withColumn("salience", F.round("salience", 6))
 
 
 @query("SELECT event_id, round(pow(least(value, 4 * (SELECT avg(value) FROM events)), 0.6), 8) AS priority FROM events ORDER BY pow(least(value, 4 * (SELECT avg(value) FROM events)), 0.6) DESC, event_id LIMIT 64")
@@ -519,16 +520,44 @@ def replay_sample(spark: SparkSession, d: str) -> DataFrame:
     return vectors.weighted_sample(read_table(spark, d, "events").select("event_id", "value"), "event_id", "value", 64, 7)
 
 
-@query()
+def sql_mmr(scored: str, k: int) -> str:
+    """Greedy diverse choice from ``query_id, id, score``."""
+    return f"""WITH RECURSIVE s AS MATERIALIZED ({scored}),
+v AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+f AS (SELECT DISTINCT query_id, 0 AS rank, NULL::BIGINT AS id, []::DOUBLE[][] AS near, []::BIGINT[] AS ids FROM s
+UNION ALL SELECT query_id, rank + 1, b.id, list_append(near, b.e), list_append(ids, b.id) FROM (
+  SELECT f.query_id, f.rank, f.near, f.ids, min({{'v': -round(s.score - 0.2 * greatest(0, coalesce(list_max(list_transform(f.near, lambda x: list_cosine_similarity(x, v.e))), 0)), 12), 'id': s.id, 'e': v.e}}) AS b
+  FROM f JOIN s ON s.query_id = f.query_id JOIN v ON v.id = s.id WHERE f.rank < {k} AND NOT list_contains(f.ids, s.id) GROUP BY ALL))
+SELECT query_id, rank, id FROM f WHERE rank > 0"""
+
+
+@query(sql_mmr(f"SELECT query_id, id, round(similarity, 12) AS score FROM ({_SCORED})", 8))
 def mmr_retrieve(spark: SparkSession, d: str) -> DataFrame:
-    """Diverse retrieval; checked against a plain version in the tests."""
-    e = read_table(spark, d, "embeddings")
-    return vectors.diverse(_scored(spark, d), e, "vec_id", "embedding", 8, 40)
+    """Diverse retrieval by similarity alone."""
+    return vectors.diverse(*_asked(spark, d), 8, 40)
 
 
-@query()
+_AGED = "0.2 * ((m.vec_id % 10) / 10.0) + 0.1 * exp(-ln(2) * (m.vec_id % 97) / 24) + 0.05 * least(1, ln(1 + m.vec_id % 5) / ln(8))"
+
+
+@query(sql_mmr(f"SELECT query_id, id, round(0.65 * greatest(0, round(similarity, 12)) + bonus, 12) AS score FROM (SELECT q.vec_id AS query_id, m.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], m.embedding::DOUBLE[]) AS similarity, {_AGED} AS bonus FROM embeddings q, embeddings m WHERE q.vec_id % 50 = 0) WHERE similarity >= 0.1", 6))
+def memory_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """Diverse retrieval by weighted score above a threshold; salience, age and support come from the id."""
+    e, q, *names = _asked(spark, d)
+    k = F.col("vec_id")
+    e = e.select("vec_id", "embedding", ((k % 10) / 10).alias("s"), (k % 97).cast("double").alias("age"), (k % 5).alias("n")).withColumn("bonus", vectors.memory_bonus("s", "age", "n", 24.0))
+    return vectors.diverse(e, q, *names, 6, 60, weight=0.65, bonus="bonus", least=0.1)
+
+
+_CLUSTERS = """r AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+f AS (SELECT label, k, vec_id AS id, vec_id AS anchor, [{'id': vec_id, 'e': e}] AS held FROM r WHERE k = 1
+UNION ALL SELECT r.label, r.k, r.vec_id, coalesce(m.id, r.vec_id), CASE WHEN m.id IS NULL THEN list_append(f.held, {'id': r.vec_id, 'e': r.e}) ELSE f.held END
+FROM f JOIN r ON r.label = f.label AND r.k = f.k + 1, LATERAL (SELECT list_filter(f.held, lambda h: list_cosine_similarity(h.e, r.e) >= 0.8)[1].id AS id) m)"""
+
+
+@query(f"WITH RECURSIVE {_CLUSTERS} SELECT label, anchor, id FROM f")
 def consolidate(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters of similar vectors within each label; checked against a plain version in the tests."""
+    """Clusters of similar vectors within each label."""
     return vectors.clusters(read_table(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.8)
 
 

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A key counts as hot from this share of all rows on, so there are at most 1 / HOT_SHARE hot keys: a proven broadcast bound.
 HOT_SHARE = 1e-3
@@ -88,3 +90,22 @@ def attach_by_key(rows: DataFrame, facts: DataFrame, key: str, row_id: str, size
     salts = F.when(F.col(size) >= least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     wide = facts.withColumn("_salt", F.explode(salts))
     return spread.join(wide, [key, "_salt"], "inner").drop("_salt")
+
+
+def in_blocks(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` range-partitioned by ``order``, with the partition's number in ``_block``, as a table of its own.
+
+    Windows over a key then run over (key, _block), whose size a partition bounds however hot the key is; what crosses blocks
+    is one row per key and block (see :func:`before_blocks`).
+    """
+    return materialize(df.repartitionByRange(order).withColumn("_block", F.spark_partition_id()), name)
+
+
+def before_blocks(blocked: DataFrame, keys: list[str], **totals: tuple[Column, Callable[[Column], Column]]) -> DataFrame:
+    """``keys, _block`` and, for every (aggregate of a block, how to combine) given, its value over all earlier blocks.
+
+    One row per key and block, so at most as many rows of a key as there are partitions. Null where there is no earlier block.
+    """
+    w = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    per = blocked.groupBy(*keys, "_block").agg(*[a.alias(f"_{n}") for n, (a, _) in totals.items()])
+    return per.select(*keys, "_block", *[combine(F.col(f"_{n}")).over(w).alias(n) for n, (_, combine) in totals.items()])

@@ -94,7 +94,7 @@ def test_sources(spark, tmp_path):
         files.union_scan(spark, [{"name": "s", "path": f"{tmp_path}/none*.jsonl"}])
     lock = governance.source_lock(spark, [{"name": "s", "path": f"{tmp_path}/a.jsonl"}, {"name": "e", "path": f"{tmp_path}/a.jsonl", "purpose": "evaluation"}])
     assert governance.purpose_conflicts(lock).count() == 1 and governance.lock_changes(lock, lock).count() == 0
-    sums = files.checksums(spark, f"{tmp_path}/a.jsonl").first()
+    sums = files.checksums(files.file_list(spark, [f"{tmp_path}/a.jsonl"])).first()
     assert (sums.bytes, sums.newlines) == (33, 3)
 
 
@@ -150,8 +150,7 @@ def test_diverse_and_clusters(spark):
                 if j not in want and j % 2 == i % 2 and u[i] @ u[j] >= 0.5:
                     want[j] = i
     assert got == want
-    scored = vectors.similarities(df, df.filter("id = 0"), "id", "vec")
-    picked = [r.id for r in vectors.diverse(scored, df, "id", "vec", 5, 30).orderBy("rank").collect()]
+    picked = [r.id for r in vectors.diverse(df, df.filter("id = 0"), "id", "vec", 5, 30).orderBy("rank").collect()]
     chosen = []
     for _ in range(5):
         best = max((i for i in range(30) if i not in chosen), key=lambda i: (round(u[0] @ u[i] - 0.2 * max([0, *(u[i] @ u[j] for j in chosen)]), 12), -i))
