@@ -112,3 +112,9 @@ def improvement(baseline: Column, candidate: Column, direction: Column) -> Colum
 
 def update_ratio(rate: Column, gradient: Column, weight: Column) -> Column:
     return rate * gradient / F.greatest(weight, F.lit(1e-12))
+
+
+def capacity(size: Column, parameters: int) -> Column:
+    """Struct of estimated tokens, bytes of a token cache and bytes of training state for a corpus of ``size`` bytes."""
+    tokens = F.ceil(size / 3.5)
+    return F.struct(tokens.alias("tokens"), F.ceil(tokens * 8 * 1.25).alias("cache_bytes"), F.lit(parameters * 16).cast("long").alias("training_bytes"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -218,3 +218,14 @@ def item_problems(df: DataFrame, id_col: str, choices: str, answer: str, labels:
         .when(F.col(answer).isNull() | ~F.col(answer).isin(*labels), "answer")
     )
     return df.join(counts, id_col, "left").select(id_col, reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def scored(df: DataFrame, columns: list[str], load: Callable[[], Callable[[pa.RecordBatch], tuple[pa.Array, pa.Array]]]) -> DataFrame:
+    """``loss, tokens`` of every row by a pluggable model: ``load`` makes, in a worker, what scores a batch of the columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = load()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*score(batch)], ["loss", "tokens"])
+
+    return df.select(*columns).mapInArrow(run, "loss double, tokens long")

@@ -75,3 +75,25 @@ def with_first(df: DataFrame, text_col: str, order: str) -> DataFrame:
 def epoch_order(id_col: Column, seed: int, epoch: int) -> Column:
     """Sort key of a permutation that any epoch can ask for again."""
     return F.xxhash64(F.lit(seed + epoch), id_col)
+
+
+def with_fallback(df: DataFrame, split_col: str, order: str) -> DataFrame:
+    """``df`` with a validation split: where none is, the test rows validate, or else the last training row, if it is not the only one."""
+    seen = df.groupBy().agg(F.max(F.col(split_col) == "valid").alias("_valid"), F.max(F.col(split_col) == "test").alias("_test"), F.count_if(F.col(split_col) == "train").alias("_n"), F.max(F.when(F.col(split_col) == "train", F.col(order))).alias("_last"))  # one row
+    now = F.col(split_col)
+    none = ~F.coalesce("_valid", F.lit(False))
+    moved = F.when(none & F.coalesce("_test", F.lit(False)) & (now == "test"), "valid").when(none & ~F.coalesce("_test", F.lit(False)) & (F.col("_n") > 1) & (now == "train") & (F.col(order) == F.col("_last")), "valid")
+    return df.join(F.broadcast(seen)).withColumn(split_col, F.coalesce(moved, now)).drop("_valid", "_test", "_n", "_last")
+
+
+def evaluation_rows(df: DataFrame, split_col: str) -> DataFrame:
+    """The test rows, or the validation rows where no row is a test row, or else the training rows."""
+    rank = F.array_position(F.array(F.lit("test"), F.lit("valid"), F.lit("train")), F.col(split_col))
+    best = df.filter(rank > 0).agg(F.min(rank).alias("_best"))  # one row
+    return df.join(F.broadcast(best), rank == F.col("_best")).drop("_best")
+
+
+def requested(wanted: DataFrame, allowed: DataFrame, name: str) -> DataFrame:
+    """Requested sources with whether they are allowed; the caller fails on any that is not."""
+    known = allowed.select(name).distinct().withColumn("_known", F.lit(True))
+    return wanted.select(name).distinct().join(known, name, "left").select(name, F.coalesce("_known", F.lit(False)).alias("allowed"))

@@ -232,3 +232,27 @@ def masked_block(ids: Column, labels: Column, lens: Column, key: Column, mask_id
         end.alias("end"),
     )
     return F.when(F.size(place) > 0, out)
+
+
+def round_trip_problems(df: DataFrame, id_col: str, text_col: str, load: Callable[[], tuple[Callable[[str], list[int]], Callable[[list[int]], str]]], unknown: int | None = None) -> DataFrame:
+    """``id, reason`` of texts that a tokenizer does not give back: an unknown id, or other text. ``load`` makes encoder and decoder in a worker."""
+    kind = dict(df.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, decode = load()
+        for batch in batches:
+            ids, reasons = [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out = encode(text)
+                reason = "unknown id" if unknown in out and unknown is not None else "other text" if decode(out) != text else None
+                if reason:
+                    ids.append(i)
+                    reasons.append(reason)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.types[0]), pa.array(reasons, pa.string())], [id_col, "reason"])
+
+    return df.filter(F.col(text_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, reason string")
+
+
+def digit_pieces(pieces: list[str]) -> list[str]:
+    """Vocabulary pieces with more than one decimal digit, which a tokenizer that splits digits must not have."""
+    return [p for p in pieces if sum(c.isdecimal() for c in p) > 1]

@@ -799,3 +799,7 @@ def stream_audit(spark: SparkSession, d: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     rows = _landed(spark, d, "documents").filter("text IS NOT NULL").withColumn("seen_at", F.lit("2031-01-01").cast("timestamp"))
     return run_to_table(flows.first_seen(rows, "text", "seen_at").select("digest"), "append").agg(F.countDistinct("digest").alias("texts"))
+
+
+# Further queries register themselves.
+from quern.plans import catalog_files, catalog_more  # noqa: E402, F401
