@@ -45,7 +45,7 @@ def _nfkc_unescape(nfkc: bool):
 def clean_text(text: Column, nfkc: bool = True) -> Column:
     """Null to empty; compatibility forms and entities resolved; tags but for control tags to spaces; controls removed; white space collapsed.
 
-    Only texts that can change in the first step (non-ASCII or with an ampersand) depend on Python; the rest is native.
+    The first step is one Arrow pass over all texts, as Spark has neither NFKC nor entities; the rest is native.
     """
     raw = F.coalesce(text, F.lit(""))
     kept = "|".join(t[1:-1].replace("/", "\\/") for t in PRESERVED_TAGS)
@@ -70,8 +70,8 @@ def _casefold(s: pd.Series) -> pd.Series:
 
 
 def casefold(text: Column) -> Column:
-    """Full casefold; ASCII-only texts stay native."""
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(_casefold(text))
+    """Full casefold, in one Arrow pass; Spark has lower case only."""
+    return _casefold(text)
 
 
 @F.pandas_udf(T.StringType())

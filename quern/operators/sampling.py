@@ -18,6 +18,11 @@ def capped(df: DataFrame, source_col: str, order: list[str], cap: int) -> DataFr
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
     """``df`` with ``position`` from 0 in the order of a unique column: range partitions, their sizes, and ranks inside."""
+    return numbered_of(df, order)[0]
+
+
+def numbered_of(df: DataFrame, order: str) -> tuple[DataFrame, int]:
+    """:func:`numbered`, and the number of rows."""
     spark = df.sparkSession
     placed = materialize(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()), "numbered")
     sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one row per partition
@@ -27,14 +32,13 @@ def numbered(df: DataFrame, order: str) -> DataFrame:
         before += sizes[p]
     offsets = F.broadcast(spark.createDataFrame(skip, "_part int, _skip long"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
-    return placed.join(offsets, "_part").withColumn("position", inside + F.col("_skip")).drop("_part", "_skip")
+    return placed.join(offsets, "_part").withColumn("position", inside + F.col("_skip")).drop("_part", "_skip"), before
 
 
 def positional_split(df: DataFrame, order: str, train: float = 0.98, valid: float = 0.01, test: float = 0.01) -> DataFrame:
     """Split by place: the first share trains, the next validates, the rest tests."""
     total = train + valid + test
-    rows = numbered(df, order)
-    n = df.count()
+    rows, n = numbered_of(df, order)
     at = F.col("position") / F.lit(float(max(1, n)))
     return rows.withColumn("split", F.when(at < train / total, "train").when(at < (train + valid) / total, "valid").otherwise("test"))
 

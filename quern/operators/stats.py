@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import SCRIPTS, script_count
+from quern.functions.text import SCRIPTS, WHITE, script_count
 
 
 def corpus_stats(df: DataFrame, text_col: str) -> DataFrame:
@@ -25,8 +25,10 @@ def corpus_stats(df: DataFrame, text_col: str) -> DataFrame:
 def script_totals(df: DataFrame, text_col: str, by: list[str] | None = None) -> DataFrame:
     """Characters by writing system; one aggregation over native counts."""
     rows = df.filter(F.col(text_col).isNotNull())
-    parts = [F.sum(script_count(F.col(text_col), s)).cast("long").alias(s) for s in (*SCRIPTS, "other")]
-    return rows.groupBy(*(by or [])).agg(*parts)
+    seen = F.length(F.regexp_replace(F.col(text_col), WHITE, ""))
+    parts = [F.sum(script_count(F.col(text_col), s)).cast("long").alias(s) for s in SCRIPTS]
+    sums = rows.groupBy(*(by or [])).agg(*parts, F.sum(seen).cast("long").alias("other"))
+    return sums.withColumn("other", F.col("other") - sum((F.col(s) for s in SCRIPTS), F.lit(0)))  # what none of them has
 
 
 def script_ratios(df: DataFrame, text_col: str) -> DataFrame:

@@ -206,32 +206,32 @@ def batch_steps(batches: Column, epochs: int, micro_batch: int, sequence: int, t
     return gathered, F.greatest(F.lit(1), F.lit(epochs) * F.ceil(F.greatest(F.lit(1), batches) / gathered))
 
 
-def masked_block(ids: Column, labels: Column, lens: Column, key: Column, mask_id: int, size: int, rate: float) -> Column:
-    """Struct ``input_ids, labels, start, end``: one supervised block of a row corrupted for denoising; null if nothing is supervised.
+def masked_blocks(df: DataFrame, key: str, ids: str, labels: str, lens: str, mask_id: int, size: int, rate: float) -> DataFrame:
+    """``key, input_ids, labels, start, end``: one supervised block of every row corrupted for denoising; rows without one are left out.
 
     A place among the supervised ones is chosen by hash of ``key``; the block of ``size`` that holds it, counted from the
-    start of its document, is corrupted: each of its supervised tokens is masked with probability ``rate``, the chosen one if
-    none is. Labels keep the masked tokens only. What follows ``end`` is hidden from attention.
+    start of its document (``lens``), is corrupted: each of its supervised tokens is masked with probability ``rate``, the
+    chosen one if none is. Labels keep the masked tokens only. What follows ``end`` is hidden from attention.
     """
-    n = F.size(ids)
-    draw = lambda *x: (F.pmod(F.xxhash64(*x), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    ends = F.transform(lens, lambda m, i: F.aggregate(F.slice(lens, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
-    place = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(labels, (i + 1).cast("int")) != IGNORED)
-    chosen = F.element_at(place, (F.floor(draw(key, F.lit("place")) * F.size(place)) + 1).cast("int"))
-    start_of = F.coalesce(F.array_max(F.filter(ends, lambda e: e <= chosen)), F.lit(0))
-    end_of = F.coalesce(F.array_min(F.filter(ends, lambda e: e > chosen)), n)
-    start = (start_of + F.floor((chosen - start_of) / size) * size).cast("int")
-    end = F.least(end_of, start + size).cast("int")
-    inside = F.filter(place, lambda i: (i >= start) & (i < end))
-    drawn = F.filter(inside, lambda i: draw(key, i) < rate)
-    masked = F.when(F.size(drawn) > 0, drawn).otherwise(F.array(chosen))
-    out = F.struct(
-        F.transform(ids, lambda x, i: F.when(F.array_contains(masked, i), F.lit(mask_id)).otherwise(x)).alias("input_ids"),
-        F.transform(ids, lambda x, i: F.when(F.array_contains(masked, i), x).otherwise(F.lit(IGNORED))).alias("labels"),
-        start.alias("start"),
-        end.alias("end"),
+    draw = lambda *x: F.pmod(F.xxhash64(*x), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    n = F.size("ids")
+    total = F.aggregate("lens", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))  # borders of documents
+    rows = df.select(key, F.col(ids).alias("ids"), F.col(labels).alias("labels"), F.col(lens).alias("lens"))
+    rows = rows.withColumn("place", F.filter(F.transform("labels", lambda y, i: F.when(y != IGNORED, i)), lambda i: i.isNotNull())).filter("size(place) > 0")
+    rows = rows.withColumn("chosen", F.element_at("place", (F.floor(draw(F.col(key), F.lit("place")) * F.size("place")) + 1).cast("int"))).withColumn("borders", total)
+    rows = rows.withColumn("low", F.array_max(F.filter("borders", lambda e: e <= F.col("chosen")))).withColumn("high", F.coalesce(F.array_min(F.filter("borders", lambda e: e > F.col("chosen"))), n))
+    rows = rows.withColumn("start", (F.col("low") + F.floor((F.col("chosen") - F.col("low")) / size) * size).cast("int"))
+    rows = rows.withColumn("end", F.least(F.col("high"), F.col("start") + size, n).cast("int"))
+    rows = rows.withColumn("drawn", F.filter("place", lambda i: (i >= F.col("start")) & (i < F.col("end")) & (draw(F.col(key), i) < rate)))
+    rows = rows.withColumn("masked", F.when(F.size("drawn") > 0, F.col("drawn")).otherwise(F.array("chosen")))
+    hit = lambda i: F.array_contains("masked", i)
+    return rows.select(
+        key,
+        F.transform("ids", lambda x, i: F.when(hit(i), F.lit(mask_id)).otherwise(x)).alias("input_ids"),
+        F.transform("ids", lambda x, i: F.when(hit(i), x).otherwise(F.lit(IGNORED))).alias("labels"),
+        "start",
+        "end",
     )
-    return F.when(F.size(place) > 0, out)
 
 
 def round_trip_problems(df: DataFrame, id_col: str, text_col: str, load: Callable[[], tuple[Callable[[str], list[int]], Callable[[list[int]], str]]], unknown: int | None = None) -> DataFrame:

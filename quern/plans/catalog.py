@@ -351,15 +351,12 @@ def _rendered(rows: DataFrame) -> DataFrame:
 _PAIRS = f"""SELECT sample_id, turn, prompt, content AS chosen FROM (SELECT *, last_value(CASE WHEN role = 'user' THEN content END IGNORE NULLS) OVER (PARTITION BY sample_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS prompt FROM ({_TURNS})) WHERE role = 'assistant' AND prompt <> '' AND content <> ''"""
 
 
-@query(f"""SELECT sample_id, sha256(string_agg('<' || role || '>' || chr(10) || content || chr(10), '' ORDER BY turn)) AS text_hash,
-sum(CASE WHEN role = 'assistant' THEN length('<' || role || '>' || chr(10) || content || chr(10)) ELSE 0 END)::BIGINT AS assistant_chars FROM ({_TURNS}) WHERE NOT contains(content, '<') GROUP BY sample_id""")
-def render_conversation(spark: SparkSession, d: str) -> DataFrame:
-    """Rendering where SQL can follow: turns without ``<``. ``render_conversation_whole`` covers all."""
-    return _rendered(sft_turns(spark, d).filter("NOT contains(content, '<')"))
+_SAID = "replace(" * len(X.PRESERVED_TAGS) + "content" + "".join(f", '{t}', '{t.replace('<', '‹').replace('>', '›')}')" for t in sorted(X.PRESERVED_TAGS, key=len, reverse=True))
 
 
-@query()
-def render_conversation_whole(spark: SparkSession, d: str) -> DataFrame:
+@query(f"""SELECT sample_id, sha256(string_agg('<' || role || '>' || chr(10) || said || chr(10), '' ORDER BY turn)) AS text_hash,
+sum(CASE WHEN role = 'assistant' THEN length('<' || role || '>' || chr(10) || said || chr(10)) ELSE 0 END)::BIGINT AS assistant_chars FROM (SELECT *, {_SAID} AS said FROM ({_TURNS})) GROUP BY sample_id""")
+def render_conversation(spark: SparkSession, d: str) -> DataFrame:
     return _rendered(sft_turns(spark, d))
 
 
@@ -414,17 +411,12 @@ def chunk_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH RECURSIVE r AS (SELECT source_name, seq_id, len(input_ids) AS n, row_number() OVER (PARTITION BY source_name ORDER BY seq_id) AS k FROM token_rows WHERE len(input_ids) BETWEEN 1 AND 2048),
 f AS (SELECT source_name, seq_id, n, k, 0::BIGINT AS bin, n AS used FROM r WHERE k = 1
-UNION ALL SELECT r.source_name, r.seq_id, r.n, r.k, CASE WHEN f.used + r.n > 2048 THEN f.bin + 1 ELSE f.bin END, CASE WHEN f.used + r.n > 2048 THEN r.n ELSE f.used + r.n END FROM f JOIN r ON r.source_name = f.source_name AND r.k = f.k + 1)
-SELECT source_name, seq_id, n::BIGINT AS n, bin FROM f""")
+UNION ALL SELECT r.source_name, r.seq_id, r.n, r.k, CASE WHEN f.used + r.n > 2048 THEN f.bin + 1 ELSE f.bin END, CASE WHEN f.used + r.n > 2048 THEN r.n ELSE f.used + r.n END FROM f JOIN r ON r.source_name = f.source_name AND r.k = f.k + 1),
+c AS (SELECT source_name, seq_id, len(input_ids) AS n, unnest(range(0, len(input_ids), 2048)) AS start FROM token_rows WHERE len(input_ids) > 2048)
+SELECT source_name, seq_id, 0::BIGINT AS start, n::BIGINT AS n, bin FROM f
+UNION ALL SELECT source_name, seq_id, start, least(2048, n - start)::BIGINT, -row_number() OVER (PARTITION BY source_name ORDER BY seq_id, start) FROM c""")
 def pack_greedy(spark: SparkSession, d: str) -> DataFrame:
-    names = read_table(spark, d, "sources").select("source_name", F.xxhash64("source_name").alias("shard"))
-    rows = token_rows(spark, d).filter("size(input_ids) BETWEEN 1 AND 2048").select(F.xxhash64("source_name").alias("shard"), "seq_id", F.size("input_ids").alias("n"))
-    return tokens.greedy_bins(rows, "shard", "seq_id", "n", 2048).join(names, "shard").select("source_name", "seq_id", "n", "bin")
-
-
-@query()
-def pack_greedy_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``pack_greedy`` over all rows: those above the capacity come out in chunks."""
+    """Rows above the capacity come out in chunks, which leave the open bin open."""
     names = read_table(spark, d, "sources").select("source_name", F.xxhash64("source_name").alias("shard"))
     rows = token_rows(spark, d).filter("size(input_ids) > 0").select(F.xxhash64("source_name").alias("shard"), "seq_id", F.size("input_ids").alias("n"))
     return tokens.greedy_packs(rows, "shard", "seq_id", "n", 2048).join(names, "shard").select("source_name", "seq_id", "start", "n", "bin")
@@ -445,12 +437,12 @@ def collate_batches(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("seq_id", F.col("batch_no").cast("long"), F.size("input_ids").cast("long").alias("width"), add("input_ids").alias("ids"), add("labels").alias("labels"), add("attention_mask").alias("mask"))
 
 
-@query("""WITH a AS (SELECT seq_id, input_ids[1:40] AS p, list_concat(input_ids[41:], [2]) AS t FROM token_rows WHERE len(input_ids) > 40),
+@query("""WITH a AS (SELECT seq_id, input_ids[1:40] AS p, list_concat(input_ids[41:], [2]) AS t FROM token_rows WHERE len(input_ids) > 0),
 k AS (SELECT seq_id, p, CASE WHEN len(t) > 256 THEN t[len(t) - 255 :] ELSE t END AS t FROM a),
 h AS (SELECT seq_id, CASE WHEN 256 - len(t) <= 0 THEN [] WHEN len(p) > 256 - len(t) THEN p[len(p) - (256 - len(t)) + 1 :] ELSE p END AS p, t FROM k)
 SELECT seq_id, (len(p) + len(t))::BIGINT AS n, (coalesce(list_sum(p), 0) + list_sum(t))::BIGINT AS ids, (list_sum(t) - 100 * len(p))::BIGINT AS labels FROM h""")
 def dpo_truncate(spark: SparkSession, d: str) -> DataFrame:
-    rows = token_rows(spark, d).filter("size(input_ids) > 40")
+    rows = token_rows(spark, d).filter("size(input_ids) > 0")
     ids, labels = tokens.preference_sequence(F.slice("input_ids", 1, 40), F.slice(F.col("input_ids"), F.lit(41), F.size("input_ids")), 2, 256)
     add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     return rows.select("seq_id", F.size(ids).cast("long").alias("n"), add(ids).alias("ids"), add(labels).alias("labels"))
@@ -602,7 +594,7 @@ def last_value(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT user_id, event_id, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS value_before, value FROM events")
-def due_patches(spark: SparkSession, d: str) -> DataFrame:
+def value_changes(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.changes(events(spark, d), "user_id", "event_id", "value")
 
 
@@ -660,13 +652,6 @@ def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
     return both.select(F.coalesce("a", "b").alias("source_name"), F.col("a").isNull().alias("missing"), F.col("b").isNull().alias("unused"))
 
 
-@query("SELECT sample_id, sha256(" + _COLLAPSED.replace("§", "text") + ") AS hash FROM text_samples WHERE regexp_full_match(text, '[ -%''-;=?-~\\n]*')")
-def clean_ascii(spark: SparkSession, d: str) -> DataFrame:
-    """Cleaning where SQL can follow: texts without tags, entities and non-ASCII characters. ``clean_samples`` covers all."""
-    rows = read_table(spark, d, "text_samples").filter(F.col("text").rlike(r"^[ -%'-;=?-~\n]*$"))
-    return rows.select("sample_id", F.sha2(X.clean_text(F.col("text")), 256).alias("hash"))
-
-
 @query()
 def clean_samples(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "text_samples").filter("text IS NOT NULL")
@@ -740,15 +725,9 @@ def _labels(samples: DataFrame) -> DataFrame:
 _POINTS = "list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: 20 + unicode(c) % 200)"
 
 
-@query(f"""WITH t AS (SELECT sample_id, {_POINTS} AS p, labels_mask AS m FROM text_samples WHERE kind = 'sft' AND text <> '' AND len(labels_mask) = length(text) AND regexp_full_match(text, '[ -~\n]*'))
+@query(f"""WITH t AS (SELECT sample_id, {_POINTS} AS p, labels_mask AS m FROM text_samples WHERE kind = 'sft' AND text <> '' AND len(labels_mask) = length(text))
 SELECT sample_id, (len(p) + 2)::BIGINT AS n, (list_sum(p) + 3)::BIGINT AS ids, (list_sum(list_transform(p, lambda x, i: CASE WHEN m[i] = 1 THEN x ELSE -100 END)) - 100 + CASE WHEN m[-1] = 1 THEN 2 ELSE -100 END)::BIGINT AS labels FROM t""")
 def assistant_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Labels where SQL can follow: ASCII texts. ``assistant_labels_whole`` covers all."""
-    return _labels(read_table(spark, d, "text_samples").filter(F.col("text").rlike(r"^[ -~\n]*\z")))
-
-
-@query()
-def assistant_labels_whole(spark: SparkSession, d: str) -> DataFrame:
     return _labels(read_table(spark, d, "text_samples"))
 
 

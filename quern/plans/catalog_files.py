@@ -12,6 +12,7 @@ from quern.operators import audit, evaluate, governance
 from quern.plans.catalog import query, sql_has
 from quern.plans.shared import read_table, shared_dir
 from quern.functions import numeric as N
+from quern.functions import text as X
 from quern.sources import files, sinks
 
 
@@ -150,7 +151,7 @@ def file_checksums(spark: SparkSession, d: str) -> DataFrame:
     return files.checksums(files.file_list(spark, [f"{source_files(spark, d)}/**/*.txt"])).select(name_in_path(), "sha256", "bytes", "newlines")
 
 
-@query("SELECT sha256(string_agg(l || chr(10), '' ORDER BY doc_id)) AS sha256, (sum(strlen(l) + 1))::BIGINT AS bytes, count(*) AS newlines FROM (SELECT doc_id, trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g')) AS l FROM documents) WHERE l <> ''")
+@query("SELECT sha256(string_agg(l || chr(10), '' ORDER BY doc_id)) AS sha256, (sum(strlen(l) + 1))::BIGINT AS bytes, count(*) AS newlines FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), '^" + X.WHITE + "|" + X.WHITE + "$', '', 'g') AS l FROM documents) WHERE l <> ''")
 def corpus_signature(spark: SparkSession, d: str) -> DataFrame:
     """Signature of the tokenizer corpus written as one file."""
     path = folder(spark, "corpus-file")
@@ -228,7 +229,7 @@ def publication_problems(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- sinks --------------------------------------------------------------------------------------------------------------
-@query("SELECT trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g')) AS value FROM documents WHERE trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g')) <> ''")
+@query("SELECT regexp_replace(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), '^" + X.WHITE + "|" + X.WHITE + "$', '', 'g') AS value FROM documents WHERE regexp_replace(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), '^" + X.WHITE + "|" + X.WHITE + "$', '', 'g') <> ''")
 def tokenizer_corpus(spark: SparkSession, d: str) -> DataFrame:
     path = folder(spark, "lines")
     sinks.write_tokenizer_corpus(read_table(spark, d, "documents").select("text"), "text", path)

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.text import WHITE
+
 # Names beside a target while a switch is under way.
 BACKUP, JOURNAL = ".previous", ".switching"
 
@@ -84,7 +86,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def write_tokenizer_corpus(df: DataFrame, text_col: str, path: str) -> None:
     """One sample per line, line ends inside samples as spaces, blank samples left out."""
-    line = F.trim(F.regexp_replace(F.col(text_col), r"[\r\n]+", " "))
+    line = F.regexp_replace(F.regexp_replace(F.col(text_col), r"[\r\n]+", " "), f"^{WHITE}|{WHITE}$", "")
     lines = df.select(line.alias("value")).filter("value <> ''")
     _switched(df, path, lambda staged: lines.write.text(staged))
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import numeric as N
 from quern.functions import text as X
-from quern.operators import audit, governance, sampling, tokens, vectors
+from quern.operators import audit, evaluate, governance, sampling, tokens, vectors
+from quern.plans.catalog import QUERIES
 from quern.plans.shared import attach_by_key
 from quern.sources import files, sinks
 from quern.streaming import flows
@@ -191,3 +192,129 @@ def test_memory_lines_and_answers(spark):
     m = spark.createDataFrame([([("hello", 0.5)],)], "m array<struct<text string, relevance double>>")
     assert m.select(X.memory_lines(F.col("m"), 30)).first()[0] == "Relevant memories:\n- hello (relevance=0.500)"[:30]
     assert m.select(X.normalized_answer(F.lit(" STRAẞE  <b>x</b> "))).first()[0] == "strasse x"
+
+
+def test_masked_blocks(spark, sf):
+    rows = {r.seq_id: r for r in spark.read.parquet(f"{sf}/token_rows.parquet").collect()}
+    out = QUERIES["masked_blocks"](spark, sf).collect()
+    assert out
+    for r in out:
+        src = rows[r.seq_id]
+        labels = src.labels or src.input_ids
+        hit = [i for i, y in enumerate(r.labels) if y != -100]
+        assert hit and all(r.input_ids[i] == 4 and r.labels[i] == src.input_ids[i] and labels[i] != -100 for i in hit)
+        assert all(a == b for i, (a, b) in enumerate(zip(r.input_ids, src.input_ids)) if i not in hit)
+        assert r.start <= hit[0] and hit[-1] < r.end <= r.start + 16
+        borders = [0]
+        for n in src.seq_lens or [len(src.input_ids)]:
+            borders.append(borders[-1] + n)
+        inside = max(b for b in borders if b <= r.start)
+        assert (r.start - inside) % 16 == 0 and all(b <= r.start or b >= r.end for b in borders)
+
+
+def test_governance_of_settings(spark, tmp_path):
+    settings = {"data": {"train": "/a", "none": None}, "ratio": {"a": 0.8, "b": 0.1, "c": 0.1}}
+    hidden = governance.redacted(settings, {"data.train": "<local>", "data.none": "<local>", "data.gone.deep": "<local>"})
+    assert hidden["data"] == {"train": "<local>", "none": None} and settings["data"]["train"] == "/a"
+    assert governance.settings_problems(settings, {"ratio.a": (0, 0.5), "ratio.b": (0, 1), "x": (0, 1)}, ("ratio.a", "ratio.b", "ratio.c")) == ["ratio.a", "x"]
+    assert governance.settings_problems({"r": {"a": 0.5, "b": True}}, {}, ("r.a", "r.b")) == ["r.a+r.b"]
+    assert governance.template_problems("{question} {labels}", ("question", "choices", "labels")) == ["missing choices"]
+    assert governance.template_problems(" ", ()) == ["blank"] and governance.template_problems("{x}", ()) == ["unknown x"]
+    (tmp_path / "corpus.txt").write_text("one\ntwo\n")
+    manifest = governance.corpus_manifest(spark, f"{tmp_path}/corpus.txt", {"policy": 1})
+    assert (manifest["bytes"], manifest["lines"]) == (8, 2) and governance.manifest_problems(spark, f"{tmp_path}/corpus.txt", manifest, {"policy": 1}) == []
+    (tmp_path / "corpus.txt").write_text("one\ntwa\n")
+    assert governance.manifest_problems(spark, f"{tmp_path}/corpus.txt", manifest, {"policy": 2}) == ["files", "policy"]
+    source = [{"name": "c", "path": f"{tmp_path}/corpus.txt"}]
+    a = governance.data_signature(spark, source)
+    assert governance.fingerprint("sft", settings, a) != governance.fingerprint("dpo", settings, a) and a == governance.data_signature(spark, source)
+    (tmp_path / "m.yaml").write_text("pack: p\nsources:\n  - name: c\n    path: x\n")
+    assert files.load_manifest(f"{tmp_path}/m.yaml") == [{"name": "c", "path": "x"}]
+    (tmp_path / "n.json").write_text('{"sources": [], "other": 1}')
+    with pytest.raises(ValueError, match="other"):
+        files.load_manifest(f"{tmp_path}/n.json")
+
+
+def test_line_numbers_over_blocks_and_files(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"k": {i}}}\n' if i != 3777 else "{broken\n" for i in range(5000)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+    try:
+        assert {(r.path[-7:], r.line_no) for r in files.jsonl_problems(spark, f"{tmp_path}/*.jsonl").collect()} == {("a.jsonl", 3778), ("b.jsonl", 3778)}
+        with pytest.raises(ValueError, match=r"a\.jsonl:3778"):
+            files.check_jsonl(spark, f"{tmp_path}/*.jsonl")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_tokenizer_checks(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, "a?c"), (3, None), (4, "ABC")], "id long, text string")
+
+    def load():
+        return (lambda t: [0 if c == "?" else ord(c) for c in t.lower()]), (lambda ids: "".join(map(chr, ids)))
+
+    assert {tuple(r) for r in tokens.round_trip_problems(df, "id", "text", load, 0).collect()} == {(2, "unknown id"), (4, "other text")}
+    assert tokens.digit_pieces(["a1", "12", "x", "١٢"]) == ["12", "١٢"]
+
+
+def test_hot_keys_in_ordered_folds(spark):
+    """One key holds a third of all rows: it is spread over blocks, and folds and running values stay exact."""
+    rows = spark.range(9000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 500).alias("key"), ((F.col("id") * 7919) % 1000 / 10).alias("v"))
+    data = sorted((r.id, r.key, r.v) for r in rows.collect())
+    mean, best, before = {}, {}, {}
+    for i, k, v in data:
+        mean[k] = v if k not in mean else mean[k] * 0.9 + v * 0.1
+    folded = {r.key: r.ema for r in evaluate.ema(rows, "key", "id", "v", 0.1).collect()}
+    assert folded.keys() == mean.keys() and all(abs(folded[k] - x) < 1e-9 for k, x in mean.items())
+    want_best, want_change = {}, {}
+    for i, k, v in data:
+        low, no, at = best.get(k, (None, 0, 0))
+        better = low is None or v < low
+        best[k] = (v if better else low, no + 1, no + 1 if better else at)
+        want_best[i] = (low, better, no + 1 - best[k][2])
+        want_change[i] = before.get(k)
+        before[k] = v
+    assert {r.id: (r.best, r.better, r.stale) for r in evaluate.running_best(rows, "key", "id", "v").collect()} == want_best
+    assert {r.id: r.value_before for r in evaluate.changes(rows, "key", "id", "v").collect()} == want_change
+
+
+def test_packing_goes_on_through_ranges(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, i, 3 + i % 5) for i in range(100)] + [(2, i, 25) for i in range(3)], "s long, k long, n long")
+    monkeypatch.setattr(tokens, "PACK_RANGE", 30)
+    out = tokens.greedy_packs(rows, "s", "k", "n", 10).collect()
+    fill = {}
+    for r in out:
+        fill[r.s, r.bin] = fill.get((r.s, r.bin), 0) + r.n
+    assert max(fill.values()) <= 10 and sum(fill.values()) == sum(3 + i % 5 for i in range(100)) + 75
+    assert sorted({b for s, b in fill if s == 1}) == list(range(len({b for s, b in fill if s == 1})))
+    assert sorted(b for s, b in fill if s == 2) == list(range(-9, 0))
+
+
+def test_gists_against_a_plain_version(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(6, 8))
+    rows = [(i, i % 2, (base[i % 6] + rng.normal(scale=0.15, size=8)).tolist(), (i % 10) / 10) for i in range(120)]
+    got = {(r.o, r.gist): r for r in vectors.gists(spark.createDataFrame(rows, "i long, o long, v array<double>, s double"), "o", "i", "v", "s", 0.9).collect()}
+    unit = lambda x: np.asarray(x) / np.linalg.norm(x)
+    want = {}
+    for owner in (0, 1):
+        own, used, held = [r for r in rows if r[1] == owner], set(), []
+        for k, a in enumerate(own):
+            if a[0] in used:
+                continue
+            cluster = [a, *(b for b in own[k + 1 :] if b[0] not in used and unit(a[2]) @ unit(b[2]) >= 0.9)]
+            if len(cluster) < 2:
+                continue
+            used |= {b[0] for b in cluster}
+            w = np.array([max(0.05, b[3]) for b in cluster])
+            x = unit((np.stack([unit(b[2]) for b in cluster]) * w[:, None]).sum(0) / w.sum())
+            near = next((g for g in held if g[0] @ x >= 0.9), None)
+            if near is None:
+                held.append([x, len(cluster), np.mean([b[3] for b in cluster])])
+            else:
+                near[0], near[1] = unit((near[0] * near[1] + x * len(cluster)) / (near[1] + len(cluster))), near[1] + len(cluster)
+        want |= {(owner, k + 1): g for k, g in enumerate(held)}
+    assert got.keys() == want.keys() and len(want) > 2
+    for k, (x, n, s) in want.items():
+        assert got[k].support == n and np.allclose(got[k].embedding, x) and abs(got[k].salience - s) < 1e-9

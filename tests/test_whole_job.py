@@ -19,7 +19,7 @@ def test_over_long_rows_are_packed_in_chunks(spark, sf):
         (1, 3, 0): (10, -4), (1, 3, 10): (2, -5), (1, 4, 0): (10, 1), (1, 5, 0): (3, 2), (2, 0, 0): (10, -1), (2, 0, 10): (1, -2),
     }
     rows = spark.read.parquet(f"{sf}/token_rows.parquet").collect()
-    assert sum(r.n for r in QUERIES["pack_greedy_whole"](spark, sf).collect()) == sum(len(r.input_ids or ()) for r in rows if r.source_name)
+    assert sum(r.n for r in QUERIES["pack_greedy"](spark, sf).collect()) == sum(len(r.input_ids or ()) for r in rows if r.source_name)
 
 
 def test_labels_rendering_and_cleaning_of_all_rows(spark, sf):
@@ -31,7 +31,7 @@ def test_labels_rendering_and_cleaning_of_all_rows(spark, sf):
             ids = [20 + ord(c) % 200 for c in r.text]
             labels = [i if m == 1 else -100 for i, m in zip(ids, r.labels_mask)]
             want[r.sample_id] = (len(ids) + 2, sum(ids) + 3, sum(labels) - 100 + (2 if r.labels_mask[-1] == 1 else -100))
-    got = {r.sample_id: (r.n, r.ids, r.labels) for r in QUERIES["assistant_labels_whole"](spark, sf).collect()}
+    got = {r.sample_id: (r.n, r.ids, r.labels) for r in QUERIES["assistant_labels"](spark, sf).collect()}
     assert got == want and any(not r.text.isascii() for r in rows if r.sample_id in want)
     talks = {}
     for r in rows:
@@ -43,7 +43,7 @@ def test_labels_rendering_and_cleaning_of_all_rows(spark, sf):
                 turns = [(role, c.replace(tag, tag.replace("<", "‹").replace(">", "›"))) for role, c in turns]
             segments = [(role, f"<{role}>\n{c}\n") for role, c in turns]
             talks[r.sample_id] = (digest("".join(t for _, t in segments)), sum(len(t) for role, t in segments if role == "assistant"))
-    assert {r.sample_id: (r.text_hash, r.assistant_chars) for r in QUERIES["render_conversation_whole"](spark, sf).collect()} == talks
+    assert {r.sample_id: (r.text_hash, r.assistant_chars) for r in QUERIES["render_conversation"](spark, sf).collect()} == talks
     assert {r.sample_id: r.hash for r in QUERIES["clean_samples"](spark, sf).collect()} == {r.sample_id: digest(plain_clean(r.text)) for r in rows}
 
 
