@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.kernels import alnum_table, mix64, slabs, strings, to_codepoints
-from quern.plans.shared import attach_by_key, materialize
+from quern.llm.p2_groups import components
+from quern.plans.shared import attach_by_key, materialize, materialize_counted
 
 _LINE = re.compile(r"^\s*([^\s:：][^:：\n]{0,40}?)\s*[:：]\s*(.*?)\s*$")
 _NOT_ALNUM = re.compile(r"[\W_]+")
@@ -149,9 +150,20 @@ def classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(suspects.distinct(), "id", "left_semi")
     keyed = materialize(equality_keys(rows, "id", "text"), "p6-keys")
     # A sequence takes the field set of any member that could be parsed, so both ways of being equal form one class.
-    by_seq = keyed.groupBy("seq").agg(F.min("fields").alias("of_seq"), F.min("id").alias("least"), F.count("*").alias("n"))
-    by_class = by_seq.withColumn("class", F.coalesce("of_seq", "seq")).groupBy("class").agg(F.min("least").alias("keep_id"), F.sum("n").alias("copies"))
-    facts = by_seq.withColumn("class", F.coalesce("of_seq", "seq")).join(by_class.filter("copies > 1"), "class").select("seq", "n", "keep_id", "copies")
+    by_seq = keyed.groupBy("seq").agg(F.min("fields").alias("of_seq"), F.max("fields").alias("other"), F.min("id").alias("least"), F.count("*").alias("n"))
+    by_seq, ways = materialize_counted(by_seq, "p6-sequences", F.count_if(F.col("of_seq") != F.col("other")).alias("several"))
+    if ways.get("several"):  # one sequence of letters can be written as different records, which joins their classes
+        split = keyed.join(by_seq.filter("of_seq <> other").select("seq", "of_seq"), "seq").filter("fields IS NOT NULL")
+        number = lambda c: F.conv(F.substring(c, 1, 15), 16, 10).cast("long")
+        edges = split.select(number(F.col("of_seq")).alias("u"), number(F.col("fields")).alias("v"))
+        roots = components(edges)
+        ends = split.select(F.explode(F.array("of_seq", "fields")).alias("of_seq")).distinct().withColumn("v", number(F.col("of_seq")))
+        whole = ends.join(roots, "v", "left").select("of_seq", F.coalesce("root", "v").alias("root"))
+        names = materialize(whole.join(whole.groupBy("root").agg(F.min("of_seq").alias("name")), "root").select("of_seq", "name"), "p6-names")
+        by_seq = by_seq.join(names, "of_seq", "left").withColumn("of_seq", F.coalesce("name", "of_seq")).drop("name")
+    by_seq = by_seq.withColumn("class", F.coalesce("of_seq", "seq"))
+    by_class = by_seq.groupBy("class").agg(F.min("least").alias("keep_id"), F.sum("n").alias("copies"))
+    facts = by_seq.join(by_class.filter("copies > 1"), "class").select("seq", "n", "keep_id", "copies")
     return attach_by_key(keyed.select("id", "seq"), facts, "seq", "id", "n", total).select("id", "keep_id", "copies")
 
 

@@ -84,7 +84,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_text, p2_found, p2_splits, p3_found, p4_found, p4_report, p5_rows, p5_fill, p6_found, p6_copies, p7_ids, p8_found, p8_clean, p9_pieces)}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+#: Windows of ten words (Japanese items: of 25 letters and digits) that documents and items share.
+P8_FOUND = r"""WITH t AS (SELECT 'd' AS side, doc_id AS id, '' AS lang, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+') AS u FROM documents
+UNION ALL SELECT 'i', item_id, lower(coalesce(lang, '')), regexp_extract_all(replace(lower(part), 'ß', 'ss'), '[\p{L}\p{N}]+') FROM (SELECT item_id, lang, passage AS part FROM eval_items UNION ALL SELECT item_id, lang, question FROM eval_items)),
+w AS (SELECT side, id, array_to_string(u[k : k + 9], ' ') AS g FROM t, LATERAL (SELECT unnest(range(1, len(u) - 8)) AS k) WHERE lang NOT LIKE 'ja%'),
+s AS (SELECT side, id, array_to_string(u, '') AS z FROM t WHERE side = 'd' OR lang LIKE 'ja%'),
+l AS (SELECT side, id, substring(z, k, 25) AS g FROM s, LATERAL (SELECT unnest(range(1, length(z) - 23)) AS k))
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM w d JOIN w i ON d.side = 'd' AND i.side = 'i' AND d.g = i.g
+UNION SELECT DISTINCT d.id, i.id FROM l d JOIN l i ON d.side = 'd' AND i.side = 'i' AND d.g = i.g"""
 
 
+def oracle_sql() -> dict[str, str]:
+    return {"p8_found": P8_FOUND}

@@ -44,3 +44,10 @@ def test_long_labelled_lines_name():
     url = "https://www.kite-forum.example/post/7?" + "&".join(f"part{i}=value{i}" for i in range(40))
     names = [(k, p2_groups.normal(k, v)) for k, v, _ in p2_groups.names_in_text(f"Source: {url}\nAuthor: Ana Maria de la Cruz Ruiz\nTopic: one two three four five six seven eight nine")]
     assert names == [("source", "kiteforum/post7"), ("author", "anamariadelacruzruiz"), ("entity", "onetwothreefourfivesixseveneightnine")]
+
+
+def test_records_joined_by_one_sequence(spark):
+    """Two records of different fields have the same letters; what equals either belongs to one class."""
+    texts = ['{"ab": "c", "d": "e"}', '{"a": "bc", "d": "e"}', "d: e\na: bc", "d: e\nab: c", "d: e\na: bx"]
+    df = spark.createDataFrame(list(enumerate(texts)), "sample_id long, text string")
+    assert {tuple(r) for r in p6_collapse.found(df).collect()} == {(0, 1), (0, 2), (0, 3)}
