@@ -69,6 +69,17 @@ def denied_ids(df: DataFrame, id_col: str, text_col: str, deny: DataFrame, compo
     return hashes.join(deny, "hash", "left_semi").select(id_col).distinct()
 
 
+def required_hashes(items: DataFrame, id_col: str, question: Column, prompt: Column) -> DataFrame:
+    """``hash, kind, items``: content hashes that a denylist has to hold, of each item's question and rendered prompt.
+
+    ``items`` counts the items of one hash and kind: more than one is a repeated question or prompt, which a strict build
+    refuses. Choices and answers are too short to be listed.
+    """
+    parts = F.array(F.struct(F.lit("question").alias("kind"), question.alias("text")), F.struct(F.lit("prompt").alias("kind"), prompt.alias("text")))
+    rows = items.select(F.col(id_col).alias("_id"), F.explode(parts).alias("p")).filter("p.text IS NOT NULL")
+    return rows.select("_id", "p.kind", content_hash(F.col("p.text")).alias("hash")).groupBy("hash", "kind").agg(F.countDistinct("_id").alias("items"))
+
+
 def missing_from_denylist(required: DataFrame, deny: DataFrame) -> DataFrame:
     return required.select("hash").distinct().join(deny, "hash", "left_anti")
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.operators.audit import categories
+
 
 def turns_of(text: Column) -> Column:
     """Turns of a rendered chat text: a role line opens a turn, what follows is its content."""
@@ -66,3 +68,16 @@ def preference_of(row: Column) -> Column:
     """Prompt, chosen and rejected of a variant row, or null if one is missing."""
     p, c, r = (field(row, (n,)) for n in ("prompt", "chosen", "rejected"))
     return F.when((F.coalesce(p, F.lit("")) != "") & (F.coalesce(c, F.lit("")) != "") & (F.coalesce(r, F.lit("")) != ""), F.struct(p.alias("prompt"), c.alias("chosen"), r.alias("rejected")))
+
+
+def preferences(df: DataFrame, id_col: str, row: str, purpose: str, tokens: tuple[str, ...] = ()) -> DataFrame:
+    """``id, prompt, chosen, rejected`` of variant rows. For ``training`` a row with sensitive content fails the scan, with its id
+    and categories; for ``evaluation`` none is left out. Rows that lack a part are no preference rows and are dropped."""
+    if purpose not in ("training", "evaluation"):
+        raise ValueError(f"unknown purpose {purpose!r}")
+    rows = df.select(id_col, preference_of(F.col(row)).alias("p")).filter("p IS NOT NULL").select(id_col, "p.*")
+    if purpose == "evaluation":
+        return rows
+    found = F.array_distinct(F.flatten(F.array(*[F.coalesce(categories(F.col(c), tokens), F.array().cast("array<string>")) for c in ("prompt", "chosen", "rejected")])))
+    told = F.raise_error(F.concat(F.lit("preference row "), F.col(id_col).cast("string"), F.lit(" holds "), F.array_join(found, ", ")))
+    return rows.withColumn("prompt", F.when(F.size(found) > 0, told.cast("string")).otherwise(F.col("prompt")))

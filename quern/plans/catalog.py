@@ -249,9 +249,8 @@ def purpose_conflict(spark: SparkSession, d: str) -> DataFrame:
 
 # --- denylists ----------------------------------------------------------------------------------------------------------
 def required_hashes(spark: SparkSession, d: str) -> DataFrame:
-    prompt = X.choice_prompt(F.col("question"), F.col("choices"))
-    rows = read_table(spark, d, "eval_items").select(F.explode(F.array(X.content_hash(F.col("question")), X.content_hash(prompt))).alias("hash"))
-    return rows.distinct()
+    items = read_table(spark, d, "eval_items")
+    return audit.required_hashes(items, "item_id", F.col("question"), X.choice_prompt(F.col("question"), F.col("choices"))).select("hash").distinct()
 
 
 _LABELS = "list_sort(map_keys(choices))"
@@ -269,6 +268,13 @@ def denylist_build(spark: SparkSession, d: str) -> DataFrame:
     return required_hashes(spark, d)
 
 
+@query(f"SELECT {sql_content_hash('question')} AS hash, count(*) AS items FROM eval_items WHERE question IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def repeated_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions that a strict build of a denylist refuses, as another item asks the same."""
+    found = audit.required_hashes(read_table(spark, d, "eval_items"), "item_id", F.col("question"), F.lit(None).cast("string"))
+    return found.filter("items > 1").select("hash", "items")
+
+
 @query(f"SELECT hash FROM ({_REQUIRED}) UNION SELECT hash FROM ({_LISTED})")
 def denylist_merge(spark: SparkSession, d: str) -> DataFrame:
     return required_hashes(spark, d).union(_listed(spark, d)).distinct()
@@ -674,6 +680,13 @@ def preference_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("pair_id", chat.preference_of(F.col("row")).alias("p")).filter("p IS NOT NULL").select("pair_id", "p.*")
 
 
+@query("SELECT pair_id, prompt, chosen, rejected FROM preference_samples WHERE prompt <> '' AND chosen <> '' AND rejected <> ''")
+def preference_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Preference rows read for evaluation, where none is refused."""
+    rows = read_table(spark, d, "preference_samples").select("pair_id", F.to_variant_object(F.struct("prompt", "chosen", "rejected")).alias("row"))
+    return chat.preferences(rows, "pair_id", "row", "evaluation")
+
+
 _PREF = ("prompt", "chosen", "rejected")
 
 
@@ -749,18 +762,24 @@ def _landed(spark: SparkSession, d: str, name: str) -> DataFrame:
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what has landed and return its result table."""
+def run_to_table(stream: DataFrame, mode: str, key: str | None = None) -> DataFrame:
+    """Run a stream over what has landed and return its result table; in update mode the last row of each key stays."""
     spark = stream.sparkSession
     held: list[DataFrame] = []
 
-    def keep(batch: DataFrame, _: int) -> None:
-        held.append(materialize(batch, "stream"))
+    def keep(batch: DataFrame, number: int) -> None:
+        held.append(materialize(batch.withColumn("_batch", F.lit(number)), "stream"))
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     if not held:
         return spark.createDataFrame([], stream.schema)
-    return reduce(DataFrame.unionByName, held) if mode == "append" else held[-1]
+    if mode == "complete":
+        return held[-1].drop("_batch")
+    rows = reduce(DataFrame.unionByName, held)
+    if mode == "append" or key is None:
+        return rows.drop("_batch")
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*stream.columns), "_batch").alias("r"))
+    return last.select("r.*")
 
 
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -776,8 +795,17 @@ def stream_audit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(DISTINCT text) AS texts FROM documents WHERE text IS NOT NULL")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    rows = _landed(spark, d, "documents").filter("text IS NOT NULL").withColumn("seen_at", F.lit("2031-01-01").cast("timestamp"))
-    return run_to_table(flows.first_seen(rows, "text", "seen_at").select("digest"), "append").agg(F.countDistinct("digest").alias("texts"))
+    """Each text once, by the time it was collected; a missing time counts as the earliest, and nothing is late in one batch."""
+    at = F.coalesce(F.col("collected_at").cast("timestamp"), F.lit("2000-01-01").cast("timestamp"))
+    rows = _landed(spark, d, "documents").filter("text IS NOT NULL").withColumn("seen_at", at)
+    return run_to_table(flows.first_seen(rows, "text", "seen_at", "36500 days").select("digest"), "append").agg(F.count("digest").alias("texts"))
+
+
+@query(SQL["ema_fold"])
+def stream_ema(spark: SparkSession, d: str) -> DataFrame:
+    """The moving average as a stream with state, rows of a batch in order of their id."""
+    stream = flows.ema_stream(_landed(spark, d, "events"), "user_id", "value", 0.1, "event_id")
+    return run_to_table(stream, "update", "user_id").withColumn("ema", F.round("ema", 6))
 
 
 # Further queries register themselves.

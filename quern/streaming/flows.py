@@ -35,12 +35,15 @@ def window_counts(df: DataFrame, time_col: str, key: str, size: str = "1 hour",
     return rows.select(F.col("w.start").alias("window_start"), key, "n")
 
 
-def ema_stream(df: DataFrame, key: str, value: str, rate: float) -> DataFrame:
-    """Exponential moving average by key over all rows so far, in the order of arrival."""
+def ema_stream(df: DataFrame, key: str, value: str, rate: float, order: str | None = None) -> DataFrame:
+    """Exponential moving average by key over all rows so far: batches as they arrive, rows of a batch by ``order`` if given.
+
+    Rows of one key and batch are held to be ordered; ``maxFilesPerTrigger`` of the source bounds them.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get[0] if state.exists else None
-        for b in batches:
+        for b in [pd.concat(list(batches)).sort_values(order)] if order else batches:
             for x in b[value]:
                 now = float(x) if now is None else now * (1 - rate) + float(x) * rate
         state.update((now,))

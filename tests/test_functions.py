@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import numeric as N
 from quern.functions import text as X
-from quern.operators import audit, evaluate, governance, sampling, tokens, vectors
+from quern.operators import audit, chat, evaluate, governance, sampling, tokens, vectors
 from quern.plans.catalog import QUERIES
 from quern.plans.shared import attach_by_key
 from quern.sources import files, sinks
@@ -318,3 +318,25 @@ def test_gists_against_a_plain_version(spark):
     assert got.keys() == want.keys() and len(want) > 2
     for k, (x, n, s) in want.items():
         assert got[k].support == n and np.allclose(got[k].embedding, x) and abs(got[k].salience - s) < 1e-9
+
+
+def test_preferences_for_training(spark):
+    rows = spark.createDataFrame([(1, "p", "c", "r"), (2, "", "c", "r"), (3, "p", "write to a.b@mail.example", "r")], "i long, prompt string, chosen string, rejected string")
+    rows = rows.select("i", F.to_variant_object(F.struct("prompt", "chosen", "rejected")).alias("row"))
+    assert [r.i for r in chat.preferences(rows, "i", "row", "evaluation").orderBy("i").collect()] == [1, 3]
+    assert [r.i for r in chat.preferences(rows.filter("i < 3"), "i", "row", "training").collect()] == [1]
+    with pytest.raises(Exception, match="preference row 3 holds email"):
+        chat.preferences(rows, "i", "row", "training").collect()
+
+
+def test_logs_are_appended(spark, tmp_path):
+    for step in (1, 2):
+        sinks.append_log(spark.createDataFrame([(step, step / 2)], "step long, loss double"), f"{tmp_path}/log")
+    rows = files.read_log(spark, f"{tmp_path}/log", ("step", "loss")).orderBy("step").collect()
+    assert [(r.step, r.loss) for r in rows] == [("1", "0.5"), ("2", "1.0")] or [(r.step, r.loss) for r in rows] == [("1", "0.5"), ("2", "1")]
+
+
+def test_repeated_questions(spark):
+    items = spark.createDataFrame([(1, "Who?"), (2, " who? "), (3, "What?"), (4, None)], "i long, q string")
+    found = {(r.kind, r["items"]) for r in audit.required_hashes(items, "i", F.col("q"), F.concat(F.col("q"), F.col("i").cast("string"))).collect()}
+    assert found == {("question", 2), ("question", 1), ("prompt", 1)}
