@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Code points per slab; one longer text forms a slab of its own.
-SLAB = 4_000_000
+SLAB = 2_000_000
 _U = np.uint64
 
 

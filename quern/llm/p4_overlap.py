@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import p6_collapse
 from quern.llm.kernels import common_in_order, cut, grouped_order, mix64, slabs, span_hashes, strings, units
-from quern.plans.shared import attach_by_key, materialize, materialize_counted
+from quern.plans.shared import attach_by_key, discard, materialize, materialize_counted
 
 SKETCH_BITS, BLOOM_BITS = 20, 26
 SEGMENTS = 64
@@ -271,6 +271,8 @@ def overlaps(df: DataFrame, id_col: str = "sample_id", split_col: str = "split_n
     texts = materialize(rows.select("id", "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "p4-texts")
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     links = materialize(verified(joined.select("a", "b", "ta", "tb")), "p4-links")
+    for done in (pairs, wanted, texts):
+        discard(done)
     others = copies.select(F.col("rep").alias("a"), F.col("id").alias("eval_id"))
     links = links.select(F.col("a").alias("eval_id"), "b").unionByName(links.join(others, "a").select("eval_id", "b"))
     others = copies.select(F.col("rep").alias("b"), F.col("id").alias("train_id"))

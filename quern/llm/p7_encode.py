@@ -225,6 +225,12 @@ class Encoder:
         return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def encoder_of(folder: str, name: str) -> Encoder:
+    """The encoder of a vocabulary file, once per worker process; its cache of slices is bounded."""
+    return Encoder(folder, name)
+
+
 def valid(texts: list[str | None]) -> list[str]:
     return [t or "" for t in texts]
 
@@ -251,7 +257,7 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, *, folder: str = TO
         fields.append(T.StructField("ends", T.ArrayType(T.IntegerType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(folder, name)
+        encoder = encoder_of(folder, name)
         for batch in batches:
             texts = valid(batch.column(1).to_pylist())
             for a, b in text_slabs(texts):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quern.llm.p7_encode import NAME, TOKENIZERS, Encoder, text_slabs
+from quern.llm.p7_encode import Encoder, NAME, TOKENIZERS, encoder_of, text_slabs
 
 # Marks that end a sentence, and marks that may follow them before the sentence is over.
 ENDERS = ".!?。！？…؟"
@@ -152,7 +152,7 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, *, limit: int = 5
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(folder, name)
+        encoder = encoder_of(folder, name)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             keep = [i for i, t in enumerate(texts) if len(t) * 4 > limit and len(t.encode()) > limit]
