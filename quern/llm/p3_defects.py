@@ -77,6 +77,39 @@ CUES = {
     "quoted": re.compile(r"[\"“”„«»「『].{3,}[\"“”«»」』]"),
     "enough": _L(r"\benough\b|go wrong|dejar de|nichts falsch|slow start|la espera|die pause|말로 다|늦어서|言葉にできない|遅くなって|here is|aquí va|hier ist|시작할게요|始めます"),
 }
+
+
+def _by_script(pattern: re.Pattern[str]) -> tuple[re.Pattern[str] | None, re.Pattern[str] | None]:
+    """The pattern without the alternatives that ASCII texts cannot match, and without those that need Latin letters."""
+    parts, depth, start, text = [], 0, 0, pattern.pattern
+    for i, c in enumerate(text):
+        escaped = (i - len(text[:i].rstrip("\\"))) % 2 == 1
+        if not escaped:
+            depth += (c == "(") - (c == ")")
+            if c == "|" and not depth:
+                parts.append(text[start:i])
+                start = i + 1
+    parts.append(text[start:])
+    east = [bool(_EAST.search(x)) for x in parts]
+    latin = [bool(re.search(r"[a-z]", re.sub(r"\\.", "", x))) for x in parts]
+    made = lambda keep: _L("|".join(keep)) if keep else None
+    return made([x for x, e, l in zip(parts, east, latin) if l or not e]), made([x for x, e, l in zip(parts, east, latin) if e or not l])
+
+
+_EAST = re.compile(r"[\u3000-\u9fff\uac00-\ud7a3]")
+_LATIN_LETTER = re.compile(r"[a-z\u00c0-\u024f]")
+_SPLIT_CUES = {k: (p, p) if k == "quoted" else _by_script(p) for k, p in CUES.items()}  # quotation marks belong to no script
+
+
+def cues(clause: str) -> dict[str, bool]:
+    """Which cues a lower-cased clause holds; alternatives of scripts it does not have are not tried."""
+    if clause.isascii():
+        return {k: bool(p and p.search(clause)) for k, (p, _) in _SPLIT_CUES.items()}
+    if not _LATIN_LETTER.search(clause):
+        return {k: bool(p and p.search(clause)) for k, (_, p) in _SPLIT_CUES.items()}
+    return {k: bool(p.search(clause)) for k, p in CUES.items()}
+
+
 _LABEL = _C(r"^\W*(?:you asked|question|prompt|q|the question is|pregunta|preguntaste|frage|du fragtest|deine frage|질문|물음|質問|お尋ね)\s*[:：]")
 _ITEM = re.compile(r"^\s*(?:[-*•‣・]|\d{1,3}[.)]|\(\d{1,3}\))\s*\S")
 _MARKER = re.compile(r"\s*(?:[-*•‣・]|\(?\d{1,3}[.)])\s*")
@@ -104,8 +137,10 @@ for _l, _ws in FREQUENT.items():
 
 def language(text: str) -> str:
     """``ja``, ``ko``, ``en``, ``es``, ``de``, or an empty string where nothing tells."""
-    kana, hangul, latin = len(_KANA.findall(text)), len(_HANGUL_RE.findall(text)), len(_LATIN.findall(text))
-    han = len(_HAN_RE.findall(text))
+    kana, hangul, latin, han = 0, 0, 0, 0
+    if not text.isascii():
+        kana, hangul, han = len(_KANA.findall(text)), len(_HANGUL_RE.findall(text)), len(_HAN_RE.findall(text))
+        latin = len(_LATIN.findall(text)) if kana + hangul + han else 0
     if kana + hangul + han and (kana + hangul + han) * 2 >= latin:
         return "ko" if hangul >= kana + han * (kana > 0) and hangul else "ja" if kana or han else ""
     low = text.casefold() if "ß" not in text else text.lower()
@@ -200,7 +235,7 @@ def features(ctx: Context, answer: str) -> tuple[list[str], np.ndarray]:
         echo = common_in_order(a, b) / len(a)
     items = sum(bool(_ITEM.match(c)) for c in parts)
     code_open = answer.count("```") % 2 == 1
-    hits = [{k: bool(p.search(c)) for k, p in CUES.items()} for c in map(str.lower, parts)]
+    hits = [cues(c.lower()) for c in parts]
     for i, c in enumerate(parts):
         f = x[i]
         on = lambda name, value=1.0, f=f: f.__setitem__(_AT[name], value)
