@@ -315,39 +315,43 @@ class Field:
 
     @staticmethod
     def fit(data: list[tuple[np.ndarray, list[int]]], rounds: int = 120, rate: float = 0.2, decay: float = 2e-4) -> Field:
-        """Gradient ascent (Adam) on the mean log likelihood, by forward and backward sums over padded sequences."""
-        size, longest = len(data), max(len(y) for _, y in data)
-        dim = data[0][0].shape[1]
-        x = np.zeros((size, longest, dim), dtype=np.float32)
-        y = np.zeros((size, longest), dtype=np.int64)
-        on = np.zeros((size, longest), dtype=bool)
-        for i, (a, b) in enumerate(data):
-            x[i, : len(b)], y[i, : len(b)], on[i, : len(b)] = a, b, True
-        gold = np.eye(TAGS, dtype=np.float32)[y] * on[..., None]
-        pair = on[:, 1:]
-        gold_t = np.einsum("nlj,nlk->jk", gold[:, :-1] * pair[..., None], gold[:, 1:])
-        gold_w = x.reshape(-1, dim).T @ gold.reshape(-1, TAGS)
-        p = [np.zeros((dim, TAGS)), np.zeros((TAGS, TAGS)), np.zeros(TAGS)]
+        """Gradient ascent (Adam) on the mean log likelihood, by scaled forward and backward products.
+
+        Sequences stand in order of falling length, so at every place those that reach it come first. The products are small;
+        plain loops spare the threads of a matrix library.
+        """
+        product = lambda a, b: np.einsum("ij,jk->ik", a, b)
+        data = sorted(data, key=lambda d: -len(d[1]))
+        size, longest = len(data), len(data[0][1])
+        many = np.array([len(y) for _, y in data])
+        upto = [int((many > l).sum()) for l in range(longest)]
+        on = np.arange(longest) < many[:, None]
+        x = np.concatenate([a for a, _ in data]).astype(np.float64)
+        gold = np.zeros((size, longest, TAGS))
+        gold[on] = np.eye(TAGS)[np.concatenate([y for _, y in data])]
+        gold_w = product(x.T, gold[on])
+        gold_t = np.einsum("nlj,nlk->jk", gold[:, :-1], gold[:, 1:])
+        p = [np.zeros((x.shape[1], TAGS)), np.zeros((TAGS, TAGS)), np.zeros(TAGS)]
         m, v = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p]
+        e, a, b = np.ones((size, longest, TAGS)), np.zeros((size, longest, TAGS)), np.ones((size, longest, TAGS))
+        c = np.ones((size, longest, 1))
         for step in range(1, rounds + 1):
             w, t, s = p
-            u = x @ w.astype(np.float32)
-            alpha = np.zeros((size, longest, TAGS))
-            alpha[:, 0] = u[:, 0] + s
-            for l in range(1, longest):
-                a = _lse(alpha[:, l - 1, :, None] + t, 1) + u[:, l]
-                alpha[:, l] = np.where(on[:, l, None], a, alpha[:, l - 1])
-            z = _lse(alpha[:, -1], 1)
-            beta = np.zeros((size, longest, TAGS))
-            for l in range(longest - 2, -1, -1):
-                b = _lse(t + (u[:, l + 1] + beta[:, l + 1])[:, None, :], 2)
-                beta[:, l] = np.where(on[:, l + 1, None], b, 0)
-            prob = np.exp(alpha + beta - z[:, None, None]) * on[..., None]
+            u = product(x, w)
+            e[on] = np.exp(u - u.max(axis=1, keepdims=True))
+            turn = np.exp(t)
+            for l, n in enumerate(upto):
+                a[:n, l] = e[:n, l] * (product(a[:n, l - 1], turn) if l else np.exp(s - s.max()))
+                c[:n, l] = a[:n, l].sum(axis=1, keepdims=True)
+                a[:n, l] /= c[:n, l]
             both = np.zeros((TAGS, TAGS))
-            for l in range(1, longest):
-                joint = np.exp(alpha[:, l - 1, :, None] + t + (u[:, l] + beta[:, l])[:, None, :] - z[:, None, None])
-                both += (joint * on[:, l, None, None]).sum(0)
-            grad = [(gold_w - x.reshape(-1, dim).T @ prob.reshape(-1, TAGS).astype(np.float32)) / size - decay * w, (gold_t - both) / size - decay * t, (gold[:, 0] - prob[:, 0]).mean(0) - decay * s]
+            for l in range(longest - 1, 0, -1):
+                n = upto[l]
+                after = e[:n, l] * b[:n, l] / c[:n, l]
+                b[:n, l - 1] = product(after, turn.T)
+                both += turn * product(a[:n, l - 1].T, after)
+            prob = a * b
+            grad = [(gold_w - product(x.T, prob[on])) / size - decay * w, (gold_t - both) / size - decay * t, (gold[:, 0] - prob[:, 0]).mean(0) - decay * s]
             for i, g in enumerate(grad):
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.99 * v[i] + 0.01 * g * g
@@ -368,11 +372,6 @@ class Field:
         return tags[::-1]
 
 
-def _lse(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis=axis))
-
-
 # Phrases of refusal, of turning elsewhere and of courtesy, for training sequences.
 REFUSALS = {
     "en": ("I'm sorry, but I can't help with that.", "I cannot answer this question.", "I must decline this request.", "I am unable to assist with this request.", "My guidelines do not allow me to respond to this.", "I'd rather not get into that topic.", "Sorry, that is something I won't write about.", "As a language model, I cannot talk about this.", "No, I won't do that.", "Request denied: content policy.", "I have to pass on this one, sorry.", "That question falls under topics I do not cover.", "Apologies, that is not something I will describe."),
