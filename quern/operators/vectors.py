@@ -253,13 +253,14 @@ def gists(df: DataFrame, owner: str, id_col: str, vec_col: str, salience: str, l
     names = [owner, "gist", "support", "salience", "embedding", "members"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, kind = None, [], pa.null()
 
         def out() -> list[tuple]:
             return [(now, k + 1, n, s, v.tolist(), m) for k, (v, n, s, m) in enumerate(held)]
 
         done: list[tuple] = []
         for batch in batches:
+            kind = batch.schema.types[0]
             for o, anchor, n, s, v in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and o != now:
                     done += out()
@@ -274,17 +275,17 @@ def gists(df: DataFrame, owner: str, id_col: str, vec_col: str, salience: str, l
                     mixed = (old * m + x * n) / (m + n)
                     held[k] = (mixed / max(np.linalg.norm(mixed), 1e-300), m + n, first, [*members, anchor])
             if len(done) > 4096:
-                yield _table(done, names)
+                yield _table(done, names, kind)
                 done = []
-        yield _table(done + (out() if held else []), names)
+        if held:
+            yield _table(done + out(), names, kind)
 
     return rows.mapInArrow(run, f"{owner} {dict(df.dtypes)[owner]}, gist int, support long, salience double, embedding array<double>, members array<long>")
 
 
-def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    types = (None, pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()))
-    columns = zip(*rows) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) if c or t else pa.array(c, pa.string()) for c, t in zip(columns, types)], names)
+def _table(rows: list[tuple], names: list[str], owner: pa.DataType) -> pa.RecordBatch:
+    types = (owner, pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
 def memory_problems(df: DataFrame, id_col: str, vec_col: str, salience: str, size: int) -> DataFrame:

@@ -550,13 +550,13 @@ def memory_retrieve(spark: SparkSession, d: str) -> DataFrame:
 _CLUSTERS = """r AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
 f AS (SELECT label, k, vec_id AS id, vec_id AS anchor, [{'id': vec_id, 'e': e}] AS held FROM r WHERE k = 1
 UNION ALL SELECT r.label, r.k, r.vec_id, coalesce(m.id, r.vec_id), CASE WHEN m.id IS NULL THEN list_append(f.held, {'id': r.vec_id, 'e': r.e}) ELSE f.held END
-FROM f JOIN r ON r.label = f.label AND r.k = f.k + 1, LATERAL (SELECT list_filter(f.held, lambda h: list_cosine_similarity(h.e, r.e) >= 0.8)[1].id AS id) m)"""
+FROM f JOIN r ON r.label = f.label AND r.k = f.k + 1, LATERAL (SELECT list_filter(f.held, lambda h: list_cosine_similarity(h.e, r.e) >= 0.25)[1].id AS id) m)"""
 
 
 @query(f"WITH RECURSIVE {_CLUSTERS} SELECT label, anchor, id FROM f")
 def consolidate(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of similar vectors within each label."""
-    return vectors.clusters(read_table(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.8)
+    return vectors.clusters(read_table(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.25)
 
 
 # --- evaluation ---------------------------------------------------------------------------------------------------------

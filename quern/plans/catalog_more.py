@@ -284,12 +284,12 @@ g AS (SELECT label, anchor, list(v ORDER BY axis) AS e FROM (SELECT label, ancho
 o AS (SELECT c.label, c.anchor, c.n, g.e, row_number() OVER (PARTITION BY c.label ORDER BY c.anchor) AS k FROM c JOIN g USING (label, anchor)),
 h AS (SELECT label, k, [{{'e': list_transform(e, lambda y: y / sqrt(list_sum(list_transform(e, lambda z: z * z)))), 'n': n, 'first': anchor}}] AS held FROM o WHERE k = 1
 UNION ALL SELECT o.label, o.k, CASE WHEN m.i IS NULL THEN list_append(h.held, {{'e': m.u, 'n': o.n, 'first': o.anchor}}) ELSE list_transform(h.held, lambda y, i: CASE WHEN i = m.i THEN {{'e': list_transform(y.e, lambda z, j: (z * y.n + m.u[j] * o.n) / (y.n + o.n)), 'n': y.n + o.n, 'first': y.first}} ELSE y END) END
-FROM h JOIN o ON o.label = h.label AND o.k = h.k + 1, LATERAL (SELECT list_transform(o.e, lambda y: y / sqrt(list_sum(list_transform(o.e, lambda z: z * z)))) AS u, list_position(list_transform(h.held, lambda y: list_cosine_similarity(y.e, o.e) >= 0.8), true) AS i) m)
+FROM h JOIN o ON o.label = h.label AND o.k = h.k + 1, LATERAL (SELECT list_transform(o.e, lambda y: y / sqrt(list_sum(list_transform(o.e, lambda z: z * z)))) AS u, list_position(list_transform(h.held, lambda y: list_cosine_similarity(y.e, o.e) >= 0.25), true) AS i) m)
 SELECT label, unnest(held).first AS anchor, unnest(held).n::BIGINT AS support FROM h WHERE k = (SELECT max(k) FROM o WHERE o.label = h.label)""")
 def memory_gists(spark: SparkSession, d: str) -> DataFrame:
     """What clusters leave behind, later clusters merged into the first gist that is like them."""
     rows = read_table(spark, d, "embeddings").withColumn("salience", (F.col("vec_id") % 10) / 10)
-    return vectors.gists(rows, "label", "vec_id", "embedding", "salience", 0.8).select("label", F.col("members")[0].alias("anchor"), "support")
+    return vectors.gists(rows, "label", "vec_id", "embedding", "salience", 0.25).select("label", F.col("members")[0].alias("anchor"), "support")
 
 
 @query("SELECT vec_id, CASE vec_id % 25 WHEN 1 THEN 'size' WHEN 2 THEN 'not finite' WHEN 3 THEN 'zero' WHEN 4 THEN 'salience' WHEN 5 THEN 'salience' END AS reason FROM embeddings WHERE vec_id % 25 BETWEEN 1 AND 5")
