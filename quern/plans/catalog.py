@@ -650,10 +650,11 @@ def candidate_seeds(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).filter("text IS NOT NULL").select("doc_id", N.seed_of(F.col("text")).alias("seed"))
 
 
-@query("SELECT coalesce(a.source_name, b.source_name) AS source_name, a.source_name IS NULL AS missing, b.source_name IS NULL AS unused FROM (SELECT DISTINCT source AS source_name FROM documents) a FULL JOIN (SELECT DISTINCT source_name FROM text_samples WHERE kind = 'sft') b USING (source_name) WHERE a.source_name IS NULL OR b.source_name IS NULL")
+@query("SELECT coalesce(a.source_name, b.source_name) AS source_name, a.source_name IS NULL AS missing, b.source_name IS NULL AS unused FROM (SELECT DISTINCT source AS source_name FROM documents) a FULL JOIN (SELECT source_name FROM sources WHERE list_contains(stages, 'sft')) b USING (source_name) WHERE a.source_name IS NULL OR b.source_name IS NULL")
 def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of the corpus against those that the policy names for a stage."""
     a = docs(spark, d).select(F.col("source").alias("a")).distinct()
-    b = read_table(spark, d, "text_samples").filter("kind = 'sft'").select(F.col("source_name").alias("b")).distinct()
+    b = read_table(spark, d, "sources").filter(F.array_contains("stages", "sft")).select(F.col("source_name").alias("b"))
     both = a.join(b, F.col("a") == F.col("b"), "full").filter("a IS NULL OR b IS NULL")
     return both.select(F.coalesce("a", "b").alias("source_name"), F.col("a").isNull().alias("missing"), F.col("b").isNull().alias("unused"))
 

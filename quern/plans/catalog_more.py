@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import numeric as N
 from quern.functions import text as X
-from quern.operators import chat, evaluate, governance, sampling, tokens, vectors
+from quern.operators import audit, chat, evaluate, governance, sampling, tokens, vectors
 from quern.plans.catalog import _CLUSTERS, query
 from quern.plans.shared import read_table
 
@@ -86,6 +86,14 @@ def message_cases(spark: SparkSession, d: str) -> DataFrame:
     return m.select("id", X.render_messages(F.col("s")).alias("text"), wrote.alias("assistant_chars"), X.visible_split_key(F.col("m")).alias("split_key"))
 
 
+@query(values("id", [(1,), (5,)]))
+def token_injection_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Control tokens count in pretraining texts only, and only as they are written."""
+    rows = [(1, "pretrain", "a <user> b"), (2, "sft", "<user>\nhi"), (3, "pretrain", "< user > and <USER>"), (4, "pretrain", None), (5, "pretrain", "end<reasoning:off>"), (6, "pretrain", "")]
+    found = audit.categories(F.col("text"), X.PRESERVED_TAGS, F.col("kind"))
+    return spark.createDataFrame(rows, "id long, kind string, text string").filter(F.array_contains(found, "special_token_injection")).select("id")
+
+
 @query("SELECT pair_id, CASE WHEN pair_id % 3 = 0 THEN '' ELSE '<system>' || chr(10) || source_name || chr(10) END || '<user>' || chr(10) || prompt || chr(10) || CASE WHEN pair_id % 2 = 0 THEN '<reasoning:high>' || chr(10) ELSE '' END || '<assistant>' || chr(10) AS request FROM preference_samples WHERE prompt IS NOT NULL")
 def inference_prompts_full(spark: SparkSession, d: str) -> DataFrame:
     """Prompts with and without a system part and a mode of reasoning."""
@@ -311,10 +319,8 @@ def weighted_centroids(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY least(value, 80) DESC, event_id) AS k FROM events) WHERE k <= 2")
 def replay_eviction(spark: SparkSession, d: str) -> DataFrame:
     """A buffer for each owner of two rows at most: what stays when the weakest goes as better rows come."""
-    from quern.operators.audit import first_of_group
-
     rows = read_table(spark, d, "events").select("user_id", "event_id", (-F.least(F.col("value"), F.lit(80.0))).alias("minus"))
-    return first_of_group(rows, ["user_id"], ["minus", "event_id"], 2, "event_id").select("user_id", "event_id")
+    return audit.first_of_group(rows, ["user_id"], ["minus", "event_id"], 2, "event_id").select("user_id", "event_id")
 
 
 @query("SELECT pair_id, prompt AS question, rejected AS answer FROM preference_samples WHERE prompt <> '' AND rejected <> ''")
