@@ -39,6 +39,8 @@ STREET_WORDS = {
 _STREET_ENDS = ("straße", "strasse", "str", "weg", "gasse", "platz", "allee", "번길", "길", "로", "시", "군", "구", "동", "호")
 _HANGUL = "가나다라마바사아자차카하고노도로모보소오조초코호구누두루무부수우주추쿠후기니디리미비시이지치키히"
 _HAN = "青山川原木森田野村中北南東西高松竹梅石岩水島林池橋谷本上下内外大小長広安和平明正光春秋夏冬雪月星花"
+# Letters that name the parts of an address in Japanese and Korean.
+ADDRESS_PARTS = "都道府県市区郡町村丁目番地号の시군구읍면동호"
 _ONSETS, _VOWELS = "bdfgklmnprstvz", "aeiou"
 
 
@@ -61,11 +63,13 @@ class Stream:
     def word(self, length: int) -> str:
         return "".join((_ONSETS if i % 2 == 0 else _VOWELS)[self.below(14 if i % 2 == 0 else 5)] for i in range(max(1, length)))
 
-    def like(self, token: str) -> str:
-        """A token of the same length and script."""
+    def like(self, token: str, keep: str = "") -> str:
+        """A token of the same length and script; letters in ``keep`` stay unless they come first."""
         out = []
         for i, c in enumerate(token):
-            if c.isdigit():
+            if i and c in keep:
+                out.append(c)
+            elif c.isdigit():
                 out.append(str(self.below(9) + (1 if i == 0 else 0)))
             elif "가" <= c <= "힣":
                 out.append(_HANGUL[self.below(len(_HANGUL))])
@@ -101,7 +105,8 @@ def draw(key: str, kind: str, norm: str, attempt: int, gender: str | None = None
         for token in norm.split():
             end = next((e for e in _STREET_ENDS if token.endswith(e) and len(token) > len(e)), "")
             free = token[: len(token) - len(end)]
-            out.append(token if token in STREET_WORDS else s.like(longer(free) if not any(t not in STREET_WORDS for t in out) else free) + end)
+            first = all(t in STREET_WORDS for t in out)
+            out.append(token if token in STREET_WORDS else s.like(longer(free) if first else free, ADDRESS_PARTS if attempt < 8 else "") + end)
         return " ".join(out)
     tokens = norm.split()
     for k, token in enumerate(tokens):

@@ -363,3 +363,9 @@ def test_one_person_and_one_number_in_several_forms():
     assert first.endswith("a") and draw("k", "person_name", "rona velt", 0, "m").split()[0].endswith("o")
     assert render("person_name", core, "R. Velt") == f"{first[0].upper()}. {last.capitalize()}"
     assert render("person_name", draw("k", "person_name", "rona k velt", 0), "Velt, R.").count(",") == 1
+
+
+def test_addresses_keep_their_parts():
+    core = draw("k", "address", "霧沢市鈴掛1丁目15番13号", 0)
+    assert re.fullmatch(r"..市..\d丁目\d\d番\d\d号", core) and core != "霧沢市鈴掛1丁目15番13号"
+    assert re.fullmatch(r"..시 ..로 \d{3} \d{3}동 \d{4}호", draw("k", "address", "햇솔시 담솔로 153 107동 8944호", 0))
