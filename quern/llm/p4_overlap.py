@@ -228,10 +228,18 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def equal_classes(keys: DataFrame) -> DataFrame:
+    """``s1, s2, t, e, n, class, r``: the class of every letter sequence, which sides have it, and its number of records.
+
+    A sequence that is a serialized record anywhere is in the class of those fields (``r``), any other in one of its own.
+    """
+    by_letters = keys.groupBy("s1", "s2").agg(F.min(F.when(F.col("f1").isNotNull(), F.struct("f1", "f2"))).alias("f"), F.max("train").alias("t"), F.max(~F.col("train")).alias("e"), F.count("*").alias("n"))
+    return by_letters.select("s1", "s2", "t", "e", "n", F.coalesce(F.col("f"), F.struct(F.col("s1").alias("f1"), F.col("s2").alias("f2"))).alias("class"), F.col("f").isNotNull().alias("r"))
+
+
 def equal_pairs(keys: DataFrame, total: int) -> DataFrame:
     """``eval_id, train_id`` of records equal in letters and digits or, as serialized records, in their fields."""
-    by_letters = keys.groupBy("s1", "s2").agg(F.min(F.when(F.col("f1").isNotNull(), F.struct("f1", "f2"))).alias("f"), F.max("train").alias("t"), F.max(~F.col("train")).alias("e"), F.count("*").alias("n"))
-    class_of = by_letters.select("s1", "s2", "t", "e", "n", F.coalesce(F.col("f"), F.struct(F.col("s1").alias("f1"), F.col("s2").alias("f2"))).alias("class"), F.col("f").isNotNull().alias("r"))
+    class_of = equal_classes(keys)
     both = class_of.groupBy("class", "r").agg(F.max("t").alias("t"), F.max("e").alias("e")).filter("t and e").select("class", "r")
     kept = class_of.join(both, ["class", "r"]).select(F.struct("s1", "s2").alias("s"), "class", "r", "n")
     members = attach_by_key(keys.select("id", "train", F.struct("s1", "s2").alias("s")), kept, "s", "id", "n", total)
@@ -241,19 +249,15 @@ def equal_pairs(keys: DataFrame, total: int) -> DataFrame:
     return ev.join(tr, ["class", "r"]).select("train_id", "eval_id")
 
 
-def overlaps(df: DataFrame, id_col: str = "sample_id", split_col: str = "split_name", text_col: str = "text", train: str = "train", held: tuple[str, ...] = ("valid", "test")) -> DataFrame:
-    """All pairs ``train_id, eval_id`` of records of the two sides that are equal or almost equal.
-
-    Defined cases: records without a split, an id or letters and digits are in no pair; repeated rows count once; very
-    long texts are compared whole; an empty table gives no pairs; other columns are not carried, so names cannot clash.
-    Two texts may tie with many partners: all pairs come out.
-    """
+def linked(df: DataFrame, id_col: str, split_col: str, text_col: str, train: str, held: tuple[str, ...]) -> tuple[DataFrame, int, DataFrame, DataFrame]:
+    """Keys of all records, their number, copies (``id, rep``: of one side and word sequence, without the representative
+    itself), and links ``a, b`` of almost equal representatives of the evaluation and the training side."""
     side = F.col(split_col)
     rows = df.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & side.isin(train, *held))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), (side == train).alias("train"), F.col(text_col).alias("text"))
     keys, total, counts, train_bits, eval_bits = survey(rows)
     # Copies within a side are left out of the lists; they get their representative's links back at the end.
-    cell = keys.select("id", F.xxhash64("k1", "k2", "train").alias("cell"))
+    cell = keys.select("id", F.struct("k1", "k2", "train").alias("cell"))
     facts = cell.groupBy("cell").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
     copies = materialize(attach_by_key(cell, facts, "cell", "id", "n", total).filter("id <> rep").select("id", "rep"), "p4-copies")
     reps = rows.join(copies.select("id"), "id", "left_anti").select("id", "train", "text")
@@ -273,6 +277,17 @@ def overlaps(df: DataFrame, id_col: str = "sample_id", split_col: str = "split_n
     links = materialize(verified(joined.select("a", "b", "ta", "tb")), "p4-links")
     for done in (pairs, wanted, texts):
         discard(done)
+    return keys, total, copies, links
+
+
+def overlaps(df: DataFrame, id_col: str = "sample_id", split_col: str = "split_name", text_col: str = "text", train: str = "train", held: tuple[str, ...] = ("valid", "test")) -> DataFrame:
+    """All pairs ``train_id, eval_id`` of records of the two sides that are equal or almost equal.
+
+    Defined cases: records without a split, an id or letters and digits are in no pair; repeated rows count once; very
+    long texts are compared whole; an empty table gives no pairs; other columns are not carried, so names cannot clash.
+    Two texts may tie with many partners: all pairs come out.
+    """
+    keys, total, copies, links = linked(df, id_col, split_col, text_col, train, held)
     others = copies.select(F.col("rep").alias("a"), F.col("id").alias("eval_id"))
     links = links.select(F.col("a").alias("eval_id"), "b").unionByName(links.join(others, "a").select("eval_id", "b"))
     others = copies.select(F.col("rep").alias("b"), F.col("id").alias("train_id"))
@@ -285,8 +300,25 @@ def found(df: DataFrame) -> DataFrame:
     return overlaps(df).select(F.least("train_id", "eval_id").alias("sample_a"), F.greatest("train_id", "eval_id").alias("sample_b")).distinct()
 
 
-def report(df: DataFrame) -> DataFrame:
-    """Counts by evaluation split and source: pairs, and evaluation records concerned."""
-    pairs = materialize(overlaps(df), "p4-report")
-    of = df.select(F.col("sample_id").alias("eval_id"), "split_name", "source_name")
-    return pairs.join(of, "eval_id").groupBy("split_name", "source_name").agg(F.count("*").alias("pairs"), F.countDistinct("eval_id").alias("records"))
+def report(df: DataFrame, id_col: str = "sample_id", split_col: str = "split_name", text_col: str = "text", source_col: str = "source_name", train: str = "train", held: tuple[str, ...] = ("valid", "test")) -> DataFrame:
+    """Counts by evaluation split and source: pairs, and evaluation records concerned.
+
+    No pair is written out: partners are counted by representatives and classes of equal records and their sizes. A record
+    of the evaluation side has as partners the training records of its class and those of the representatives linked to its
+    own; linked ones of its own class are counted once. Defined cases are those of :func:`overlaps`.
+    """
+    keys, _, copies, links = linked(df, id_col, split_col, text_col, train, held)
+    named = keys.select("id", "train", "s1", "s2").distinct().join(copies, "id", "left")
+    named = materialize(named.select("id", "train", "s1", "s2", F.coalesce("rep", "id").alias("rep")), "p4-named")
+    sizes = named.groupBy("rep", "train", "s1", "s2").agg(F.count("*").alias("n"))
+    reps = materialize(sizes.join(equal_classes(keys).select("s1", "s2", "class", "r"), ["s1", "s2"]).select("rep", "train", "n", F.struct("class", "r").alias("class")), "p4-reps")
+    ev = reps.filter(~F.col("train")).select(F.col("rep").alias("a"), F.col("class").alias("own"))
+    tr = reps.filter("train").select(F.col("rep").alias("b"), "class", "n")
+    near = links.join(tr, "b").join(ev, "a").groupBy("a").agg(F.sum("n").alias("near"), F.sum(F.when(F.col("class") == F.col("own"), F.col("n"))).alias("again"))
+    equal = tr.groupBy(F.col("class").alias("own")).agg(F.sum("n").alias("equal"))
+    of = lambda c: F.coalesce(c, F.lit(0))
+    partners = ev.join(equal, "own", "left").join(near, "a", "left").select(F.col("a").alias("rep"), (of("equal") + of("near") - of("again")).alias("partners")).filter("partners > 0")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(split_col).alias("split_name"), F.col(source_col).alias("source_name")).filter(F.col("split_name").isin(*held)).distinct()
+    concerned = named.filter(~F.col("train")).select("id", "rep").join(rows, "id").groupBy("rep", "split_name", "source_name").agg(F.count("*").alias("records"))
+    counted = concerned.join(partners, "rep").groupBy("split_name", "source_name")
+    return counted.agg(F.sum(F.col("records") * F.col("partners")).cast("long").alias("pairs"), F.sum("records").cast("long").alias("records"))

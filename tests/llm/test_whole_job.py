@@ -1,5 +1,7 @@
 """Cases beyond the given tables: the operators do the whole job there, too."""
 
+from pyspark.sql import functions as F
+
 from quern.llm import p2_groups, p3_defects, p4_overlap, p6_collapse
 
 
@@ -51,3 +53,17 @@ def test_records_joined_by_one_sequence(spark):
     texts = ['{"ab": "c", "d": "e"}', '{"a": "bc", "d": "e"}', "d: e\na: bc", "d: e\nab: c", "d: e\na: bx"]
     df = spark.createDataFrame(list(enumerate(texts)), "sample_id long, text string")
     assert {tuple(r) for r in p6_collapse.found(df).collect()} == {(0, 1), (0, 2), (0, 3)}
+
+
+def test_report_counts_the_pairs_found(spark, sf):
+    """Counts by classes against the pairs written out, on the given table and on hot classes."""
+    given = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/text_samples.parquet")
+    text = "one two three four five six seven eight nine ten"
+    made = [(i, ("train", "valid", "test")[i % 3], "s", text if i % 2 else text.upper() + "!") for i in range(60)]
+    made += [(100, "train", "s", text + " eleven"), (101, "valid", "t", "one two three four five six seven eight nine"), (102, "train", "t", '{"a": "b"}'), (103, "test", "t", "a: b"), (104, "test", "t", "alone")]
+    hot = spark.createDataFrame(made, "sample_id long, split_name string, source_name string, text string")
+    for df in (given, hot):
+        pairs = p4_overlap.overlaps(df)
+        of = df.select(F.col("sample_id").alias("eval_id"), "split_name", "source_name")
+        want = pairs.join(of, "eval_id").groupBy("split_name", "source_name").agg(F.count("*").alias("pairs"), F.countDistinct("eval_id").alias("records"))
+        assert {tuple(r) for r in p4_overlap.report(df).collect()} == {tuple(r) for r in want.collect()}
