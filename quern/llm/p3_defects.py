@@ -16,6 +16,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +126,7 @@ _LATIN = re.compile(r"[a-zà-öø-ÿ]", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+@lru_cache(maxsize=128)  # a clause is asked for when it is cut, described and measured
 def bare(text: str) -> str:
     return _BARE.sub("", text.casefold())
 
@@ -250,7 +252,8 @@ def features(ctx: Context, answer: str) -> tuple[list[str], np.ndarray]:
         lang = language(c)
         on("no_language" if not lang or not ctx.lang else "own_language" if lang == ctx.lang else "other_language")
         long_enough = len(letters) >= 8 or (len(ctx.letters) and len(letters) * 2 >= len(ctx.letters))
-        body = bare(_LABEL.sub("", c))
+        labelled = bool(_LABEL.match(c))
+        body = bare(_LABEL.sub("", c)) if labelled else letters
         if long_enough and body and body in ctx.letters:
             on("in_prompt")
         if len(body) * 10 >= 6 * len(ctx.letters) > 0 and ctx.letters in letters + letters:
@@ -259,7 +262,7 @@ def features(ctx: Context, answer: str) -> tuple[list[str], np.ndarray]:
             on("much_of_prompt")
         if echo >= 0.8:
             on("answer_in_prompt")
-        if _LABEL.match(c):
+        if labelled:
             on("label")
         h = hits[i]
         for k, v in h.items():
