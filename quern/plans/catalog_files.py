@@ -106,11 +106,11 @@ def source_glob(spark: SparkSession, d: str) -> DataFrame:
     return files.file_list(spark, [f"{path}/**/*.txt", f"{path}/*/*/part-*.txt"]).select(name_in_path())
 
 
-@query("SELECT doc_id::VARCHAR AS doc_id, coalesce(title, '') AS title, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents WHERE coalesce(text, '') NOT LIKE '%' || chr(13) || '%'")
+@query("SELECT doc_id::VARCHAR AS doc_id, coalesce(title, '') AS title, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents")
 def scan_csv(spark: SparkSession, d: str) -> DataFrame:
-    """Quoted fields with quotes, separators and line ends; the reader joins carriage returns, so texts with them are left to JSONL."""
+    """Quoted fields with quotes, separators and line ends of every kind."""
     path = folder(spark, "csv")
-    rows = read_table(spark, d, "documents").select("doc_id", "title", "lang", "text").filter("coalesce(text, '') NOT LIKE '%\\r%'")
+    rows = read_table(spark, d, "documents").select("doc_id", "title", "lang", "text")
     rows.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return files.read_delimited(spark, path)
 
