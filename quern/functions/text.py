@@ -91,7 +91,8 @@ def content_hash(text: Column) -> Column:
 def script_count(text: Column, script: str) -> Column:
     """Characters of a writing system; ``other`` is what is neither white space nor any of them."""
     if script != "other":
-        return F.regexp_count(text, F.lit(SCRIPTS[script])).cast("long")
+        # Lengths with and without runs of the script: fewer matches than one a character.
+        return (F.length(text) - F.length(F.regexp_replace(text, SCRIPTS[script] + "+", ""))).cast("long")
     seen = F.length(F.regexp_replace(text, WHITE, "")).cast("long")
     return seen - sum((script_count(text, s) for s in SCRIPTS), F.lit(0).cast("long"))
 
