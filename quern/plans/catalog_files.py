@@ -199,7 +199,7 @@ def component_hits(spark: SparkSession, d: str) -> DataFrame:
     """Listed prompts inside nested rows, but for fields that begin with an underscore."""
     p = read_table(spark, d, "preference_samples")
     inner = F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")), F.struct(F.lit("bot").alias("role"), F.col("chosen").alias("content"))).alias("turns"), F.col("rejected").alias("_left"))
-    deny = p.filter("pair_id % 50 = 0").select(F.sha2(F.lower(F.col("prompt")), 256).alias("x"), governance.content_hash(F.col("prompt")).alias("hash"))
+    deny = p.filter("pair_id % 50 = 0").select(governance.content_hash(F.col("prompt")).alias("hash"))
     return governance.component_hits(p.select("pair_id", F.to_json(F.struct(F.array(inner).alias("talk"), F.lit(1).alias("n"))).alias("j")), "pair_id", "j", deny)
 
 
